@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, language, pieces, secrets
+from textquarry.llm import decontaminate, jaccard, language, pieces, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.payload_summary(warc.read_chunks(spark, archives))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encoded(_table(spark, sf_dir, "documents"), tokenizer_bytes("piece_bpe_32k.model"))
     return rows.select(
@@ -36,6 +41,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predictions(docs, language.fitted(docs))
@@ -45,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op4_sentencepiece, op9_language_id, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op3_warc, op4_sentencepiece, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
