@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, jaccard, language, pieces, secrets, warc
+from textquarry.llm import decontaminate, idstore, jaccard, language, pieces, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = idstore.write_store(_table(spark, sf_dir, "documents"), tokenizer_bytes("word_bpe_49k.json").decode())
+    return idstore.read_digests(spark, path)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op3_warc, op4_sentencepiece, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op3_warc, op4_sentencepiece, op5_id_store, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
