@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, idstore, jaccard, language, pieces, secrets, warc
+from textquarry.llm import decontaminate, idstore, jaccard, language, neighbours, pieces, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.payload_summary(warc.read_chunks(spark, archives))
@@ -46,6 +51,11 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_digests(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op3_warc, op4_sentencepiece, op5_id_store, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op7_toxicity, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
