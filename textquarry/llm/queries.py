@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, idstore, jaccard, language, neighbours, pieces, secrets, toxicity, warc
+from textquarry.llm import decontaminate, idstore, jaccard, language, licences, neighbours, pieces, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_digests(spark, path)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences_in(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, _table(spark, sf_dir, "labels")))
@@ -69,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op7_toxicity, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op6_licence_scan, op7_toxicity, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
@@ -77,7 +81,20 @@ _SHINGLES = """
   FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table})
 """
 
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licences.NOTICES.items()))
+
 ORACLES = {
+    "op6_licence_scan": f"""
+WITH notices(item_id, text) AS (VALUES {_NOTICES}),
+     want AS ({_SHINGLES.format(key='item_id', table='notices')}),
+     have AS ({_SHINGLES.format(key='doc_id', table='documents')}),
+     sizes AS (SELECT k, CAST(count(*) AS INT) AS n FROM want GROUP BY k)
+SELECT have.k AS doc_id, want.k AS licence, CAST(count(*) AS INT) AS shared_shingles, any_value(n) AS template_shingles,
+       count(*) / CAST(any_value(n) AS DOUBLE) AS containment
+FROM want JOIN have USING (s) JOIN sizes ON sizes.k = want.k
+GROUP BY have.k, want.k
+HAVING count(*) >= 0.8 * any_value(n)
+""",
     "op1_decontamination": f"""
 WITH want AS ({_SHINGLES.format(key='item_id', table='benchmark')}),
      have AS ({_SHINGLES.format(key='doc_id', table='documents')}),

@@ -39,6 +39,9 @@ ALPHABET = 64
 LANDMARKS = 384
 #: Times the machine is trained, each time on harder units.
 TURNS = 5
+#: Evidence that makes a unit a first positive; least output for a toxic document's top unit to stay one, and
+#: for a further unit of the document, with nearly that evidence, to become one.
+EVIDENCE, DOUBT, FURTHER = 2.5, -0.3, 0.3
 #: Bounds of the training sample: documents of each label, and characters of one.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6000
 THRESHOLD = 0.3
@@ -227,8 +230,7 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
         for u in own:
             seen.setdefault(u, [0, 0])[int(y)] += 1
     n_bad, n_good = sum(y for _, y in used), sum(1 - y for _, y in used)
-    # Smoothed log-odds of a unit's rate in toxic and in clean bags: the first guess at toxic units.
-    odds = {u: np.log((b + 0.5) / (n_bad + 1)) - np.log((g + 0.5) / (n_good + 1)) + 0.1 * min(b, 10) for u, (g, b) in seen.items()}
+    odds = {u: evidence(b, g, n_bad / (n_bad + n_good)) for u, (g, b) in seen.items()}
     suspicious = sorted(seen, key=lambda u: (-odds[u], u))
     clean = sorted(u for u, (g, b) in seen.items() if g)
     common = sorted(clean, key=lambda u: (-seen[u][0], u))
@@ -236,7 +238,9 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     marks = Landmarks(sorted({*suspicious[: LANDMARKS // 2], *common[: LANDMARKS // 8], *drawn}) or ["aaa"])
 
     bad_bags = [own for own, y in used if y and own]
-    positives = {max(own, key=lambda u: (odds[u], u)) for own in bad_bags}
+    # The first guess at toxic units: the one of each toxic document that toxic documents have beyond chance.
+    tops = {max(own, key=lambda u: (odds[u], u)) for own in bad_bags}
+    positives = {u for u in tops if odds[u] > EVIDENCE} or tops
     negatives = {*common[:2000], *(clean[k] for k in rng.choice(len(clean), min(len(clean), 4000), replace=False))}
     scorer = constant(rate)
     for turn in range(TURNS):
@@ -256,9 +260,10 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
         negatives.update(hard)
         if turn == 0:
             marks = Landmarks(sorted({*suspicious[: LANDMARKS // 2], *common[: LANDMARKS // 8], *hard[: LANDMARKS // 4], *drawn}))
-        # A toxic document's most toxic unit, and others of its that look toxic and are in no clean document.
-        positives = {max(own, key=lambda u: (value[u], u)) for own in bad_bags}
-        positives.update(u for own in bad_bags for u in own if value[u] > 0 and not seen[u][0])
+        # A toxic document's most toxic unit, and others of its that look toxic and have evidence of their own.
+        tops = {max(own, key=lambda u: (value[u], u)) for own in bad_bags}
+        positives = {u for u in tops if value[u] > DOUBT or odds[u] > EVIDENCE}
+        positives |= {u for own in bad_bags for u in own if value[u] > FURTHER and odds[u] > 0.9 * EVIDENCE}
     own = [(bag, y) for bag, y, back in zip(bags, labels, kept_back) if back or not kept_back.any()]
     every = sorted(set().union(*(bag for bag, _ in own)))
     value = dict(zip(every, scorer.raw(every).tolist()))
@@ -267,6 +272,14 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     return scorer
 
 
+def evidence(bad: int, good: int, rate: float) -> float:
+    """Signed log-likelihood ratio of a unit's split over toxic and clean bags against the bags' own rate."""
+    n = bad + good
+    share = bad / n
+    gain = sum(k * np.log(k / n / r) for k, r in ((bad, rate), (good, 1 - rate)) if k)
+    return float(gain if share > rate else -gain)
+
+
 def machine(x: np.ndarray, y: np.ndarray, often: np.ndarray, penalty: float = 3e-6) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, weighted examples, by Newton steps in the primal."""
     share = np.where(y > 0, 0.25 * often / often[y > 0].sum(), 0.75 * often / often[y < 0].sum())
