@@ -77,7 +77,7 @@ QUERIES = {q.__name__: q for q in (op1_decontamination, op2_nearest_vectors, op3
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
-  SELECT DISTINCT {key} AS k, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS s
+  SELECT DISTINCT {key} AS k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
   FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table})
 """
 
