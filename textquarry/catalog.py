@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.plans import text_queries  # noqa: F401
+from textquarry.plans.registry import ORACLES, QUERIES  # noqa: F401
 from textquarry.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark")
