@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import text_queries  # noqa: F401
+from textquarry.plans import log_queries, source_queries, text_queries  # noqa: F401
 from textquarry.plans.registry import ORACLES, QUERIES  # noqa: F401
 from textquarry.tables import table
 
