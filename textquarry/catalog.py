@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import log_queries, source_queries, text_queries  # noqa: F401
-from textquarry.plans.registry import ORACLES, QUERIES  # noqa: F401
-from textquarry.tables import table
+from textquarry.plans import answering, log_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
+from textquarry.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark")
+    """Cut the corpus, search it for every benchmark item, cite the hits."""
+    return answering.answered(spark, sf_dir)
+
+
+@query()
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answering.answered(spark, sf_dir)

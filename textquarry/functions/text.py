@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The invisible direction marks that are removed.
-BIDI = "‎‏‪‫‬‭‮⁦⁧⁨⁩"
+BIDI = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 #: Arabic letters and their presentation forms, as regular expression classes.
-ARABIC = r"؀-ۿݐ-ݿࢠ-ࣿ"
-FORMS = r"ﭐ-﷿ﹰ-﻿"
+ARABIC = r"\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF"
+FORMS = r"\uFB50-\uFDFF\uFE70-\uFEFF"
 #: The healthy band of spaces a character.
 SPACES_LOW, SPACES_HIGH = 0.13, 0.22
 EDGE_SIGNS = ".,،؛;:!?()[]{}«»\"'-—…"
@@ -36,7 +36,7 @@ _LABEL = r"(?i)(?:\b(fig(?:ure)?|table|chart|diagram|map|plate|exhibit)\.?\s*|(?
 _DIGITS_FROM, _DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
@@ -49,7 +49,7 @@ def nfkc(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """TXT1: NFKC, no direction marks, runs of blanks as one space."""
-    return F.regexp_replace(F.translate(nfkc(text), BIDI, ""), r"[ \t ]+", " ")
+    return F.regexp_replace(F.translate(nfkc(text), BIDI, ""), r"[ \t\u00A0]+", " ")
 
 
 def strip_nulls(value: Column, kind: T.DataType | None = None) -> Column:
@@ -112,7 +112,7 @@ def reads_as_text(text: Column) -> Column:
 
 def is_small_talk(text: Column) -> Column:
     """TXT8: one to eight words, all of the small-talk list, and no question mark."""
-    low = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[ً-ٰٟ]", "")
+    low = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\u064B-\u065F\u0670]", "")
     words = F.regexp_extract_all(low, F.lit(r"\p{L}+(?:'[a-z]+)?"), 0)
     known = F.size(F.array_except(words, F.array(*map(F.lit, SMALL_TALK)))) == 0
     return ~low.rlike("[?؟]") & F.size(words).between(1, 8) & known
@@ -148,7 +148,7 @@ def distinct_queries(queries: Column, most: int) -> Column:
 
 def with_question(queries: Column, question: Column) -> Column:
     """TXT11: the question itself beside queries of which none shares its script."""
-    arabic = r"[ء-يٱ-ۓ]"
+    arabic = r"[\u0621-\u064A\u0671-\u06D3]"
     same = F.exists(queries, lambda q: q.rlike(arabic) == question.rlike(arabic))
     return F.when((F.coalesce(question, F.lit("")) == "") | same, queries).otherwise(F.array_append(queries, question))
 

@@ -20,7 +20,7 @@ def delimiter_of(text: Column) -> Column:
 def decoded(content: Column) -> Column:
     """SRC3: UTF-8 without its mark where it is valid, else Latin-1; with the name of the encoding."""
     valid = F.is_valid_utf8(content.cast("string"))
-    text = F.when(valid, F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")).otherwise(F.decode(content, "ISO-8859-1"))
+    text = F.when(valid, F.regexp_replace(F.decode(content, "UTF-8"), r"^\uFEFF", "")).otherwise(F.decode(content, "ISO-8859-1"))
     return F.struct(text.alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
@@ -36,9 +36,10 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _cells(raw: Column, delimiter: str, most: int = 256) -> Column:
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(most)])
-    row = F.from_csv(raw, schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {"sep": delimiter})
-    cells = F.array(*(row[f"c{k}"] for k in range(most)))
+    """A line's cells, quotes respected, up to the last one that is filled."""
+    schema = ", ".join(f"c{k:04} string" for k in range(most))
+    row = F.to_json(F.from_csv(raw, schema, {"sep": delimiter}), {"ignoreNullFields": "false"})
+    cells = F.map_values(F.from_json(row, "map<string,string>"))
     filled = F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i)))
     return F.transform(F.slice(cells, 1, F.coalesce(filled, F.lit(-1)) + 1), lambda x: F.trim(F.coalesce(x, F.lit(""))))
 
