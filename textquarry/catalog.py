@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import answering, log_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
+from textquarry.plans import answering, log_queries, more_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
 from textquarry.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 

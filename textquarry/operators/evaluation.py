@@ -55,3 +55,14 @@ def applicable(records: DataFrame, needs_reference: dict[str, bool]) -> DataFram
 def majority(value: Column, name: str) -> Column:
     """AGG16: whether more than half of a group's rows have a value."""
     return (F.count_if(value) * 2 > F.count(F.lit(1))).alias(name)
+
+
+def report_lines(means: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK6: the summary and the records of an evaluation as JSON lines, to be written side by side."""
+    return means.select(F.to_json(F.struct(*means.columns)).alias("line")), records.select(F.to_json(F.struct(*records.columns)).alias("line"))
+
+
+def write_report(means: DataFrame, records: DataFrame, path: str) -> None:
+    """SNK6: both as text files under a path."""
+    for name, lines in zip(("summary", "records"), report_lines(means, records)):
+        lines.write.mode("overwrite").text(f"{path}/{name}")

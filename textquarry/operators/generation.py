@@ -71,3 +71,38 @@ def branched(members: DataFrame, items: DataFrame) -> DataFrame:
     claim = members.withColumn("_n", first).where("_n = 1").select("map_id", "item", "branch", "branch_rank")
     both = items.join(claim, ["map_id", "item"], "left")
     return both.select("map_id", "item", F.coalesce("branch", F.lit("other")).alias("branch"), F.row_number().over(Window.partitionBy("map_id").orderBy(F.coalesce("branch_rank", F.lit(1 << 30)), "item")).alias("place"))
+
+
+def reranked_by(pairs: DataFrame, score: Callable[[str, list[str]], list[float]]) -> DataFrame:
+    """UDF2: one call a question with its candidate texts; a failed call leaves its scores null. Candidates are few by top-k."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            values = [float(x) for x in score(frame["question"].iloc[0], frame["text"].tolist())]
+            if len(values) != len(frame):
+                raise ValueError("wrong number of scores")
+        except Exception:  # the question keeps its vector order
+            values = [None] * len(frame)
+        return pd.DataFrame({"query_id": frame["query_id"], "id": frame["id"], "score": pd.array(values, dtype="Float64")})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+
+def generated_items(raw: DataFrame, chunks: DataFrame, per_batch: int = 3) -> DataFrame:
+    """UDF7, WIN7, JOIN18: a batch's raw answer as checked quiz items, at most so many, each with its passage."""
+    from textquarry.functions.payload import salvaged
+    from textquarry.functions.text import valid_quiz
+
+    item = "question string, correct string, wrong array<string>, num bigint"
+    good = raw.select("batch_id", F.posexplode(salvaged(F.col("answer"), item, lambda x: F.coalesce(valid_quiz(x.question, x.correct, x.wrong), F.lit(False)))["items"]).alias("pos", "x"))
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos"))
+    kept = good.withColumn("_n", place).where(F.col("_n") <= per_batch).select("batch_id", "x.num", "x.question", "x.correct")
+    return attached(kept, chunks)
+
+
+def extracted_facts(messages: DataFrame, pattern: str = r"(?i)\bmy (\w+) is ([^.!?\n]+)") -> DataFrame:
+    """UDF9: (user, key, description) facts of messages, the newest of each key; the pattern is a stand-in for a model."""
+    keys, values = F.regexp_extract_all("text", F.lit(pattern), 1), F.regexp_extract_all("text", F.lit(pattern), 2)
+    rows = messages.select("user_id", "turn", F.explode(F.arrays_zip(keys.alias("key"), values.alias("description"))).alias("f"))
+    return rows.groupBy("user_id", F.lower("f.key").alias("key")).agg(F.max_by("f.description", "turn").alias("description"))

@@ -133,3 +133,14 @@ def badly_embedded(chunks: DataFrame, vectors: DataFrame, dimension: int) -> Dat
     """VEC5: passages without a vector, or with one of another length."""
     both = chunks.select("id").join(vectors.select("id", F.size("embedding").alias("size")), "id", "left")
     return both.where(F.col("size").isNull() | (F.col("size") != dimension)).select("id", F.when(F.col("size").isNull(), "missing").otherwise("width").alias("reason"))
+
+
+def reindexed(chunks: DataFrame, collection: str, path: str, dimension: int = 64) -> None:
+    """VEC6: a collection's folder rewritten with vectors of all its passages; other collections stay."""
+    rows = chunks.select(F.lit(collection).alias("collection"), "id", hashed_embedding(F.col("content"), dimension).alias("embedding"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def picture_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """VEC13: pictures with the vectors supplied for them; those without one are left out."""
+    return chunks.where("kind = 'image'").join(vectors.select("id", "embedding"), "id")
