@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import words as W
+from textquarry.llm.shared import small
 
 MAPS = 48
 THRESHOLD = 0.8
@@ -156,7 +157,7 @@ def contained_items(docs: DataFrame, items: DataFrame, block: int = ITEM_BLOCK)
 
         def run(batches, shipped=shipped):
             held = shipped.value
-            for batch in batches:
+            for batch in small(batches):
                 ids = batch.column(0).to_pylist()
                 found = held.matches(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([
@@ -181,7 +182,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, block: int = ITEM_BL
 
         def run(batches, shipped=shipped):
             held = shipped.value
-            for batch in batches:
+            for batch in small(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[d for d, *_ in held.matches(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(keep))

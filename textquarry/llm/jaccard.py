@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import words as W
 from textquarry.llm.components import connected_components
-from textquarry.llm.shared import stored
+from textquarry.llm.shared import small, stored
 
 SIMILARITY = 0.8
 TOKENS = 64
@@ -79,7 +79,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shape", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for start, end in W.pieces_of(texts):
                 sets = [np.unique(x) for x in W.shingle_lists(texts[start:end], short=True)]
@@ -294,7 +294,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("component", pa.int64()), ("doc_id", pa.int64()), ("weight", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, shapes = batch.column(4).to_pylist(), batch.column(3).to_pylist()
             for start, end in W.pieces_of(texts):
                 sets = [np.unique(x) for x in W.shingle_lists(texts[start:end], short=True)]

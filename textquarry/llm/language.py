@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.shared import held_out
+from textquarry.llm.shared import held_out, small
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -215,7 +215,7 @@ def predictions(docs: DataFrame, net: Net) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             names, scores = shipped.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -228,7 +228,7 @@ def without_unknown(docs: DataFrame, net: Net) -> DataFrame:
     shipped, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             names, scores = shipped.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores)], pa.bool_()))
 

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from textquarry.llm.shared import small
 from textquarry.llm.words import pieces_of
 
 SPACE = "▁"
 #: Words a worker remembers, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 _UNITS = re.compile(r" +[^ ]+| +")
 
 
@@ -187,7 +188,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(shipped.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, end in pieces_of(texts):
                 found = encoder.encode(texts[start:end])

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.shared import small
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -126,7 +128,7 @@ def found_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         scanner = Scanner()
-        for batch in batches:
+        for batch in small(batches):
             each = [scanner.spans(t) for t in batch.column(1).to_pylist()]
             counts = [[sum(k == kind for _, k, _ in spans) for spans in each] for kind in range(len(KINDS))]
             base = [hashlib.sha256(joined([x for x in spans if x[1] < 3]).encode()).hexdigest() for spans in each]
@@ -146,7 +148,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         scanner = Scanner()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).to_pylist()
             new = [masked(t, scanner.spans(t)) for t in texts]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,24 +38,8 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a short DDL string, for building result batches."""
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-             "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32()}
-    fields = []
-    for part in ddl.split(","):
-        name, kind = part.split()
-        fields.append(pa.field(name, kinds[kind]))
-    return pa.schema(fields)
-
-
-def map_batches(df: DataFrame, columns: list[str], rows: Callable[[dict], Iterator[dict] | dict], ddl: str) -> DataFrame:
-    """Run rows(columns of a batch as lists) over df's batches; it returns columns of the result as lists or arrays."""
-    schema = arrow_schema(ddl)
-
-    def run(batches):
-        for batch in batches:
-            out = rows({n: batch.column(i).to_pylist() for i, n in enumerate(columns)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in schema], schema=schema)
-
-    return df.select(*columns).mapInArrow(run, ddl)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that Python holds few texts at once; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.shared import held_out
+from textquarry.llm.shared import held_out, small
 from textquarry.llm.words import pieces_of
 
 DECAY = 0.5
@@ -340,7 +340,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         model = shipped.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).to_pylist()
             parts = [model.scores(texts[a:b]) for a, b in pieces_of(texts)]
             score = np.concatenate(parts) if parts else np.empty(0)
