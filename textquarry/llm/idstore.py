@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 
 import numpy as np
@@ -27,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textquarry.llm.shared import shared_dir
+from textquarry.llm.shared import shared_dir, small
 from textquarry.llm.words import mixed, pieces_of
 
 END_ID = 2
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.
 GEAR, CUT_BITS, LEAST_IDS, MOST_IDS = 16, 8, 64, 2048
 CACHE_WORDS, CACHE_CHARS = 500_000, 64
+#: A stop or comma after a letter and before white space: a pre-token of its own, so it is parted from its word.
+#: Then, characters whose lower case may depend on others, or that marks may compose with.
+_SIGN = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|\Z)")
+_NOT_PLAIN = re.compile("[^\u0000-\u012f\u0131-\u024f]")
 #: Recipes of one part, about.
 PART_RECIPES = 100_000
 
@@ -71,19 +76,10 @@ class WordEncoder:
     def _learn(self, found: set[str]) -> dict[str, bytes]:
         new, rest = [w for w in found if w not in self.known], {}
         letters = [w for w in new if w.isalpha()]
-        others = [w for w in new if not w.isalpha()]
-        # A word of ASCII letters with stops or commas after it is two pre-tokens.
-        cores = {w: w.rstrip(".,") for w in others if w.isascii() and w[-1] in ".,"}
-        cores = {w: c for w, c in cores.items() if c.isalpha()}
-        more = {x for w, c in cores.items() for x in (c, w[len(c) :])} - self.known.keys() - set(new)
-        letters += [w for w in more if w.isalpha()]
-        plain = [w for w in others if w not in cores] + [w for w in more if not w.isalpha()]
+        plain = [w for w in new if not w.isalpha()]
         for at in range(0, len(letters), 4096):
             rest.update(zip(letters[at : at + 4096], self._letters(letters[at : at + 4096])))
         rest.update(zip(plain, self._whole(plain)))
-        of = lambda w: rest[w] if w in rest else self.known[w]
-        for w, c in cores.items():
-            rest[w] = of(c) + of(w[len(c) :])
         for w in list(rest):
             if len(self.known) >= CACHE_WORDS:
                 break
@@ -94,13 +90,20 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, np.uint32) for x in self._whole(texts)]
-        # Lower case is folded early only where it can't change: in ASCII.
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        split = [_SIGN.sub(r" \1", t.lower() if folds_alone(t) else t).replace("\n", " ").split(" ") for t in texts]
         rest = self._learn(set().union(*split))
         of = (lambda w: self.known[w] if w in self.known else rest[w]) if rest else self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, found)), np.uint32) for found in split]
 
 
+def folds_alone(text: str) -> bool:
+    """Whether the library's lower case is that of each character: in ASCII, and in Latin letters but the dotted capital I.
+
+    These have no marks to compose with, so the order of composition and lower case doesn't matter either.
+    """
+    return text.isascii() or not _NOT_PLAIN.search(text)
+
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -173,14 +176,14 @@ def _spooled(docs: DataFrame, definition: str) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(shipped.value)
-        small = len(encoder.ends) <= 1 << 16
-        for batch in batches:
+        narrow = len(encoder.ends) <= 1 << 16
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for start, end in pieces_of(texts):
                 at, no, address, sizes, data = [], [], [], [], []
                 for k, ids in enumerate(encoder.encode(texts[start:end]), start):
                     ids = np.append(ids, np.uint32(END_ID))
-                    raw, width, begin = (ids.astype("<u2") if small else ids).tobytes(), 2 if small else 4, 0
+                    raw, width, begin = (ids.astype("<u2") if narrow else ids).tobytes(), 2 if narrow else 4, 0
                     for i, stop in enumerate(cuts(ids)):
                         piece = raw[begin * width : stop * width]
                         at.append(k)
