@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import words as W
 from textquarry.llm.components import connected_components
-from textquarry.llm.shared import small, stored
+from textquarry.llm.shared import sent_if_small, small, stored
 
 SIMILARITY = 0.8
 TOKENS = 64
@@ -315,7 +315,8 @@ def classes(docs: DataFrame) -> DataFrame:
     tokens = stored(rows.join(reps, ["doc_id", "shape"], "left_semi").select("doc_id", "tokens"), "tokens")
     components = stored(connected_components(candidate_edges(tokens)), "components").select(F.col("node").alias("doc_id"), "component")
 
-    suspects = reps.join(components, "doc_id")
+    # Where the suspects are few enough to be sent, the texts stay where they are; else both sides are shuffled.
+    suspects = sent_if_small(stored(reps.join(components, "doc_id"), "suspects"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     sets = stored(_shingle_sets(texts.join(suspects, "doc_id").select("component", "doc_id", "weight", "shape", "text")), "sets")
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
@@ -344,5 +345,5 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, columns as they are, without documents whose class has a smaller doc_id; null ids stay."""
-    dropped = stored(classes(docs), "decided").where("doc_id <> class_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = stored(classes(docs).where("doc_id <> class_id").select("doc_id"), "dropped")
+    return docs.join(sent_if_small(dropped), "doc_id", "left_anti").select(docs.columns)

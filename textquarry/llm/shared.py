@@ -43,3 +43,12 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Rows up to which a table of a few numbers is sent to every task (some 20 to 40 MB); beyond it, joins shuffle both sides.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked to be broadcast if it is counted to have few enough; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
