@@ -203,8 +203,7 @@ def test_string_kernel_equals_its_definition():
     assert toxicity.squared_norms(x)[0] == pytest.approx((np.bincount(code, weight) ** 2).sum())
 
 
-def test_toxicity_held_out(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.1")
+def test_toxicity_on_unseen_texts(spark):
     rng = np.random.default_rng(5)
     plain = ["the", "house", "river", "walks", "green", "table", "slowly", "under", "seven", "garden", "winter", "paper"]
     bad = ["idiot", "moron", "worthless"]
@@ -215,7 +214,6 @@ def test_toxicity_held_out(spark, sf_dir):
     assert scorer.scores(["the id-iot", "the i d i o t", "the 1di0t"]).min() >= 0.3 and scorer.scores([None, "", "..."]).max() < 0.3
     got = toxicity.scored(docs_of(spark, [(1, None), (None, ""), (2, "x" * 10_000), (2, "idiot")]), scorer).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
-    assert big
 
 
 def test_toxicity_without_labels(spark):
