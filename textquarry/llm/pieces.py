@@ -31,7 +31,7 @@ from textquarry.llm.words import pieces_of
 
 SPACE = "▁"
 #: Words a worker remembers, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
 _UNITS = re.compile(r" +[^ ]+| +")
 
 
