@@ -305,6 +305,22 @@ def test_secrets_equal_brute_force(spark):
     assert got[9].n_novel == 1 and got[10].n_novel == 0
 
 
+def keys_of(seed, *lengths):
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(signs, n)) for n in lengths]
+
+
+def test_repeated_secrets_are_novel():
+    key, other = keys_of(1, 32, 20)
+    scanner = secrets.Scanner()
+    for text, n in [(f"credential {key}\ncredential {key}\n", 2), (f"bearer={key}\nclient_key: {key}\nclient_key: {key}\n", 3), (f"token={key}\nauthorization: {key}\n", 1),
+                    (f"credential {other}\n" * 40, 40), (f"bearer /srv/{other}\npassphrase {other}\n" + "word " * 60, 2)]:
+        assert [k for _, k, _ in scanner.spans(text)].count(3) == n and other not in secrets.masked(text, scanner.spans(text)) and key not in secrets.masked(text, scanner.spans(text))
+    name = "user_name_settings_environment_path_1"
+    assert scanner.spans(f"credential {name}\n" * 3) == []
+
+
 def test_masking(spark):
     docs = docs_of(spark, [(1, "x password=hunter2hunter2 y"), (2, None), (3, "clean"), (4, "token=" + "0" * 40)])
     got = {r.doc_id: r for r in secrets.without_secrets(docs).collect()}

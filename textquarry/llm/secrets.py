@@ -3,8 +3,9 @@
 Three fixed patterns give the base spans. Beyond them, a candidate is a run of 20 or more key-like
 characters, with a letter and a digit, shortly after a sensitive word. Its novelty is its marginal
 size: zstandard compresses the surrounding code with and without it, primed with a dictionary of common
-identifiers, and the difference in bytes is divided by its length. Identifiers, paths and repeated
-values cost a fraction of a byte a character; random keys cost at least NOVEL_BYTES. Those are reported
+identifiers, and the difference in bytes is divided by its length. Other copies of the value, also as a part of a
+longer run, are taken out of the surrounding code first, so that a key that stands twice is as novel as one that
+stands once. Identifiers and paths cost a fraction of a byte a character; random keys cost at least NOVEL_BYTES. Those are reported
 as kind 'novel' where they overlap no base span; base spans always stay.
 
 Spans count code points, end exclusive. Texts are scanned whole. Defined cases: a null text is empty and
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ SENSITIVE = (
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,512}")
 CONTEXT_CHARS = 48
 AROUND_CHARS = 256
+#: Characters in a row that count as a part of a copy of the value.
+COPY_CHARS = 12
 NOVEL_BYTES = 0.62
 MASK = "[SECRET]"
 
@@ -94,7 +98,10 @@ class Scanner:
         value = text[start:end]
         if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             return False
-        before, after = text[max(0, start - AROUND_CHARS) : start], text[end : end + AROUND_CHARS]
+        # Far enough that a copy which reaches into AROUND_CHARS is seen whole, even where a copy nearer by is taken out.
+        reach = AROUND_CHARS + 2 * len(value)
+        before = without_copies(text[max(0, start - reach) : start][::-1], value[::-1])[::-1]
+        after = without_copies(text[end : end + reach], value)
         return self.size(before + after + value) - self.size(before + after) >= NOVEL_BYTES * len(value)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -104,6 +111,16 @@ class Scanner:
         return sorted(base + self.novel(text, base))
 
 
+def without_copies(around: str, value: str) -> str:
+    """The first AROUND_CHARS of a text, passing over what it has in common with value in COPY_CHARS or more in a row."""
+    grams = {value[k : k + COPY_CHARS] for k in range(len(value) - COPY_CHARS + 1)}
+    copied = np.zeros(len(around), bool)
+    for k in range(len(around) - COPY_CHARS + 1):
+        if around[k : k + COPY_CHARS] in grams:
+            copied[k : k + COPY_CHARS] = True
+    return "".join(c for c, skip in zip(around[: AROUND_CHARS + len(value)], copied) if not skip)[:AROUND_CHARS]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
