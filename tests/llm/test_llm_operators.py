@@ -321,6 +321,29 @@ def test_repeated_secrets_are_novel():
     assert scanner.spans(f"credential {name}\n" * 3) == []
 
 
+def test_long_and_multi_line_secrets_are_whole():
+    a, b, c, d, tail = keys_of(2, 2000, 64, 64, 64, 11)
+    tail += "9"
+    scanner = secrets.Scanner()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b}\n{c}\n{d}\n{tail}\n-----END RSA PRIVATE KEY-----"
+    part, short = keys_of(3, 120, 9)
+    texts = {
+        f"credential {a} end": [a], f"x\n{pem}\ny": [b, c, d, tail], pem[: pem.index("\n-----END")]: [b, c, d, tail],
+        f"bearer {b}.{part}.{short} end": [b, part, short],
+        f"auth:\n  client_key: |\n    {b}\n    {c}\n    {tail}\n  user: someone\n": [b, c, tail],
+        f"signing_key =\n  '{b}'\nnext": [b], f"passphrase\n{b}\nnext": [b],
+        f"the credential that the deployment of the staging environment in the second region uses is {b} for now": [b],
+        f"bearer e.g. {b}": [b], f"credential {a[:600]}{'0123456789abcdef' * 4}{a[600:]}": [a[:600], a[600:1900]],
+    }
+    for text, parts in texts.items():
+        spans = scanner.spans(text)
+        assert spans and not any(p in secrets.masked(text, spans) for p in parts), text
+        assert spans == sorted(spans) and all(e <= s for (_, k, e), (s, l, _) in zip(spans, spans[1:]) if k == 3 or l == 3)
+    assert scanner.spans(f"x credential {a} end") == [(13, 3, 2013)]
+    for text in (f"passphrase. It is short.\n\nNot {b}", "token:\n  user_name_settings_environment_path_1\n", "bearer " + "/usr/local/lib/python3/" * 100):
+        assert scanner.spans(text) == []
+
+
 def test_masking(spark):
     docs = docs_of(spark, [(1, "x password=hunter2hunter2 y"), (2, None), (3, "clean"), (4, "token=" + "0" * 40)])
     got = {r.doc_id: r for r in secrets.without_secrets(docs).collect()}

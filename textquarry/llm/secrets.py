@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds novel in a sensitive context.
 
 Three fixed patterns give the base spans. Beyond them, a candidate is a run of 20 or more key-like
-characters, with a letter and a digit, shortly after a sensitive word. Its novelty is its marginal
+characters, with a letter and a digit, in the context of a sensitive word: the rest of its statement (and at least
+CONTEXT_CHARS of its line), the next lines where the line is left open, the deeper lines of the block it opens, and lines
+that are one key-like string. The body of a private key's PEM frame is a context too. Its novelty is its marginal
 size: zstandard compresses the surrounding code with and without it, primed with a dictionary of common
 identifiers, and the difference in bytes is divided by its length. Other copies of the value, also as a part of a
 longer run, are taken out of the surrounding code first, so that a key that stands twice is as novel as one that
 stands once. Identifiers and paths cost a fraction of a byte a character; random keys cost at least NOVEL_BYTES. Those are reported
-as kind 'novel' where they overlap no base span; base spans always stay.
+as kind 'novel', without what a base span covers; base spans always stay. Runs longer than PIECE are measured in overlapping
+pieces and are one span if a piece is novel. A span goes on over the segments that adjoin it (a token's dotted parts, a key
+wrapped over lines), and a PEM body is one span.
 
 Spans count code points, end exclusive. Texts are scanned whole. Defined cases: a null text is empty and
 has no span; a null id is carried; repeated rows are scanned separately; empty tables give no rows.
@@ -38,8 +42,24 @@ SENSITIVE = (
     "password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key",
     "private_key", "client_key", "credential", "bearer", "authorization", "signing_key", "encryption_key",
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,512}")
+LEAST_CHARS = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT_CHARS = 48
+#: Characters that are measured at once.
+PIECE = 512
+STATEMENT_END = re.compile(r"\n|[.!?;](?=\s)")
+#: The end of a line whose value is on the next lines.
+OPEN_LINE = re.compile(r"[:=|>({\[\"'`\\+,][-+0-9]?[ \t\r]{0,30}\Z")
+LONE_LINE = re.compile(r"[ \t]*+(?:[-*>#][ \t]++)?[\"'`]?[A-Za-z0-9+/_=.~-]{20,}+[\"'`]?[ \t]*+[\\+,;)\]}]*+[ \t\r]*+")
+BLANKS = re.compile(r"[ \t]*")
+HEADER_LINE = re.compile(r"[A-Za-z-]+: .*")
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+PEM_EDGE = re.compile(r"-----(?:BEGIN|END) ")
+#: What adjoins a span: a further part of a token, and a further line of a wrapped key (a break may be written as an escape).
+NEXT_PART = re.compile(r"[.:~%$][A-Za-z0-9+/_=-]+")
+NEXT_LINE = re.compile(r"[\"'`]?[ \t]*+(?:[+,.&]|\\(?![rn]))?+[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t>#*]*+[\"'`]?([A-Za-z0-9+/_=-]++)(?=[\"'`]?[ \t]*+(?:[+,;.)\]}]|\\(?![rn]))*+[ \t]*+(?:\r?\n|\\r|\\n|\Z))")
+#: Least length of a wrapped key's lines but its last.
+WRAPPED = 32
 AROUND_CHARS = 256
 #: Characters in a row that count as a part of a copy of the value.
 COPY_CHARS = 12
@@ -83,21 +103,59 @@ class Scanner:
         if len(low) != len(text):  # a few capitals change their length; fold ASCII only, to keep places
             low = "".join(c.lower() if c.isascii() else c for c in text)
         places = sorted({m.end() for w in SENSITIVE if w in low for m in re.finditer(re.escape(w), low)})
-        found, done = [], 0
-        for place in places:
-            line = text.find("\n", place)
-            stop = min(len(text) if line < 0 else line, place + CONTEXT_CHARS)
-            at = max(place, done)
-            while at < stop and (m := CANDIDATE.search(text, at)) and m.start() < stop:
+        regions, found, done, m = [(start, stop, True) for start, stop in pem_bodies(text)], [], 0, None
+        regions += [(start, stop, False) for start, stop in contexts(text, places)]
+        for start, stop, is_pem in sorted(regions):
+            at = max(start, done)
+            while at < stop:
+                if m is None or m.start() < at:
+                    m = CANDIDATE.search(text, at)
+                if m is None:
+                    return found
+                if m.start() >= stop:
+                    break
                 at = done = m.end()
-                if not any(s < m.end() and m.start() < e for s, _, e in base) and self.incompressible(text, m.start(), m.end()):
-                    found.append((m.start(), 3, m.end()))
+                for a, b in outside(m.start(), m.end(), base):
+                    if b - a < (1 if (a, b) == m.span() else LEAST_CHARS) or not self.incompressible(text, a, b):
+                        continue
+                    end = b if b < m.end() else self.adjoined(text, a, b)
+                    if is_pem:
+                        end = max(end, start + len(text[start:stop].rstrip(" \t\r\n\\\"'")))
+                    found += [(x, 3, y) for x, y in outside(a, end, base) if (x, y) == (a, b) or any(c.isalnum() for c in text[x:y])]
+                    if end > at:
+                        at = done = end
+                        break
         return found
 
+    def adjoined(self, text: str, start: int, end: int) -> int:
+        """Where a novel span ends that begins so: further parts and lines of it belong to it."""
+        line = end - start  # length of the last line's part
+        while True:
+            if m := NEXT_PART.match(text, end):
+                line += m.end() - end
+                end = m.end()
+            elif m := NEXT_LINE.match(text, end):
+                part = m[1]
+                if len(part) >= LEAST_CHARS and self.incompressible(text, *m.span(1)):
+                    line, end = len(part), m.end(1)
+                elif line >= WRAPPED and len(part) < line and not (part.isalpha() and (part.islower() or part.isupper() or part.istitle())):
+                    return m.end(1)  # the shorter last line
+                else:
+                    return end
+            else:
+                return end
+
     def incompressible(self, text: str, start: int, end: int) -> bool:
         value = text[start:end]
         if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             return False
+        if len(value) <= PIECE:
+            return self.costly(text, start, end)
+        starts = [*range(start, end - PIECE, PIECE // 2), end - PIECE]
+        return any(self.costly(text, at, at + PIECE) for at in starts)
+
+    def costly(self, text: str, start: int, end: int) -> bool:
+        value = text[start:end]
         # Far enough that a copy which reaches into AROUND_CHARS is seen whole, even where a copy nearer by is taken out.
         reach = AROUND_CHARS + 2 * len(value)
         before = without_copies(text[max(0, start - reach) : start][::-1], value[::-1])[::-1]
@@ -111,6 +169,84 @@ class Scanner:
         return sorted(base + self.novel(text, base))
 
 
+def contexts(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """(start, stop) of the text in which the values of sensitive words that end at places may begin."""
+    found, line_end, statement_end, covered = [], -1, -1, 0
+    for place in places:
+        if place > line_end:
+            line_end = text.find("\n", place)
+            line_end = len(text) if line_end < 0 else line_end
+        if place > statement_end:
+            m = STATEMENT_END.search(text, place)
+            statement_end = m.start() if m else len(text)
+        stop = max(statement_end, min(line_end, place + CONTEXT_CHARS))
+        if not found or stop > found[-1][1]:
+            found.append((place, stop))
+        if statement_end == line_end and line_end >= covered:  # once a line; blocks within a block are covered by it
+            covered = max(line_end + 1, block_end(text, place, line_end))
+            found.append((line_end, covered))
+    return [(a, b) for a, b in found if a < b]
+
+
+def block_end(text: str, place: int, line_end: int) -> int:
+    """Where the lines end that belong to the line about place: values of an open line, deeper lines, lone keys."""
+    indent = indent_of(text, text.rfind("\n", 0, place) + 1)
+    opened = OPEN_LINE.search(text[max(place, line_end - 32) : line_end]) is not None
+    stop, at, first = line_end, line_end + 1, True
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        filled = indent_of(text, at)
+        if at + filled < end and text[at + filled] != "\r":
+            if LONE_LINE.fullmatch(text, at, end) or (opened and filled > indent):
+                stop = end
+            elif opened and first:
+                m = STATEMENT_END.search(text, at)
+                return m.start() if m else end
+            else:
+                return stop
+            first = False
+        at = end + 1
+    return stop
+
+
+def indent_of(text: str, at: int) -> int:
+    """Blanks from a line's start."""
+    return BLANKS.match(text, at).end() - at
+
+
+def pem_bodies(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of what private keys' frames hold; without an end, of the lines that look like it."""
+    found = []
+    for m in PEM_BEGIN.finditer(text) if "PRIVATE KEY" in text else ():
+        edge = PEM_EDGE.search(text, m.end())
+        if edge and edge[0].endswith("END "):
+            found.append((m.end(), edge.start()))
+            continue
+        stop = m.end()
+        for line in re.compile(r"[^\n]*\n?").finditer(text, m.end(), edge.start() if edge else len(text)):
+            own = line[0].rstrip("\n")
+            if own.strip() and not LONE_LINE.fullmatch(own) and not HEADER_LINE.fullmatch(own):
+                break
+            stop = line.start() + len(own)
+        found.append((m.end(), stop))
+    return found
+
+
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no base span covers."""
+    parts = []
+    for s, _, e in base:  # in order of their starts
+        if e <= start:
+            continue
+        if s >= end:
+            break
+        if s > start:
+            parts.append((start, s))
+        start = max(start, e)
+    return parts + [(start, end)] if start < end else parts
+
+
 def without_copies(around: str, value: str) -> str:
     """The first AROUND_CHARS of a text, passing over what it has in common with value in COPY_CHARS or more in a row."""
     grams = {value[k : k + COPY_CHARS] for k in range(len(value) - COPY_CHARS + 1)}
