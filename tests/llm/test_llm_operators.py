@@ -96,6 +96,27 @@ def test_neighbour_recall(spark, lifted):
     assert hit >= 0.9 * 20 * len(by)
 
 
+@pytest.mark.parametrize("tail", ["outlier", "lognormal", "lognormal in hashed ranges"])
+def test_neighbour_recall_with_unlike_norms(spark, monkeypatch, tail):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if tail == "outlier":
+        x[1] *= 5
+    else:
+        x *= rng.lognormal(0, 0.7, len(x))[:, None]
+    if "hashed" in tail:
+        monkeypatch.setattr(neighbours, "FEW", 256)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, 20).collect()
+    want = set()
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want |= {(q, int(k)) for k in np.argsort(-s)[:20]}
+    assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.9 * len(want)
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id bigint, embedding array<double>"
     assert neighbours.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
