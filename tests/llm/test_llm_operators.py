@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,19 @@ def test_licences(spark):
     assert got == [(-1, "MIT-text"), (1, "MIT-text"), (5, "MIT"), (6, "MIT-text"), (6, "MIT-text")]
 
 
+def test_licences_damaged_at_places_far_apart(spark, tmp_path):
+    notice, long = licences.NOTICES["GPL-3.0"].rstrip(".").split(), licences.NOTICES["GPL-text"].split()
+    a, b = " ".join(["some", "thing", *notice[2:]]), " ".join([*notice[:-2], "some", "thing"])
+    rows = [(1, f"{text_of(1, 50)} {a} {text_of(2, 100)} {b} {text_of(3, 2000)}"), (2, f"{' '.join(long[:14])} {text_of(4, 300)} {' '.join(long[14:])}"), (3, a), (4, f"{text_of(5, 900)} {b}")]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.licence, r.shared_shingles, r.template_shingles) for r in licences.licences_in(docs).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(r[:4] for r in con.execute(queries.ORACLES["op6_licence_scan"]).fetchall())
+    assert [r[:2] for r in got] == [(1, "GPL-3.0"), (2, "GPL-text")]
+
+
 # --- 7
 
 

@@ -5,8 +5,9 @@ twice a block; block sizes are powers of two, each for the templates of up to th
 notice lies whole in one window and window and notice have a bounded size ratio. Windows and templates
 are min-hashed with MAPS maps and banded one value a band: at the least ratio a matching window has a
 Jaccard similarity of 0.19 or more, so no band agrees with a probability below 0.81**32 = 0.0012, and at
-an equal size below 1e-22. Matching bands retrieve (window, template) pairs, and exact containment of the
-template's shingles in the document's (at least THRESHOLD) decides.
+an equal size below 1e-22. Matching bands retrieve (document, template) pairs, and exact containment of the
+template's shingles in the whole document's (at least THRESHOLD) decides: damaged copies far apart count together.
+A document whose parts of a notice are so scattered that no window has a fifth of it may still not be retrieved.
 
 Two lossless steps keep the work small. A document without any anchor word of any template can't reach
 THRESHOLD, since more than a fifth of every template's shingles have an anchor (checked when templates are
@@ -109,20 +110,22 @@ def licences_in(docs: DataFrame, notices: dict[str, str] | None = None) -> DataF
     anchors = F.array(*map(F.lit, ANCHORS))
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("places", places).where(F.size("places") > 0)
+    # Of the whole document's shingles, those of any template: a short list that goes with every window.
+    every = F.array(*(F.lit(s).cast("bigint") for s in sorted({s for r in sizes for s in r.shingles})))
+    rows = rows.withColumn("known", F.array_intersect(shingle_list(F.col("words")), every)).where(F.size("known") > 0)
     windows = None
     for block in sorted({r.block for r in sizes}):
         # A window of 2 * block shingles starts at a multiple of block; those that a shingle with an anchor may lie in.
         starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(
             F.greatest(F.floor((p - (N_WORDS - 1)) / block) - 1, F.lit(0)), F.floor(p / block)))))
-        part = rows.select("row", "doc_id", "words", F.lit(block).alias("block"), F.explode(starts).alias("at"))
+        part = rows.select("row", "doc_id", "words", "known", F.lit(block).alias("block"), F.explode(starts).alias("at"))
         own = F.slice("words", (F.col("at") * block + 1).cast("int"), F.lit(2 * block + N_WORDS - 1))
-        part = part.select("row", "doc_id", "block", "at", shingle_list(own).alias("shingles")).where(F.size("shingles") > 0)
+        part = part.select("row", "doc_id", "known", "block", shingle_list(own).alias("shingles")).where(F.size("shingles") > 0)
         windows = part if windows is None else windows.union(part)
-    hashed = windows.select("row", "doc_id", "block", "at", "shingles", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
-    met = hashed.join(bands, ["block", "band", "value"]).select("row", "doc_id", "at", "block", "licence", "shingles").dropDuplicates(["row", "licence", "block", "at"])
-    # A notice that lies over a window's edge is whole in the next; the best window decides.
-    shared = F.size(F.array_intersect(F.col("shingles"), F.col("want")))
-    checked = met.join(exact.withColumnRenamed("shingles", "want"), "licence").select("row", "doc_id", "licence", "n", shared.alias("shared"))
-    best = checked.groupBy("row", "doc_id", "licence", "n").agg(F.max("shared").alias("shared_shingles")).where(F.col("shared_shingles") >= THRESHOLD * F.col("n"))
+    hashed = windows.select("row", "doc_id", "known", "block", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
+    # The windows retrieve; the whole document's shingles decide, once a document and licence.
+    shared = F.size(F.array_intersect(F.col("known"), F.col("shingles")))
+    met = hashed.join(bands, ["block", "band", "value"]).join(exact, "licence").select("row", "doc_id", "licence", "n", shared.alias("shared_shingles"))
+    best = met.where(F.col("shared_shingles") >= THRESHOLD * F.col("n")).distinct()
     return best.select("doc_id", "licence", F.col("shared_shingles").cast("int").alias("shared_shingles"), F.col("n").cast("int").alias("template_shingles"),
                        (F.col("shared_shingles") / F.col("n")).alias("containment"))
