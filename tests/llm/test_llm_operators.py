@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +201,65 @@ def test_id_store_of_nothing(spark):
     assert idstore.read_digests(spark, path).count() == 0
 
 
+def test_word_encoder_equals_the_library():
+    encoder = idstore.WordEncoder(queries.tokenizer_bytes("word_bpe_49k.json").decode())
+    assert encoder.by_word
+    texts = [f"Ab{chr(c)}cD x{chr(c)} {chr(c)}{chr(c)}1{chr(c)}. {chr(c)}'s" for c in range(1, 0x260)]
+    texts += ["<|ENDOFTEXT|> a", "x<|endoftext|>y", "a\u0301 e", "it's 'tis don''t we'll", "", "  \n\t ", "Ünï  cödé,. a_b__c 12ab34 %%%x", "ｗｉｄｅ \u3000 日本", None]
+    ids, ends = encoder.encode(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends):
+        assert encoder.library.encode(text or "", add_special_tokens=False).ids == ids[a:b].tolist(), text
+
+
+def test_chunks_of_a_passage_do_not_depend_on_its_place():
+    rng = np.random.default_rng(0)
+    shared, ids = rng.integers(0, 49_000, 5000).astype(np.uint16), [rng.integers(0, 49_000, n).astype(np.uint16) for n in (10, 700, 90_000)]
+    texts = [np.concatenate([x, shared]) for x in ids]
+    ends = np.cumsum([len(x) for x in texts])
+    cut = idstore.cuts(np.concatenate(texts), ends)
+    assert [x[-1] for x in cut] == ends.tolist() and all(idstore.LEAST_IDS <= n <= idstore.MOST_IDS for x in cut for n in np.diff(x)[:-1])
+    own = [idstore.cuts(t, np.array([len(t)]))[0] for t in texts]
+    assert [[e - (end - len(t)) for e in x] for x, end, t in zip(cut, ends, texts)] == own
+    tails = [{len(t) - e for e in x} & set(range(3000)) for x, t in zip(own, texts)]
+    assert tails[0] == tails[1] == tails[2] and len(tails[0]) > 3
+
+
+def _changed_store(spark, path, tmp_path, table, change):
+    """A copy of a store in which one table has been changed."""
+    import shutil
+
+    new = f"{tmp_path}/{table}-{len(os.listdir(tmp_path))}"
+    shutil.copytree(path.removeprefix("file:"), new, ignore=shutil.ignore_patterns("spool", table))
+    change(spark.read.parquet(f"{path}/{table}")).write.parquet(f"{new}/{table}")
+    return new
+
+
+def test_id_store_notices_tampering(spark, tmp_path):
+    rows = [(k, text_of(k, 40 + 400 * (k % 3))) for k in range(12)]
+    path = idstore.write_store(docs_of(spark, rows), queries.tokenizer_bytes("word_bpe_49k.json").decode())
+    some = spark.read.parquet(f"{path}/chunks").orderBy("address").limit(2).collect()
+    a, b = bytes(some[0].address), bytes(some[1].address)
+    at, bt = F.col("address") == F.lit(a), F.col("address") == F.lit(b)
+    changes = [
+        ("chunks", lambda df: df.where(~at)),
+        ("chunks", lambda df: df.withColumn("data", F.when(at, F.concat(F.lit(b"\x07\x07"), F.expr("substring(data, 3)"))).otherwise(F.col("data")))),
+        ("chunks", lambda df: df.withColumn("data", F.when(at, F.lit(bytes(some[1].data))).when(bt, F.lit(bytes(some[0].data))).otherwise(F.col("data")))),
+        ("chunks", lambda df: df.union(df.where(at))),
+        ("recipes", lambda df: df.where("doc_id <> 4")),
+        ("recipes", lambda df: df.union(df.where("doc_id = 4"))),
+        ("recipes", lambda df: df.withColumn("doc_id", F.when(F.col("doc_id") == 4, F.lit(5)).when(F.col("doc_id") == 5, F.lit(4)).otherwise(F.col("doc_id")).cast("bigint"))),
+        ("recipes", lambda df: df.withColumn("chunks", F.when(F.col("doc_id") == 4, F.reverse("chunks")).otherwise(F.col("chunks")))),
+        ("manifest", lambda df: df.withColumn("tokens_before", F.col("tokens_before") + 1)),
+        ("manifest", lambda df: df.withColumn("documents", F.col("documents") + 1)),
+    ]
+    for table, change in changes:
+        broken = _changed_store(spark, path, tmp_path, table, change)
+        for read in (idstore.read_digests, idstore.read_documents):
+            with pytest.raises(Exception):
+                read(spark, broken).collect()
+    assert idstore.read_digests(spark, _changed_store(spark, path, tmp_path, "chunks", lambda df: df)).count() == len(rows)
+
+
 # --- 6
 
 

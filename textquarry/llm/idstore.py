@@ -3,105 +3,165 @@
 Every document's ids are cut where a rolling hash of the last GEAR ids ends in zero bits, so equal
 passages give equal chunks wherever they stand. A chunk is addressed by the SHA-256 of its bytes and
 stored once; a document's recipe lists its chunks; recipes are written in ascending doc_id order, and a
-Merkle manifest has, for each part of the recipes, the number of ids before it and the root over its
-recipes, and one root over all parts. Readers check every chunk against its address and every part
-against its root.
+Merkle manifest has, for each part of the recipes, the numbers of its documents and ids and the root over
+its recipes, and one root over all parts. Readers check every chunk against its address, every recipe's
+chunks against what is stored, and every part against its root: a chunk, recipe or part that is missing,
+repeated or changed fails the query.
 
-The encoder library is run on distinct words: the vocabulary's pre-tokenizer never joins across white
-space, so a text's ids are those of its words. Which copy of a chunk is kept is decided on addresses
-alone, then each kept chunk's bytes are moved once.
+The encoder library is run on distinct pre-tokens where the definition's rules allow it: white space and
+changes between letters, digits and signs part them, so a text's ids are those of its pre-tokens. Texts
+with characters beyond Latin letters are encoded whole. Which copy of a chunk is kept is decided on
+addresses alone, then each kept chunk's bytes are moved once.
 
 Defined cases: a null text is empty and has the end id only; documents with equal or null doc_id are
-each stored, nulls first; texts are never cut short; an empty table gives an empty store.
+each stored, nulls first; texts are never cut short; an empty table gives an empty store; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textquarry.llm.shared import shared_dir, small
-from textquarry.llm.words import mixed, pieces_of
+from textquarry.llm.shared import shared_dir
+from textquarry.llm.words import mixed
 
 END_ID = 2
 #: Ids that the rolling hash sees; bits that are zero at a cut; least and most ids of a chunk.
 GEAR, CUT_BITS, LEAST_IDS, MOST_IDS = 16, 8, 64, 2048
+#: Words and signs that a worker remembers, and the longest that it does.
 CACHE_WORDS, CACHE_CHARS = 500_000, 64
-#: A stop or comma after a letter and before white space: a pre-token of its own, so it is parted from its word.
-#: Then, characters whose lower case may depend on others, or that marks may compose with.
-_SIGN = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|\Z)")
-_NOT_PLAIN = re.compile("[^\u0000-\u012f\u0131-\u024f]")
+#: Bytes of text that are encoded together, and words whose ids are gathered at once.
+PIECE_BYTES, GATHER_WORDS = 1 << 23, 1 << 18
+#: Fixed value: the pre-tokenizer's pattern for which white space and changes between letters, digits and signs part pre-tokens.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters whose lower case may depend on others, or that marks may compose with: beyond Latin letters, and the dotted capital I.
+_NOT_PLAIN = r"[^\x{0}-\x{12f}\x{131}-\x{24f}]"
+#: Words of plain letters, digits and signs (but the apostrophe), and their pre-tokens.
+_PARTED = re.compile("[!-&(-~\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PARTS = re.compile(r"[^\W\d_]+|[0-9]|(?:\W|_)+")
 #: Recipes of one part, about.
 PART_RECIPES = 100_000
 
 
+def parts_of(word: str) -> tuple[str, ...] | list[str] | None:
+    """The pre-tokens of a plain word; None if it has other characters."""
+    if word.isalpha():
+        return (word,)
+    if word[-1] in ",." and word[:-1].isalpha():
+        return word[:-1], word[-1]
+    return _PARTS.findall(word) if _PARTED.fullmatch(word) else None
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that lower-cases, drops white space and marks word ends."""
+    """Ids of whole texts from a tokenizer that lower-cases, drops white space and marks word ends.
+
+    Where the definition's rules allow it, the distinct words of a piece of the table are found by Arrow, those that are new
+    are parted into pre-tokens and encoded by the library once each, and all words' ids are gathered with numpy.
+    """
 
     def __init__(self, definition: str):
         self.library = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.width = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {"": b""}
         rules = json.loads(definition)
         steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-        split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        #: White space always parts pre-tokens and is dropped, and letters are parted from signs.
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s" in str(split.get("pattern"))
+        split, *rest = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            steps == ["NFC", "Replace", "Lowercase"] and rules["model"].get("end_of_word_suffix") == "</w>"
+            and (split.get("behavior"), split.get("invert"), (split.get("pattern") or {}).get("Regex")) == ("Removed", True, SPLIT_PATTERN)
+        )
+        #: Texts with one of these, in any case, are left to the library.
+        self.added = sorted({t["content"].lower() for t in rules.get("added_tokens", [])})
+        #: The same vocabulary and merges, without the steps that leave a lower-case pre-token as it is.
+        bare = {**rules, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.by_word else None
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, found: list[str]) -> list[bytes]:
-        """Ids of words of letters only: one pre-token each, so one run of them is encoded and parted at word ends."""
-        if not found:
-            return []
-        ids = np.array(self.library.encode(" ".join(found), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(found) or cuts[-1] != len(ids):
-            return self._whole(found)
-        data = ids.tobytes()
-        bounds = [0, *(4 * cuts).tolist()]
-        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def _learn(self, found: set[str]) -> dict[str, bytes]:
-        new, rest = [w for w in found if w not in self.known], {}
-        letters = [w for w in new if w.isalpha()]
-        plain = [w for w in new if not w.isalpha()]
-        for at in range(0, len(letters), 4096):
-            rest.update(zip(letters[at : at + 4096], self._letters(letters[at : at + 4096])))
-        rest.update(zip(plain, self._whole(plain)))
-        for w in list(rest):
+        return [self._packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pre_tokens(self, found: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: one run of them is encoded and parted at word ends."""
+        out = []
+        for at in range(0, len(found), 1024):
+            part = found[at : at + 1024]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += self._whole(part)
+                continue
+            data, bounds = ids.tobytes(), [0, *(self.width.itemsize * ends).tolist()]
+            out += [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    def _ids_of(self, found: list[str]) -> list[bytes]:
+        """Ids of distinct plain words, in lower case; new pre-tokens are remembered while there is room."""
+        out = list(map(self.known.get, found))
+        new = [k for k, x in enumerate(out) if x is None]
+        parts = {k: parts_of(found[k]) for k in new}
+        unknown = list({p: None for own in parts.values() if own for p in own if p not in self.known})
+        here = dict(zip(unknown, self._pre_tokens(unknown)))
+        for p, ids in here.items():
             if len(self.known) >= CACHE_WORDS:
                 break
-            if len(w) <= CACHE_CHARS:
-                self.known[w] = rest.pop(w)
-        return rest
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(x, np.uint32) for x in self._whole(texts)]
-        split = [_SIGN.sub(r" \1", t.lower() if folds_alone(t) else t).replace("\n", " ").split(" ") for t in texts]
-        rest = self._learn(set().union(*split))
-        of = (lambda w: self.known[w] if w in self.known else rest[w]) if rest else self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, found)), np.uint32) for found in split]
-
-
-def folds_alone(text: str) -> bool:
-    """Whether the library's lower case is that of each character: in ASCII, and in Latin letters but the dotted capital I.
-
-    These have no marks to compose with, so the order of composition and lower case doesn't matter either.
-    """
-    return text.isascii() or not _NOT_PLAIN.search(text)
+            if len(p) <= CACHE_CHARS:
+                self.known[p] = ids
+        odd = [k for k in new if parts[k] is None]
+        for k, ids in zip(odd, self._whole([found[k] for k in odd]) if odd else ()):
+            out[k] = ids
+        for k in new:
+            if parts[k] is not None:
+                out[k] = b"".join([here[p] if p in here else self.known[p] for p in parts[k]])
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's end)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.empty(0, self.width), np.empty(0, np.int64)
+        lower = pc.utf8_lower(texts)
+        odd = pc.match_substring_regex(texts, _NOT_PLAIN) if self.by_word else pa.array(np.ones(len(texts), bool))
+        for token in self.added if self.by_word else ():
+            odd = pc.or_(odd, pc.match_substring(lower, token))
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", lower))
+        words = lists.values.dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py().split("\n")
+        each = self._ids_of(distinct)
+        place = words.indices.to_numpy()
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // self.width.itemsize
+        flat, begins = np.frombuffer(b"".join(each), self.width), np.cumsum(sizes) - sizes
+        ids = []
+        for at in range(0, len(place), GATHER_WORDS):
+            own = place[at : at + GATHER_WORDS]
+            n = sizes[own]
+            past = np.cumsum(n)
+            ids.append(flat[np.repeat(begins[own] - (past - n), n) + np.arange(past[-1])])
+        ids = np.concatenate(ids) if ids else np.empty(0, self.width)
+        ends = np.concatenate([[0], np.cumsum(sizes[place])])[lists.offsets.to_numpy()[1:]]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return ids, ends
+        lengths = np.diff(ends, prepend=0)
+        own = [np.frombuffer(x, self.width) for x in self._whole(texts.take(pa.array(whole)).to_pylist())]
+        ids = np.insert(ids, np.repeat(ends[whole], [len(x) for x in own]), np.concatenate(own))
+        lengths[whole] = [len(x) for x in own]
+        return ids, np.cumsum(lengths)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -115,26 +175,58 @@ def worker_encoder(definition: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-_POWERS = np.cumprod(np.concatenate([[1], np.full(GEAR, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ids, by content; chunks have LEAST_IDS to MOST_IDS ids, the last may have fewer."""
-    n, out, start = len(ids), [], 0
-    marked = np.empty(0, np.int64)
-    if n > LEAST_IDS:
-        each = mixed(ids.astype(np.uint64) + np.uint64(1))
-        rolled = np.zeros(n - GEAR + 1, np.uint64)
-        for k in range(GEAR):
-            rolled += each[k : k + len(rolled)] * _POWERS[k]
-        marked = np.flatnonzero(mixed(rolled) & np.uint64((1 << CUT_BITS) - 1) == 0) + GEAR
-    for end in [*marked.tolist(), n]:
-        while end - start > MOST_IDS:
-            start += MOST_IDS
-            out.append(start)
-        if end - start >= LEAST_IDS or end == n and end > start:
-            out.append(end)
-            start = end
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_BLOCK = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_BLOCK + GEAR, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+_SMALL_IDS = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A hash of each id; looked up for ids of 16 bits."""
+    return _SMALL_IDS[ids] if ids.dtype.itemsize == 2 else mixed(ids.astype(np.uint64) + np.uint64(1))
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after each run of GEAR ids whose hash, a polynomial taken from prefix sums, ends a chunk."""
+    found = []
+    for at in range(0, len(ids) - GEAR + 1, _BLOCK):
+        part = spread(ids[at : at + _BLOCK + GEAR - 1])
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POWERS[: len(part)], out=sums[1:])
+        rolled = (sums[GEAR:] - sums[:-GEAR]) * _INVERSES[: len(part) - GEAR + 1]
+        found.append(np.flatnonzero((rolled * _SPREAD) >> np.uint64(64 - CUT_BITS) == 0) + (at + GEAR))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """For each text of ids (which end at ends) the ends of its chunks, by content.
+
+    Chunks have LEAST_IDS to MOST_IDS ids, a text's last may have fewer. A run that reaches back into another text ends
+    within the first LEAST_IDS of its own, where no chunk does.
+    """
+    places, out, start = marks(ids), [], 0
+    bounds = [0, *np.searchsorted(places, ends).tolist()]
+    places = places.tolist()
+    for a, b, end in zip(bounds, bounds[1:], ends.tolist()):
+        chunks = []
+        for stop in [*places[a:b], end]:
+            while stop - start > MOST_IDS:
+                start += MOST_IDS
+                chunks.append(start)
+            if stop - start >= LEAST_IDS or stop == end and stop > start:
+                chunks.append(stop)
+                start = stop
+        out.append(chunks)
     return out
 
 
@@ -169,6 +261,17 @@ class MerkleFold:
         return node or hashlib.sha256(b"").digest()
 
 
+def byte_pieces(texts: pa.Array):
+    """Ranges of texts of about PIECE_BYTES together."""
+    past = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(past):
+        before = past[start - 1] if start else 0
+        end = min(len(past), int(np.searchsorted(past, before + PIECE_BYTES)) + 1)
+        yield start, end
+        start = end
+
+
 def _spooled(docs: DataFrame, definition: str) -> DataFrame:
     """row, doc_id, no, address, n, data (unsigned 16- or 32-bit ids) of every chunk, copies and all."""
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
@@ -176,26 +279,21 @@ def _spooled(docs: DataFrame, definition: str) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(shipped.value)
-        narrow = len(encoder.ends) <= 1 << 16
-        for batch in small(batches):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for start, end in pieces_of(texts):
-                at, no, address, sizes, data = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(texts[start:end]), start):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    raw, width, begin = (ids.astype("<u2") if narrow else ids).tobytes(), 2 if narrow else 4, 0
-                    for i, stop in enumerate(cuts(ids)):
-                        piece = raw[begin * width : stop * width]
-                        at.append(k)
-                        no.append(i)
-                        address.append(hashlib.sha256(piece).digest())
-                        sizes.append(stop - begin)
-                        data.append(piece)
-                        begin = stop
+        for batch in batches:
+            for start, end in byte_pieces(batch.column(2)):
+                ids, ends = encoder.encode(batch.column(2).slice(start, end - start))
+                ids = np.insert(ids, ends, END_ID)
+                stops = cuts(ids, ends + np.arange(1, len(ends) + 1))
+                at = np.repeat(np.arange(start, end), [len(x) for x in stops])
+                bounds = np.array([0, *itertools.chain.from_iterable(stops)], np.int64)
+                raw = memoryview(ids.tobytes())
+                byte = (bounds * ids.itemsize).tolist()
+                address = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(byte, byte[1:])]
+                data = pa.Array.from_buffers(pa.binary(), len(address), [None, pa.py_buffer(np.array(byte, np.int32)), pa.py_buffer(raw)])
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(no, pa.int32()),
-                    pa.array(address, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary()),
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([np.arange(len(x)) for x in stops]), pa.int32()),
+                    pa.array(address, pa.binary()), pa.array(np.diff(bounds), pa.int32()), data,
                 ], schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -206,6 +304,10 @@ def _leaf(doc_id, n: int, addresses: list[bytes]) -> bytes:
     return f"{doc_id}:{n}:".encode() + b"".join(addresses)
 
 
+def _part_leaf(part: int, documents: int, tokens: int, root: bytes) -> bytes:
+    return f"{part}:{documents}:{tokens}:".encode() + root
+
+
 def _numbered(recipes: DataFrame) -> DataFrame:
     """recipes(row, doc_id, n_tokens, chunks), sorted in each part, with their place in the part and its Merkle fold so far."""
     schema = "part int, row bigint, doc_id bigint, n_tokens bigint, start_in_part bigint, chunks array<struct<no:int,address:binary,n:int>>, root_so_far binary"
@@ -246,11 +348,11 @@ def write_store(docs: DataFrame, definition: str, path: str | None = None) -> st
     ends = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(
         F.max_by(F.struct((F.col("start_in_part") + F.col("n_tokens")).alias("tokens"), "root_so_far"), F.struct("start_in_part", "row")).alias("e"), F.count(F.lit(1)).alias("documents")
     ).select("part", "documents", "e.*").orderBy("part").collect()
-    before, rows = 0, []
+    rows, before = [], 0
     for r in ends:
         rows.append((r.part, r.documents, before, r.tokens, bytes(r.root_so_far)))
         before += r.tokens
-    root = merkle([x[4] for x in rows])
+    root = merkle([_part_leaf(x[0], x[1], x[3], x[4]) for x in rows])
     spark.createDataFrame([(*x, root) for x in rows], "part int, documents bigint, tokens_before bigint, tokens bigint, root binary, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
@@ -278,79 +380,129 @@ def shifted_crc(crc: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("address binary, n int, data binary").parquet(f"{path}/chunks")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """address, n and crc32 (of the ids as 32-bit) of every stored chunk; fails if one does not match its address."""
+    """address, bytes and crc (of the ids as 32-bit) of every stored chunk; fails if one does not match its address."""
     schema = pa.schema([("address", pa.binary()), ("bytes", pa.int64()), ("crc", pa.int64())])
 
     def run(batches):
         for batch in batches:
             address, n, data = (batch.column(k).to_pylist() for k in range(3))
-            if any(hashlib.sha256(d).digest() != a for a, d in zip(address, data)):
-                raise ValueError("a chunk does not match its address")
-            wide = [np.frombuffer(d, "<u2" if len(d) == 2 * k else "<u4").astype("<u4").tobytes() for k, d in zip(n, data)]
+            wide = [_checked_ids(a, k, d).astype("<u4").tobytes() for a, k, d in zip(address, n, data)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in wide], pa.int64()), pa.array([zlib.crc32(w) for w in wide], pa.int64())], schema=schema)
 
-    return spark.read.parquet(f"{path}/chunks").select("address", "n", "data").mapInArrow(run, "address binary, bytes bigint, crc bigint")
+    return _stored_chunks(spark, path).mapInArrow(run, "address binary, bytes bigint, crc bigint")
+
+
+def _checked_ids(address: bytes, n: int, data: bytes) -> np.ndarray:
+    if hashlib.sha256(data).digest() != address or len(data) not in (2 * n, 4 * n):
+        raise ValueError("a chunk does not match its address")
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
-def _checked_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with their start over the whole store, after every part has been checked against the manifest."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest").collect()  # a row a part
-    if manifest and merkle([bytes(r.root) for r in sorted(manifest, key=lambda r: r.part)]) != bytes(manifest[0].store_root):
+def _checked_manifest(spark: SparkSession, path: str) -> list:
+    """A row a part, in order, after its roots have been checked, and the recipes' numbers against it."""
+    manifest = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: r.part)
+    before = 0
+    for r in manifest:
+        if r.tokens_before != before or bytes(r.store_root) != bytes(manifest[0].store_root):
+            raise ValueError("the manifest is not whole")
+        before += r.tokens
+    if manifest and merkle([_part_leaf(r.part, r.documents, r.tokens, bytes(r.root)) for r in manifest]) != bytes(manifest[0].store_root):
         raise ValueError("the manifest does not match its root")
-    roots = {r.part: bytes(r.root) for r in manifest}
+    recipes = spark.read.schema("part int, n_tokens bigint").parquet(f"{path}/recipes")
+    found = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).collect()
+    if sorted((r.part, r.documents, r.tokens) for r in found) != [(r.part, r.documents, r.tokens) for r in manifest]:
+        raise ValueError("recipes are missing, or there are too many")
+    return manifest
+
+
+def _checked_uses(spark: SparkSession, path: str) -> DataFrame:
+    """row, doc_id, start, n_tokens, n_chunks, no, address, n, tail: a row for each chunk of each recipe, tail being the ids after it.
+
+    Every part's recipes are put in order and folded again; a part that does not match its root fails.
+    """
+    manifest = _checked_manifest(spark, path)
+    parts = {r.part: (r.tokens_before, bytes(r.root)) for r in manifest}
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int32()), ("no", pa.int32()),
+                        ("address", pa.binary()), ("n", pa.int64()), ("tail", pa.int64())])
 
     def run(batches):
-        fold, part, last = MerkleFold(), None, None
+        fold, part, done = MerkleFold(), None, 0
         for batch in batches:
-            for k, (p, doc, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            lists = batch.column(5)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            chunks = lists.flatten()
+            addresses, n = chunks.field("address"), chunks.field("n").to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            names = addresses.to_pylist()
+            starts = np.empty(batch.num_rows, np.int64)
+            for k, (p, doc, tokens, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)))):
                 if p != part:
-                    if part is not None and fold.root() != roots[part]:
+                    if part is not None and fold.root() != parts[part][1]:
                         raise ValueError(f"part {part} does not match its root")
-                    fold, part = MerkleFold(), p
-                fold.add(_leaf(doc, n, batch.column(5)[k].values.field("address").to_pylist()))
-                last = fold
-            yield batch
-        if part is not None and last.root() != roots[part]:
+                    fold, part, done = MerkleFold(), p, 0
+                own = names[ends[k] - sizes[k] : ends[k]]
+                fold.add(_leaf(doc, tokens, own))
+                if at != done or n[ends[k] - sizes[k] : ends[k]].sum() != tokens:
+                    raise ValueError(f"a recipe of part {part} does not add up")
+                starts[k] = parts[p][0] + done
+                done += tokens
+            past = np.cumsum(n)
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(1).take(of), batch.column(2).take(of), pa.array(starts[owner]), batch.column(3).take(of), pa.array(sizes[owner], pa.int32()),
+                chunks.field("no"), addresses, pa.array(n), pa.array(past[ends[owner] - 1] - past),
+            ], schema=schema)
+        if part is not None and fold.root() != parts[part][1]:
             raise ValueError(f"part {part} does not match its root")
 
     # A part is one sorted file of about PART_RECIPES recipes; here it is put together again in its order.
-    rows = recipes.drop("root_so_far").repartition("part").sortWithinPartitions("part", "start_in_part", "row")
-    offsets = F.broadcast(spark.createDataFrame([(r.part, r.tokens_before) for r in manifest], "part int, tokens_before bigint"))
-    return rows.mapInArrow(run, rows.schema).join(offsets, "part").withColumn("start", F.col("tokens_before") + F.col("start_in_part"))
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "doc_id", "n_tokens", "start_in_part", "chunks")
+    rows = recipes.repartition("part").sortWithinPartitions("part", "start_in_part", "row")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, start bigint, n_tokens bigint, n_chunks int, no int, address binary, n bigint, tail bigint")
+
+
+def _whole(condition, value, what: str):
+    """value where condition holds; else the query fails."""
+    return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(F.lit(what)))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files.
 
-    Each stored chunk is read and checked once; a document's checksum is put together from its chunks'.
+    Each stored chunk is read and checked once; a document's checksum is put together from its chunks'. A chunk that is
+    missing, changed, stored twice or of another length than the recipe says fails the query.
     """
-    recipes = _checked_recipes(spark, path).select("row", "doc_id", "start", "n_tokens", F.explode("chunks").alias("c"), "chunks")
-    tail = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x.no > F.col("c.no"), x.n).otherwise(0))
-    uses = recipes.select("row", "doc_id", "start", "n_tokens", F.col("c.address").alias("address"), (tail * 4).alias("tail"))
-    joined = uses.join(read_chunks(spark, path), "address").select("row", "doc_id", "start", "n_tokens", "crc", "tail")
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64())])
+    joined = _checked_uses(spark, path).join(read_chunks(spark, path), "address", "left")
+    crc = _whole(F.col("bytes") == F.col("n") * 4, F.col("crc"), "a chunk is missing or of another length")
+    joined = joined.select("row", "doc_id", "start", "n_tokens", "n_chunks", crc.alias("crc"), (F.col("tail") * 4).alias("tail"))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int32()), ("crc", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            crc = shifted_crc(batch.column(4).to_numpy(), batch.column(5).to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(crc)], schema=schema)
+            crc = shifted_crc(batch.column(5).to_numpy(), batch.column(6).to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(crc)], schema=schema)
 
-    parts = joined.mapInArrow(run, "row bigint, doc_id bigint, start bigint, n_tokens bigint, crc bigint")
-    return parts.groupBy("row", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32")).drop("row")
+    parts = joined.mapInArrow(run, "row bigint, doc_id bigint, start bigint, n_tokens bigint, n_chunks int, crc bigint")
+    merged = parts.groupBy("row", "doc_id", "start", "n_tokens", "n_chunks").agg(F.bit_xor("crc").alias("crc"), F.count(F.lit(1)).alias("found"))
+    return merged.select("doc_id", "start", "n_tokens", _whole(F.col("found") == F.col("n_chunks"), F.col("crc"), "a chunk is stored twice").alias("ids_crc32"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids (array of int) of every document, put together again."""
-    recipes = spark.read.parquet(f"{path}/recipes").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", "tokens_before")), "part")
-    uses = recipes.select("row", "doc_id", (F.col("tokens_before") + F.col("start_in_part")).alias("start"), F.explode("chunks").alias("c"))
-    joined = uses.join(spark.read.parquet(f"{path}/chunks"), F.col("c.address") == F.col("address"))
-    lists = joined.groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("c.no", "c.n", "data"))).alias("d"))
+    """doc_id, start and ids (array of int) of every document, put together again; fails on the same faults as read_digests."""
+    joined = _checked_uses(spark, path).join(_stored_chunks(spark, path).withColumnRenamed("n", "stored"), "address", "left")
+    piece = F.struct("no", "n", "address", _whole(F.col("stored") == F.col("n"), F.col("data"), "a chunk is missing or of another length").alias("data"))
+    lists = joined.groupBy("row", "doc_id", "start", "n_chunks").agg(F.array_sort(F.collect_list(piece)).alias("d"))
+    lists = lists.select("doc_id", "start", _whole(F.size("d") == F.col("n_chunks"), F.col("d"), "a chunk is stored twice").alias("d"))
 
     def run(batches):
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(x["data"], "<u2" if len(x["data"]) == 2 * x["n"] else "<u4").astype(np.int32) for x in d]) for d in batch.column(2).to_pylist()]
+            ids = [np.concatenate([_checked_ids(x["address"], x["n"], x["data"]).astype(np.int32) for x in d]) for d in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return lists.select("doc_id", "start", "d").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return lists.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
