@@ -325,8 +325,8 @@ def test_jaccard_classes_equal_brute_force(spark):
     rows = [(100 + k, t) for k, t in enumerate(base)]
     rows += [(k, base[0]) for k in range(5)] + [(20 + k, " ".join([*base[1].split()[: 190 + k], f"end{k}"])) for k in range(8)]
     rows += [(40, None), (41, ""), (42, "a b"), (43, "a b"), (44, "A, b!"), (None, base[2]), (45, base[3] + " x"), (45, base[3] + " x"), (46, text_of(77, 30_000))]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs_of(spark, rows)).collect() if r.doc_id is not None}
-    known = {d: s for (d, _), s in zip(rows, sets_of([t for _, t in rows])) if d is not None}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs_of(spark, rows)).collect()}
+    known = {d: s for (d, _), s in zip(rows, sets_of([t for _, t in rows]))}
     links = {a: {b for b in known if a != b and known[a] and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])} for a in known}
     assert {d: n for d, (_, n) in got.items()} == {d: len(x) for d, x in links.items()}
     for d in known:
@@ -335,15 +335,46 @@ def test_jaccard_classes_equal_brute_force(spark):
             new = links[todo.pop()] - seen
             seen |= new
             todo += new
-        assert got[d][0] == min(seen)
+        assert got[d][0] == min(seen - {None})
 
 
 def test_one_of_each(spark):
-    same = text_of(9, 60)
-    docs = docs_of(spark, [(3, same), (1, same), (2, text_of(8, 60)), (None, same)])
+    same, near = text_of(9, 60), text_of(8, 60)
+    docs = docs_of(spark, [(3, same), (1, same), (2, near), (None, same), (None, same.upper()), (4, near + " x"), (None, text_of(7, 30)), (None, text_of(7, 30)), (20, None), (20, None), (None, ""), (21, "!")])
     left = jaccard.one_of_each(docs)
-    assert left.columns == docs.columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2]
-    assert jaccard.classes(docs_of(spark, [])).count() == 0
+    assert left.columns == docs.columns and left.schema == docs.schema
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(1, same), (2, near), (-1, text_of(7, 30)), (20, ""), (20, ""), (-1, ""), (21, "!")])
+    assert jaccard.classes(docs_of(spark, [])).count() == 0 and jaccard.one_of_each(docs_of(spark, [])).count() == 0
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in jaccard.classes(docs).collect())
+    assert got == sorted([(3, 1, 3), (1, 1, 3), (-1, 1, 3), (-1, 1, 3), (2, 2, 1), (4, 2, 1), (-1, -1, 1), (-1, -1, 1), (20, 20, 0), (-1, -1, 0), (21, 21, 0)])
+
+
+def test_one_of_each_with_an_id_on_two_texts(spark):
+    a, b = text_of(1, 60), text_of(2, 60)
+    rows = [(5, a), (9, a), (3, b), (5, b), (5, b), (5, text_of(3, 60)), (5, text_of(3, 60))]
+    docs = docs_of(spark, rows).withColumns({"word": F.lit(1), "bits": F.lit(2), "hit": F.lit(3), "shape": F.lit(4), "row": F.lit(5), "gone_id": F.lit(6)}).withColumn("doc_id", F.col("doc_id").cast("int"))
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(5, a), (3, b), (5, text_of(3, 60))])
+
+
+def test_jaccard_recall_on_documents(spark, sf_dir):
+    """All links of the whole table against brute force over shingle sets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = dict(zip((r.doc_id for r in rows), sets_of([r.text for r in rows])))
+    by = defaultdict(list)
+    for d, own in sets.items():
+        for s in own:
+            by[s].append(d)
+    pairs = {(a, b) for own in by.values() for a in own for b in own if a < b}
+    links = defaultdict(int)
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    assert sum(links.values()) > 20
+    assert {r.doc_id: r.n_links for r in jaccard.classes(docs).collect()} == {d: links[d] for d in sets}
 
 
 def test_large_bucket_is_split(spark):

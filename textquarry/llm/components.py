@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from textquarry.llm.shared import stored
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); a component is named by its least node.
 
     Each round links every node's neighbours to its least neighbour (large star) and then the smaller
     ones among themselves (small star). Both steps only need a minimum per node, which is aggregated
     before the shuffle, and a join on the node, whose hot keys adaptive execution splits. Every round is
-    written to the shared folder, and the rounds end when the edges no longer change.
+    written to the shared folder, and the rounds end when the edges no longer change, after about the
+    logarithm of the longest path; each round brings some node nearer to its root, so they do end.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -13,10 +13,15 @@ Buckets only give candidate edges (a spanning set, not pairs). The candidates' c
 compared exactly: all pairs inside a component, on their full shingle sets, in blocks of bounded size,
 counting links and keeping spanning edges. Exact classes are the components of those.
 
+Texts are never shuffled as a table: a bit table of bounded size marks the ids of suspects, the marked rows'
+shingle sets are joined with the suspects on the sets' hashes, and all other rows stay where they are.
+
 Defined cases: a text of one to four words is one shingle of all of them; a text without words, or null,
-has no link and is its own class; rows that repeat a doc_id give one row, and if their texts differ it has
-the least class and the largest counts among them; rows with a null doc_id are returned with a null class
-and no links. Extra columns are ignored.
+has no link and is its own class, and so is each of several; texts are read whole, however long; rows that
+repeat a doc_id count as one document and give one row, and if their texts differ it has the least class and
+the largest counts among them; every row with a null doc_id is a document of its own, returned with its
+class, which is null where no member has an id; empty tables give no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.llm import words as W
 from textquarry.llm.components import connected_components
-from textquarry.llm.shared import sent_if_small, small, stored
+from textquarry.llm.shared import fresh, id_bits, small, stored, with_bit
 
 SIMILARITY = 0.8
 TOKENS = 64
@@ -74,26 +80,32 @@ def extended(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([at, at[used]]), np.concatenate([grown(first, at), grown(second, at[used])])
 
 
+def _sets(texts: list) -> list[np.ndarray]:
+    return [np.unique(x) for x in W.shingle_lists(texts, short=True)]
+
+
+def _shape(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, shape (a hash of the whole shingle set), n and tokens of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shape", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary())])
+    """doc_id, shape (a hash of the whole shingle set; null without words) and tokens of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("shape", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches):
         for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for start, end in W.pieces_of(texts):
-                sets = [np.unique(x) for x in W.shingle_lists(texts[start:end], short=True)]
+                sets = _sets(texts[start:end])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, end - start),
-                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                    pa.array([len(x) for x in sets], pa.int32()),
+                    batch.column(0).slice(start, end - start), pa.array([_shape(x) for x in sets], pa.binary()),
                     pa.array([(W.minhashes(x, _MAPS) >> np.uint32(16)).astype(np.uint16).tobytes() if len(x) else None for x in sets], pa.binary()),
                 ], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, shape binary, n int, tokens binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, shape binary, tokens binary")
 
 
-_FIRST = pa.schema([("path", pa.int64()), ("doc_id", pa.int64())])
+_FIRST = pa.schema([("path", pa.int64()), ("node", pa.int64())])
 _PATHS = pa.schema([*_FIRST, ("tokens", pa.binary())])
 
 
@@ -102,7 +114,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _first_paths(rows: DataFrame, runs: int) -> DataFrame:
-    """(path, doc_id): the first level's paths of rows(doc_id, tokens) in each run."""
+    """(path, node): the first level's paths of rows(node, tokens) in each run."""
 
     def run(batches):
         for batch in batches:
@@ -113,11 +125,11 @@ def _first_paths(rows: DataFrame, runs: int) -> DataFrame:
                 at, paths = np.concatenate([a for a, _ in each]), np.concatenate([p for _, p in each])
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(pa.array(at))], schema=_FIRST)
 
-    return rows.select("doc_id", "tokens").mapInArrow(run, "path bigint, doc_id bigint")
+    return rows.select("node", "tokens").mapInArrow(run, "path bigint, node bigint")
 
 
 def _next_paths(rows: DataFrame) -> DataFrame:
-    """Child paths of rows(path, doc_id, tokens)."""
+    """Child paths of rows(path, node, tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -127,7 +139,7 @@ def _next_paths(rows: DataFrame) -> DataFrame:
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(1).take(at), part.column(2).take(at)], schema=_PATHS)
 
-    return rows.select("path", "doc_id", "tokens").mapInArrow(run, "path bigint, doc_id bigint, tokens binary")
+    return rows.select("path", "node", "tokens").mapInArrow(run, "path bigint, node bigint, tokens binary")
 
 
 def _spanning(near: np.ndarray) -> np.ndarray:
@@ -143,7 +155,7 @@ def _spanning(near: np.ndarray) -> np.ndarray:
 
 
 def _bucket_edges(rows: DataFrame) -> DataFrame:
-    """Candidate edges inside buckets of rows(path, doc_id, tokens), none of which is large."""
+    """Candidate edges inside buckets of rows(path, node, tokens), none of which is large."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -188,16 +200,16 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
     level = _first_paths(signatures, runs_needed())
     for depth in range(1, DEPTH + 1):
         # Paths are cheap to grow again, so they are counted and joined without being written.
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")).where("size > 1")
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
         shared = level.join(sizes, "path")
-        level = stored(shared.join(signatures, "doc_id") if depth == 1 else shared, f"paths-{depth}")
-        edges = _bucket_edges(level.where(F.col("size") <= SMALL).select("path", "doc_id", "tokens"))
+        level = stored(shared.join(signatures, "node") if depth == 1 else shared, f"paths-{depth}")
+        edges = _bucket_edges(level.where(F.col("size") <= SMALL).select("path", "node", "tokens"))
         found = edges if found is None else found.union(edges)
         large = level.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
         if depth == DEPTH:
-            found = found.union(large.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+            found = found.union(large.select(F.col("node").alias("a"), F.col("least").alias("b")))
         else:
             level = _next_paths(large)
     return stored(found.where("a <> b").distinct(), "candidates")
@@ -228,27 +240,25 @@ def _compare(sets: list[np.ndarray], other: list[np.ndarray] | None) -> np.ndarr
     return shared >= SIMILARITY * union - 1e-6
 
 
-_LINKS = pa.schema([("doc_id", pa.int64()), ("links", pa.int64()), ("texts", pa.int64()), ("other", pa.int64())])
+_LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("texts", pa.int64()), ("other", pa.int64())])
 
 
 def _verified(rows: DataFrame) -> DataFrame:
-    """Partial link counts and spanning edges of blocks: rows(component, i, j, side, doc_id, weight, shingles)."""
+    """Partial link counts and spanning edges of blocks: rows(component, i, j, side, node, weight, shingles)."""
 
     def run(batches):
         key, left, right = None, [], []
         for batch in batches:
             columns = [batch.column(k) for k in range(batch.num_columns)]
             head = list(zip(*(c.to_pylist() for c in columns[:6])))
-            for at, (component, i, j, side, doc, weight) in enumerate(head):
+            for at, (component, i, j, side, node, weight) in enumerate(head):
                 if (component, i, j) != key:
                     if key is not None:
                         yield block(i0 == j0, left, right)
                     key, left, right = (component, i, j), [], []
                     i0, j0 = i, j
                 own, shingles = left if side == 0 else right, np.frombuffer(columns[6][at].as_buffer(), np.uint64).copy()
-                before = next((k for k in range(len(own) - 1, -1, -1) if own[k][0] != doc), -1) + 1
-                if not any(np.array_equal(shingles, s) for *_, s in own[before:]):  # a repeated row counts once
-                    own.append((doc, weight, shingles))
+                own.append((node, weight, shingles))
         if key is not None:
             yield block(i0 == j0, left, right)
 
@@ -285,65 +295,107 @@ def _verified(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64()), pa.array(texts, pa.int64()), pa.array(other, pa.int64())], schema=_LINKS)
 
     # The last sort column makes the order, and so the result of a repeated task, the same each time.
-    ordered = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id")
-    return ordered.mapInArrow(run, "doc_id bigint, links bigint, texts bigint, other bigint")
+    ordered = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "node")
+    return ordered.mapInArrow(run, "node bigint, links bigint, texts bigint, other bigint")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """shingles (sorted 64-bit hashes) of docs(component, doc_id, weight, shape, text), for rows whose set has that shape."""
-    schema = pa.schema([("component", pa.int64()), ("doc_id", pa.int64()), ("weight", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    """shape, n and shingles (sorted 64-bit hashes) of docs(text)."""
+    schema = pa.schema([("shape", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in small(batches):
-            texts, shapes = batch.column(4).to_pylist(), batch.column(3).to_pylist()
+            texts = batch.column(0).to_pylist()
             for start, end in W.pieces_of(texts):
-                sets = [np.unique(x) for x in W.shingle_lists(texts[start:end], short=True)]
-                keep = pa.array([k for k, x in enumerate(sets) if xxhash.xxh3_128_digest(x.tobytes()) == shapes[start + k]], pa.int64())
-                part = batch.slice(start, end - start).take(keep)
-                own = [sets[k] for k in keep.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "component bigint, doc_id bigint, weight bigint, n bigint, shingles binary")
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links (other documents it is linked to), n_texts (different linked texts)."""
-    rows = stored(_signatures(docs), "signatures")
-    shaped = rows.where("shape is not null").select("doc_id", "shape").distinct()
-    shapes = stored(shaped.groupBy("shape").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "shapes")
-    reps = shapes.select(F.col("rep").alias("doc_id"), "shape", "weight")
-    tokens = stored(rows.join(reps, ["doc_id", "shape"], "left_semi").select("doc_id", "tokens"), "tokens")
-    components = stored(connected_components(candidate_edges(tokens)), "components").select(F.col("node").alias("doc_id"), "component")
-
-    # Where the suspects are few enough to be sent, the texts stay where they are; else both sides are shuffled.
-    suspects = sent_if_small(stored(reps.join(components, "doc_id"), "suspects"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    sets = stored(_shingle_sets(texts.join(suspects, "doc_id").select("component", "doc_id", "weight", "shape", "text")), "sets")
+                sets = [x for x in _sets(texts[start:end]) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([_shape(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "shape binary, n bigint, shingles binary")
+
+
+def _linked_shapes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """shape, least (doc_id or null), class_node, n_links and n_texts of each different set of rows, the stored signatures of docs.
+
+    n_links of a row with that set: its copies, and the documents of linked sets.
+    """
+    worded = rows.where("shape is not null")
+    # Copies are merged before the shuffle, so a set that very many rows share is no hot key.
+    named = worded.where("doc_id is not null").groupBy("shape", "doc_id").agg(F.count(F.lit(1))).groupBy("shape").agg(F.count(F.lit(1)).alias("named"))
+    shapes = worded.groupBy("shape").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nameless"), F.first("tokens").alias("tokens"))
+    weight = (F.coalesce("named", F.lit(0)) + F.col("nameless")).alias("weight")
+    shapes = stored(shapes.join(named, "shape", "left").select(F.monotonically_increasing_id().alias("node"), "shape", "least", weight, "tokens"), "shapes")
+    components = stored(connected_components(candidate_edges(shapes.select("node", "tokens"))), "components")
+
+    suspects = stored(shapes.select("node", "shape", "least", "weight").join(components, "node"), "suspects")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = with_bit(texts, "doc_id", id_bits(suspects, "least"), "hit").where("hit")
+    sets = _shingle_sets(texts).groupBy("shape").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = stored(sets.join(suspects, "shape").select("component", "node", "weight", "n", "shingles"), "sets")
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     blocks = sizes.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc_id", "n"), F.col("blocks")).cast("int"))
+    placed = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node", "n"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.when(F.col("block") <= k, 0).otherwise(1).alias("side")))).alias("pair")
-    spread = placed.select("component", "doc_id", "weight", "shingles", pair).select("component", "pair.i", "pair.j", "pair.side", "doc_id", "weight", "shingles")
+    spread = placed.select("component", "node", "weight", "shingles", pair).select("component", "pair.i", "pair.j", "pair.side", "node", "weight", "shingles")
     found = stored(_verified(spread), "links")
 
-    linked = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    exact = connected_components(found.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-    by_rep = (
-        shapes.join(exact.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .select("shape", F.coalesce("component", "rep").alias("class_id"),
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    exact = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return (
+        shapes.select("node", "shape", "least", "weight").join(exact, "node", "left").join(linked, "node", "left")
+        .select("shape", "least", F.coalesce("component", "node").alias("class_node"),
                 (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     )
-    shaped_rows = shaped.join(by_rep, "shape").select("doc_id", "class_id", "n_links", "n_texts")
-    alone = rows.where("shape is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(0).alias("n_texts"))
-    result = shaped_rows.union(alone).groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.max("n_links").cast("bigint").alias("n_links"), F.max("n_texts").cast("bigint").alias("n_texts"))
-    nameless = docs.where("doc_id is null").select(*(F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "class_id")), *(F.lit(0).cast("bigint").alias(c) for c in ("n_links", "n_texts")))
-    return result.union(nameless)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), n_links (other documents it is linked to), n_texts (different linked texts)."""
+    rows = stored(_signatures(docs), "signatures")
+    linked = stored(_linked_shapes(docs, rows), "linked")
+    names = linked.groupBy("class_node").agg(F.min("least").alias("class_id"))
+    by_shape = linked.join(names, "class_node").select("shape", "class_id", "n_links", "n_texts")
+    worded = rows.where("shape is not null").join(by_shape, "shape").select("doc_id", "class_id", "n_links", "n_texts")
+    wordless = rows.where("shape is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.lit(0).alias("n_texts"))
+    each = worded.union(wordless).withColumns({c: F.col(c).cast("bigint") for c in ("n_links", "n_texts")})
+    named = each.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("n_texts").alias("n_texts"))
+    return named.unionByName(each.where("doc_id is null"))
+
+
+def _shaped(docs: DataFrame, name: str) -> DataFrame:
+    """docs with their sets' hashes in a further column."""
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches):
+        for batch in small(batches):
+            texts = batch.column(at).to_pylist()
+            shapes = [_shape(x) for a, b in W.pieces_of(texts) for x in _sets(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.binary())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, columns as they are, without documents whose class has a smaller doc_id; null ids stay."""
-    dropped = stored(classes(docs).where("doc_id <> class_id").select("doc_id"), "dropped")
-    return docs.join(sent_if_small(dropped), "doc_id", "left_anti").select(docs.columns)
+    """One row of every class of docs, columns as they are: of the least doc_id, a null one being greatest.
+
+    Rows are decided on by id and set. Of rows that repeat both, any one stays; rows without words all stay.
+    """
+    rows = stored(_signatures(docs), "signatures")
+    linked = stored(_linked_shapes(docs, rows), "linked")
+    kept = linked.groupBy("class_node").agg(F.min(F.struct(F.col("least").isNull(), "least", "shape")).alias("kept"), F.count(F.lit(1)).alias("sets"))
+    kept = linked.join(kept, "class_node").where("sets > 1 or n_links > 0").select("shape", "least", (F.col("shape") == F.col("kept.shape")).alias("is_kept"))
+    copies = rows.where("shape is not null").groupBy("shape", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    # Rows that go, and rows of which one stays though they are more.
+    stays = F.col("is_kept").isNull() | (F.col("is_kept") & F.col("doc_id").eqNullSafe(F.col("least")))
+    touched = copies.join(kept, "shape", "left").select("doc_id", "shape", "copies", stays.alias("stays"))
+    touched = stored(touched.where("not stays or copies > 1"), "touched")
+
+    hit, shape = fresh(docs, "hit"), fresh(docs, "shape")
+    marked = with_bit(docs, "doc_id", id_bits(touched, "doc_id"), hit)
+    looked_at = _shaped(marked.where(F.col(hit)).drop(hit), shape)
+    # Copies are merged before the shuffle; rows without words are kept apart.
+    key = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(shape).alias("shape"), F.when(F.col(shape).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("once")]
+    merged = looked_at.groupBy(*key).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    gone = touched.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("shape").alias("gone_shape"))
+    left = merged.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("shape") == F.col("gone_shape")), "left_anti").select("row.*")
+    return marked.where(~F.col(hit)).select(docs.columns).union(left)

@@ -45,10 +45,36 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-#: Rows up to which a table of a few numbers is sent to every task (some 20 to 40 MB); beyond it, joins shuffle both sides.
-SENT_ROWS = 500_000
+#: A set of ids is sent to tasks as a table of at most 2**(ID_BITS - 6) words of 64 bits (some 20 MB), whatever its size.
+ID_BITS = 25
 
 
-def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """A stored table of narrow rows, marked to be broadcast if it is counted to have few enough; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _place(column: str):
+    return F.pmod(F.xxhash64(F.col(f"`{column}`").cast("bigint")), F.lit(1 << ID_BITS))
+
+
+def id_bits(ids: DataFrame, column: str) -> DataFrame:
+    """word, bits: a bit for each hash of column's values, as bigint (null is a value too)."""
+    places = ids.select(_place(column).alias("place"))
+    return places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+
+
+def with_bit(df: DataFrame, column: str, bits: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column name: whether the bit of column's value is set.
+
+    It is for every value of the set, and for few others while the set has far fewer values than there are bits: a filter
+    that leaves most rows where they are, ahead of an exact join of the others. The plan is the same at every size.
+    """
+    word, own = fresh(df, "word"), fresh(df, "bits")
+    sent = F.broadcast(bits.select(F.col("word").alias(word), F.col("bits").alias(own)))
+    place = _place(column)
+    hit = F.expr(f"shiftrightunsigned(`{own}`, cast(pmod(xxhash64(cast(`{column}` as bigint)), {1 << ID_BITS}L) & 63 as int)) & 1L = 1L")
+    return df.join(sent, F.shiftright(place, 6) == F.col(word), "left").select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
