@@ -9,14 +9,15 @@ an equal size below 1e-22. Matching bands retrieve (document, template) pairs, a
 template's shingles in the whole document's (at least THRESHOLD) decides: damaged copies far apart count together.
 A document whose parts of a notice are so scattered that no window has a fifth of it may still not be retrieved.
 
-Two lossless steps keep the work small. A document without any anchor word of any template can't reach
-THRESHOLD, since more than a fifth of every template's shingles have an anchor (checked when templates are
-prepared). And a window without a single anchor shares no more than that, so only blocks next to an
-anchor's place are min-hashed; their length is bounded by the template, not by the document.
-
-The templates are a bounded list and are broadcast. Defined cases: null and empty texts match nothing;
-templates of fewer than five words are one shingle of all their words; every place of a repeated notice
-counts once a document; a null id is carried; repeated rows are scanned separately.
+Two lossless steps keep the work small. Anchor words are chosen from the templates such that more than a fifth of
+every template's shingles have one, so a document without any can't reach THRESHOLD. And a window without a single
+anchor shares no more than that, so only blocks next to an anchor's place are min-hashed; their length is bounded by
+the template, not by the document. All block sizes are taken from one scan.
+
+The templates are a bounded list and are broadcast; any list will do. Defined cases: null and empty texts match nothing,
+long ones are read whole; templates of fewer than five words are one shingle of all their words, as are such texts (so they match whole texts), those without words are
+never found; every place of a repeated notice counts once a document; a null id is carried; repeated rows are scanned
+separately; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +44,6 @@ NOTICES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Words of which every notice has one in more than a fifth of its shingles.
-ANCHORS = ("license", "licensed", "redistribution", "redistribute", "modification", "permission", "software", "unencumbered")
-
 _PRIME = (1 << 31) - 1
 
 
@@ -55,9 +53,9 @@ def word_list(text):
 
 
 def shingle_list(words):
-    """31-bit hashes of the word 5-grams, or of all words of a shorter list."""
+    """64-bit hashes of the word 5-grams, or of all words of a shorter list."""
     n = F.size(words)
-    gram = lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(words, i, F.least(F.lit(N_WORDS), n)), " ")), F.lit(_PRIME))
+    gram = lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.least(F.lit(N_WORDS), n)), " "))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n - N_WORDS + 1, F.lit(1))), gram)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -74,8 +72,10 @@ def maps(count: int = MAPS) -> list[tuple[int, int]]:
 
 def signature(shingles):
     """One band a map: the least value of each map over an array of shingles."""
+    folded = F.transform(shingles, lambda s: F.pmod(s, F.lit(_PRIME)))
+
     def least(a: int, b: int):
-        return F.array_min(F.transform(shingles, lambda s: (s * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
+        return F.array_min(F.transform(folded, lambda s: (s * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
 
     return F.array(*(least(a, b) for a, b in maps()))
 
@@ -83,13 +83,21 @@ def signature(shingles):
 def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> DataFrame:
     """licence, shingles (distinct), n, block and bands of each notice."""
     rows = spark.createDataFrame(sorted((notices or NOTICES).items()), "licence string, notice string")
-    found = rows.select("licence", F.array_distinct(shingle_list(word_list("notice"))).alias("shingles"), word_list("notice").alias("words"))
+    found = rows.select("licence", F.array_distinct(shingle_list(word_list("notice"))).alias("shingles"), word_list("notice").alias("words")).where(F.size("words") > 0)
     n = F.size("shingles")
     return found.select(
-        "licence", "shingles", n.alias("n"), F.size("words").alias("n_words"), F.pow(F.lit(2), F.ceil(F.log2(n.cast("double")))).cast("int").alias("block"),
-        signature(F.col("shingles")).alias("bands"),
-        F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words") - N_WORDS + 1, F.lit(1))), lambda i: F.arrays_overlap(F.slice("words", i, N_WORDS), F.array(*map(F.lit, ANCHORS))))).alias("anchored"),
-    )
+        "licence", "shingles", "words", n.alias("n"), F.pow(F.lit(2), F.ceil(F.log2(n.cast("double")))).cast("int").alias("block"), signature(F.col("shingles")).alias("bands"))
+
+
+def anchors_of(lists: list[list[str]]) -> list[str]:
+    """Words of which every list has one in more than 1 - THRESHOLD of its shingles: its longest, as they are the rarest, until it has."""
+    found: set[str] = set()
+    for words in lists:
+        grams = [set(words[k : k + N_WORDS]) for k in range(max(1, len(words) - N_WORDS + 1))]
+        rest = sorted(set(words) - found, key=lambda w: (len(w), w))
+        while sum(not g.isdisjoint(found) for g in grams) <= (1 - THRESHOLD) * len(grams):
+            found.add(rest.pop())
+    return sorted(found)
 
 
 def licences_in(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
@@ -97,31 +105,30 @@ def licences_in(docs: DataFrame, notices: dict[str, str] | None = None) -> DataF
     spark = docs.sparkSession
     known = templates(spark, notices)
     sizes = known.collect()  # the bounded list of notices
-    weak = [r.licence for r in sizes if r.anchored <= (1 - THRESHOLD) * r.n]
-    if weak:
-        raise ValueError(f"these notices need an anchor word in more of their shingles: {weak}")
     bands = F.broadcast(known.select("licence", "block", F.posexplode("bands").alias("band", "value")))
     exact = F.broadcast(known.select("licence", "shingles", "n"))
+    anchor_words = anchors_of([list(r.words) for r in sizes])
+    anchors = F.array(*map(F.lit, anchor_words)).cast("array<string>")
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.where(F.col("text").rlike("(?i)" + "|".join(a for a in ANCHORS if not any(b != a and b in a for b in ANCHORS))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+    rows = rows.where(F.col("text").rlike("|".join(anchor_words) or "(?!)"))
     rows = rows.select("row", "doc_id", word_list("text").alias("words"))
     # Places of anchor words, then the shingles of the blocks about them; a long text gives one row a block.
-    anchors = F.array(*map(F.lit, ANCHORS))
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("places", places).where(F.size("places") > 0)
     # Of the whole document's shingles, those of any template: a short list that goes with every window.
-    every = F.array(*(F.lit(s).cast("bigint") for s in sorted({s for r in sizes for s in r.shingles})))
+    every = F.array(*(F.lit(s).cast("bigint") for s in sorted({s for r in sizes for s in r.shingles}))).cast("array<bigint>")
     rows = rows.withColumn("known", F.array_intersect(shingle_list(F.col("words")), every)).where(F.size("known") > 0)
-    windows = None
-    for block in sorted({r.block for r in sizes}):
-        # A window of 2 * block shingles starts at a multiple of block; those that a shingle with an anchor may lie in.
-        starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(
-            F.greatest(F.floor((p - (N_WORDS - 1)) / block) - 1, F.lit(0)), F.floor(p / block)))))
-        part = rows.select("row", "doc_id", "words", "known", F.lit(block).alias("block"), F.explode(starts).alias("at"))
-        own = F.slice("words", (F.col("at") * block + 1).cast("int"), F.lit(2 * block + N_WORDS - 1))
-        part = part.select("row", "doc_id", "known", "block", shingle_list(own).alias("shingles")).where(F.size("shingles") > 0)
-        windows = part if windows is None else windows.union(part)
+
+    def starts(block: int):
+        """A window of 2 * block shingles starts at a multiple of block; those that a shingle with an anchor may lie in."""
+        each = F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.floor((p - (N_WORDS - 1)) / block) - 1, F.lit(0)), F.floor(p / block))))
+        return F.transform(F.array_distinct(each), lambda at: F.struct(F.lit(block).alias("block"), at.alias("at")))
+
+    blocks = sorted({r.block for r in sizes})
+    windows = rows.select("row", "doc_id", "words", "known", F.inline(F.concat(*map(starts, blocks)) if blocks else F.expr("cast(array() as array<struct<block:int,at:bigint>>)")))
+    own = F.slice("words", (F.col("at") * F.col("block") + 1).cast("int"), 2 * F.col("block") + N_WORDS - 1)
+    windows = windows.select("row", "doc_id", "known", "block", shingle_list(own).alias("shingles")).where(F.size("shingles") > 0)
     hashed = windows.select("row", "doc_id", "known", "block", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
     # The windows retrieve; the whole document's shingles decide, once a document and licence.
     shared = F.size(F.array_intersect(F.col("known"), F.col("shingles")))
