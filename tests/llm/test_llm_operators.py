@@ -283,6 +283,15 @@ def test_licences_damaged_at_places_far_apart(spark, tmp_path):
     assert [r[:2] for r in got] == [(1, "GPL-3.0"), (2, "GPL-text")]
 
 
+def test_any_list_of_notices_and_empty_tables(spark):
+    notices = {"own": "Please do not feed the animals in this park", "short": "Keep out", "none": " ,. ", "word": "Ünïque"}
+    rows = [(1, "x please do not feed the animals in this park y"), (2, "keep OUT"), (3, "keep well out"), (4, "please do not feed the animals in this zoo"), (5, "ÜNÏQUE!"), (6, "please")]
+    docs = docs_of(spark, rows).withColumns({"words": F.lit(1), "block": F.lit(2), "known": F.lit("k"), "licence": F.lit("l"), "row": F.lit(3)})
+    got = sorted((r.doc_id, r.licence) for r in licences.licences_in(docs, notices).collect())
+    assert got == [(1, "own"), (2, "short"), (4, "own"), (5, "word")]
+    assert licences.licences_in(docs_of(spark, [])).count() == 0 and licences.licences_in(docs, {"none": "."}).count() == 0
+
+
 # --- 7
 
 
@@ -305,13 +314,50 @@ def test_toxicity_on_unseen_texts(spark):
     bad = ["idiot", "moron", "worthless"]
     make = lambda toxic: " ".join(rng.permutation([*rng.choice(plain, 30), *(rng.choice(bad, 2) if toxic else [])]))
     labels = [int(k % 4 == 0) for k in range(600)]
-    scorer = toxicity.train([make(y) for y in labels], labels)
+    scorer = toxicity.train([toxicity.bag_of(make(y)) for y in labels], labels)
     assert (scorer.scores([make(1) for _ in range(50)]) >= 0.3).all() and (scorer.scores([make(0) for _ in range(50)]) < 0.3).all()
     assert scorer.scores(["the id-iot", "the i d i o t", "the 1di0t"]).min() >= 0.3 and scorer.scores([None, "", "..."]).max() < 0.3
     got = toxicity.scored(docs_of(spark, [(1, None), (None, ""), (2, "x" * 10_000), (2, "idiot")]), scorer).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_folded_scorer_equals_kernel_with_landmarks():
+    """One weight a triple gives what the kernel of each unit with every landmark, the whitening map and the machine give."""
+    rng = np.random.default_rng(2)
+    strings = ["".join(rng.choice(list("abcdefgö1-"), n)) for n in rng.integers(3, toxicity.PIECE + 1, 60)]
+    marks = toxicity.Landmarks(strings[:20])
+    weights = rng.normal(size=marks.root.shape[1])
+
+    def brute(s, t):
+        def feature(x):
+            codes, own = toxicity.letters(x).tolist(), defaultdict(float)
+            for i in range(len(codes)):
+                for j in range(i + 1, len(codes)):
+                    for k in range(j + 1, len(codes)):
+                        own[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i + 1)
+            return own
+        a, b = feature(s), feature(t)
+        dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
+        return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
+
+    kernel = np.array([[brute(s, t) for t in strings[:20]] for s in strings[20:]])
+    got = toxicity.Scorer(marks.folded(weights), 0.25, 1.0, 0.0).raw(strings[20:])
+    assert np.allclose(got, kernel @ marks.root @ weights + 0.25, atol=1e-4)
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rng = np.random.default_rng(6)
+    words_ = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rst"]
+    make = lambda toxic: " ".join(rng.permutation([*rng.choice(words_, 2000), *(["moron"] if toxic else [])]))
+    rows = [(k, make(k % 3 == 0)) for k in range(240)]
+    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_CHARS
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k, _ in rows], "doc_id bigint, quality int, toxic int")
+    scorer = toxicity.fitted(docs_of(spark, rows), labels)
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs_of(spark, [*rows, (1000, "you moron"), (1001, "bar det")]), scorer).collect()}
+    assert got == {**{k: int(k % 3 == 0) for k, _ in rows}, 1000: 1, 1001: 0}
+    assert toxicity.scored(docs_of(spark, []), scorer).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.scored(docs_of(spark, [(1, "a")]), toxicity.fitted(docs_of(spark, [(1, "a")]), none)).first().predicted == 0

@@ -6,23 +6,27 @@ strings' norms. A gap or an inserted sign costs a factor and no more, so 'id-iot
 
 Training: a bounded sample of labelled documents gives bags of units, the words of their sentences with
 spaced-out letters joined. Landmarks are chosen among the units; the Nystrom map takes a unit's kernel
-values with them through the inverse root of their kernel matrix, and a linear machine is trained on it
-by subgradient steps. A toxic document's bag only says that some unit in it is toxic, so the machine
-is retrained on the unit of each toxic bag that scores highest. A logistic curve on held-back bags turns
-a document's highest unit score into a probability.
+values with them through the inverse root of their kernel matrix, and a linear machine with squared hinge
+loss is trained on it by Newton steps. A toxic document's bag only says that some unit in it is toxic, so
+the machine is retrained on the unit of each toxic bag that scores highest. A logistic curve on held-back
+bags turns a document's highest unit score into a probability. Kernel and machine see single words, and letters
+that stand apart; a phrase of words that are each clean is not learned.
 
 Scoring: the kernel has explicit features, so landmarks, map and machine fold into one weight for each
 triple of characters; a unit then costs one look-up a triple. All units of the whole text are scored.
 
 Labels are learned only from rows that are not held out. Defined cases: texts that are null or have no
-unit score as the least toxic unit; long units are scored in overlapping pieces; documents without a label
-are not learned from; if no label, or one kind only, can be learned from, every score is that kind's rate.
+unit score as the least toxic unit; long texts are scored whole, long units in overlapping pieces; documents without a
+label are not learned from, and one with both labels counts as toxic; if no label, or one kind only, can be
+learned from, every score is that kind's rate; repeated rows and null ids are scored row by row, the latter never
+held out; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,11 @@ TURNS = 5
 #: Evidence that makes a unit a first positive; least output for a toxic document's top unit to stay one, and
 #: for a further unit of the document, with nearly that evidence, to become one.
 EVIDENCE, DOUBT, FURTHER = 2.5, -0.3, 0.3
-#: Bounds of the training sample: documents of each label, and characters of one.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6000
+#: Bounds of the training sample: documents of each label; characters of one, at a place drawn by its id, for the counts of
+#: units that both labels are compared by; and distinct units of the whole of a longer toxic one (more are drawn by hash),
+#: in which the machine looks for the unit that makes it toxic. A part seldom has that unit, and one of so many units is easily
+#: mistaken, so longer toxic documents are learned from only where the sample has fewer than SHORT_ENOUGH others.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_UNITS, SHORT_ENOUGH = 1500, 6000, 20_000, 100
 THRESHOLD = 0.3
 CACHE_UNITS = 500_000
 
@@ -213,18 +220,27 @@ class Landmarks:
         return out
 
 
-def train(texts: list[str], labels: list[int], rate: float | None = None, seed: int = 5) -> Scorer:
-    """Fit landmarks, map, machine and curve; rate is the share of toxic documents where the scorer is used."""
+def bag_of(text: str | None) -> list[str]:
+    """The different units of a text that have a triple, cut into pieces."""
+    return sorted({p for u in units(text) for p in cut(normal(u)) if len(p) >= 3})
+
+
+def train(bags: list[list[str]], labels: list[int], rate: float | None = None, wholes: dict[int, list[str]] | None = None, seed: int = 5) -> Scorer:
+    """Fit landmarks, map, machine and curve to bags of units; rate is the share of toxic documents where the scorer is used.
+
+    wholes has, for the places of bags that are of a part of a toxic document, the bags of the whole.
+    """
+    wholes = wholes or {}
     labels = np.array(labels)
     if not len(labels) or not labels.any() or labels.all():
         return constant(float(labels.mean()) if len(labels) else 0.0)
     rate = float(labels.mean()) if rate is None else rate
     rng = np.random.default_rng(seed)
-    bags = [sorted({p for u in units(t) for p in cut(normal(u)) if len(p) >= 3}) for t in texts]
     kept_back = rng.random(len(bags)) < 0.2  # for the curve alone
     if not labels[~kept_back].any() or labels[~kept_back].all() or len(set(labels[kept_back])) < 2:
         kept_back[:] = False
     used = [(own, y) for own, y, back in zip(bags, labels, kept_back) if not back]
+    long_bags = [own for k, own in wholes.items() if own and labels[k] and not kept_back[k]]
     seen: dict[str, list[int]] = {}
     for own, y in used:
         for u in own:
@@ -237,10 +253,12 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     drawn = [clean[k] for k in rng.choice(len(clean), min(len(clean), LANDMARKS // 8), replace=False)]
     marks = Landmarks(sorted({*suspicious[: LANDMARKS // 2], *common[: LANDMARKS // 8], *drawn}) or ["aaa"])
 
-    bad_bags = [own for own, y in used if y and own]
+    # Bags of toxic documents; a part of one need not have the toxic unit, so it serves for the first guess alone.
+    bad_bags = [own for k, own in enumerate(bags) if labels[k] and own and not kept_back[k] and k not in wholes]
+    parts = [own for k, own in enumerate(bags) if labels[k] and own and not kept_back[k] and k in wholes]
     # The first guess at toxic units: the one of each toxic document that toxic documents have beyond chance.
-    tops = {max(own, key=lambda u: (odds[u], u)) for own in bad_bags}
-    positives = {u for u in tops if odds[u] > EVIDENCE} or tops
+    tops = {max(own, key=lambda u: (odds[u], u)) for own in bad_bags or parts}
+    positives = {u for own in bad_bags + parts for u in [max(own, key=lambda u: (odds[u], u))] if odds[u] > EVIDENCE} or tops
     negatives = {*common[:2000], *(clean[k] for k in rng.choice(len(clean), min(len(clean), 4000), replace=False))}
     scorer = constant(rate)
     for turn in range(TURNS):
@@ -248,13 +266,13 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
         if not good or not bad:
             break
         x = marks.mapped(bad + good)
-        often = np.r_[np.ones(len(bad)), [1 + seen[u][0] for u in good]]  # a clean unit counts by its documents
+        often = np.r_[np.ones(len(bad)), [1 + seen.get(u, (0, 0))[0] for u in good]]  # a clean unit counts by its documents
         weights, bias = machine(x, np.r_[np.ones(len(bad)), -np.ones(len(good))], np.sqrt(often))
         scorer = Scorer(marks.folded(weights), bias, 1.0, 0.0)
         if turn == TURNS - 1:
             break
         # The clean units that look most toxic are the next turn's negatives; some become landmarks.
-        every = sorted(seen)
+        every = sorted(seen.keys() | set().union(*long_bags))
         value = dict(zip(every, scorer.raw(every).tolist()))
         hard = sorted(clean, key=lambda u: (-value[u], u))[:2500]
         negatives.update(hard)
@@ -263,8 +281,10 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
         # A toxic document's most toxic unit, and others of its that look toxic and have evidence of their own.
         tops = {max(own, key=lambda u: (value[u], u)) for own in bad_bags}
         positives = {u for u in tops if value[u] > DOUBT or odds[u] > EVIDENCE}
-        positives |= {u for own in bad_bags for u in own if value[u] > FURTHER and odds[u] > 0.9 * EVIDENCE}
-    own = [(bag, y) for bag, y, back in zip(bags, labels, kept_back) if back or not kept_back.any()]
+        # A long document has so many units that its highest counts only if it looks toxic without doubt, and other documents agree.
+        positives |= {u for u in (max(own, key=lambda u: (value[u], u)) for own in long_bags) if value[u] > FURTHER and odds.get(u, 0) > 0.9 * EVIDENCE}
+        positives |= {u for own in bad_bags + parts for u in own if value[u] > FURTHER and odds[u] > 0.9 * EVIDENCE}
+    own = [(wholes.get(k, bag), y) for k, (bag, y, back) in enumerate(zip(bags, labels, kept_back)) if back or not kept_back.any()]
     every = sorted(set().union(*(bag for bag, _ in own)))
     value = dict(zip(every, scorer.raw(every).tolist()))
     best = np.array([max(map(value.__getitem__, bag)) if bag else scorer.bias for bag, _ in own])
@@ -325,12 +345,24 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
         cut_at = F.when(F.col("toxic") == y, F.lit(int(min(1.0, SAMPLE_DOCS / n) * (1 << 30)))).otherwise(cut_at)
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < cut_at).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy("doc_id").limit(4 * SAMPLE_DOCS)
     rows = {r.doc_id: r.toxic for r in sample.collect()}  # bounded by the sample
-    chosen = docs.where(F.col("doc_id").isin(list(rows))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)
-    # A longer document gives a piece from a place drawn by its id.
+    # The sample's ids are a bounded list; the documents are read once, and only bags reach the driver.
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isin(list(rows)) & (F.length("text") > 0))
     start = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    texts = chosen.where(F.length("text") <= SAMPLE_CHARS).union(chosen.where((F.length("text") > SAMPLE_CHARS) & F.col("doc_id").isin([d for d, y in rows.items() if y == 0])).select("doc_id", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")))
-    got = sorted((r.doc_id, r.text) for r in texts.limit(8 * SAMPLE_DOCS).collect())
-    return train([t for _, t in got], [rows[d] for d, _ in got], sizes.get(1, 0) / sum(sizes.values()))
+    is_long = (F.length("text") > SAMPLE_CHARS) & F.col("doc_id").isin([d for d, y in rows.items() if y])
+    schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.list_(pa.string())), ("whole", pa.list_(pa.string()))])
+
+    def run(batches):
+        for batch in small(batches, 64):
+            ids, parts, texts = (batch.column(k).to_pylist() for k in range(3))
+            wholes = [None if t is None else sorted(sorted(bag_of(t), key=lambda u: (zlib.crc32(u.encode("utf-8", "surrogatepass")), u))[:SAMPLE_UNITS]) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(bag_of, parts)), schema.field(1).type), pa.array(wholes, schema.field(2).type)], schema=schema)
+
+    texts = chosen.select("doc_id", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"), F.when(is_long, F.col("text")).alias("text"))
+    got = sorted(((r.doc_id, r.bag, r.whole) for r in texts.mapInArrow(run, "doc_id bigint, bag array<string>, whole array<string>").limit(8 * SAMPLE_DOCS).collect()), key=lambda r: r[:2])
+    if sum(rows[d] == 1 and w is None for d, _, w in got) >= SHORT_ENOUGH:
+        got = [r for r in got if r[2] is None]
+    wholes = {k: w for k, (_, _, w) in enumerate(got) if w is not None}
+    return train([b for _, b, _ in got], [rows[d] for d, _, _ in got], sizes.get(1, 0) / sum(sizes.values()), wholes)
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
