@@ -1,12 +1,14 @@
 """Operators on small literal frames: the cases that the tables do not have."""
 
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import payload, scoring, text
-from textquarry.operators import chunking, generation, linking, retrieval, vectors
+from textquarry.operators import chunking, evaluation, generation, linking, logs, retrieval, vectors
 from textquarry.sources import pages, sinks, tabular
 from textquarry.streaming import stateful
 
@@ -142,6 +144,7 @@ def streamed(spark, tmp_path, rows, schema, build, mode="append"):
     source.mkdir()
     for k, part in enumerate(rows):
         (source / f"{k}.json").write_text("\n".join(json.dumps(r) for r in part))
+        os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
     stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)))
     run = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -172,3 +175,107 @@ def test_login_lock_clears_on_success(spark, tmp_path):
     row = lambda t, ok=False: {"user_id": "u", "ts": float(t), "ok": ok}
     got = streamed(spark, tmp_path, [[row(0), row(1)], [row(2, True), row(3), row(4)], [row(5), row(2000)]], "user_id string, ts double, ok boolean", lambda s: stateful.locks(s, 3, 900))
     assert [(r.ts, r.failures) for r in got] == [(5.0, 3)]
+
+
+def test_task_fold_takes_the_newest_state(spark, tmp_path):
+    row = lambda ts, s: {"task_id": "t", "ts": ts, "status": s}
+    got = streamed(spark, tmp_path, [[row("2024-01-01 00:00:02", "STARTED"), row("2024-01-01 00:00:01", "QUEUED")], [row("2024-01-01 00:00:09", "SUCCESS")], [row("2024-01-01 00:00:05", "STARTED")]],
+                   "task_id string, ts string, status string", stateful.folded_tasks, "update")
+    assert [(r.status, r.started_at, r.completed_at) for r in got] == [
+        ("STARTED", "2024-01-01 00:00:02", None), ("SUCCESS", "2024-01-01 00:00:02", "2024-01-01 00:00:09"), ("SUCCESS", "2024-01-01 00:00:02", "2024-01-01 00:00:09")]
+
+
+def test_equal_calls_are_suppressed_across_batches(spark, tmp_path):
+    row = lambda ts, f: {"ts": f"2024-01-01T00:{ts}:00Z", "fingerprint": f}
+    got = streamed(spark, tmp_path, [[row("01", "a"), row("02", "a")], [row("03", "b"), row("04", "a")], [row("45", "c")], [row("46", "c")]], "ts timestamp, fingerprint string", stateful.suppressed_stream)
+    assert sorted(r.fingerprint for r in got) == ["a", "b", "c"]
+
+
+def test_rolling_windows_close_behind_the_watermark(spark, tmp_path):
+    event = lambda minute, v: {"ts": f"2024-01-01T00:{minute:02}:00Z", "event_type": "k", "value": v}
+    got = streamed(spark, tmp_path, [[event(0, 1.0), event(1, 2.0)], [event(40, 5.0)], [event(59, 7.0)]], "ts timestamp, event_type string, value double", lambda s: stateful.rolling_stream(s, "5 minutes", "5 minutes"))
+    rows = spark.createDataFrame([(e["ts"], "k", e["value"]) for e in (event(0, 1.0), event(1, 2.0), event(40, 5.0))], "ts string, event_type string, value double")
+    want = logs.rolling(rows.withColumn("ts", F.col("ts").cast("timestamp")), "5 minutes", "5 minutes").collect()
+    assert len(want) == 2 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_batches_are_judged_in_groups_and_failures_are_undecided(spark, tmp_path):
+    source, calls = tmp_path / "in", []
+    source.mkdir()
+    (source / "0.json").write_text("\n".join(json.dumps({"id": k, "text": "boom" if k == 9 else "bad" if k % 4 == 0 else "fine"}) for k in range(20)))
+
+    def judge(texts):
+        assert len(texts) <= 8
+        if "boom" in texts:
+            raise RuntimeError("no answer")
+        return [t != "bad" for t in texts]
+
+    items = spark.readStream.schema("id long, text string").json(str(source)).coalesce(1)
+    run = stateful.judged_batches(items, judge, lambda df, n: calls.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert run.exception() is None
+    got = {r.id: r.safe for r in calls}
+    assert len(got) == 20 and all(got[k] is (k % 4 != 0) for k in (*range(8), *range(16, 20))) and all(got[k] is None for k in range(8, 16))
+
+
+def test_new_files_become_passages_with_vectors(spark, tmp_path):
+    rows = [[{"path": "a", "text": "word " * 500}], [{"path": "b", "text": ""}, {"path": "c", "text": "tiny"}]]
+    got = streamed(spark, tmp_path, rows, "path string, text string", stateful.ingested)
+    assert {r.path for r in got} == {"a", "c"} and all(len(r.embedding) == 64 for r in got)
+    table = stateful.ingested(spark.createDataFrame([("a", "word " * 500), ("c", "tiny")], "path string, text string")).collect()
+    assert sorted((r.path, r.start, r.content) for r in got) == sorted((r.path, r.start, r.content) for r in table)
+
+
+def test_reindexing_replaces_one_collection(spark, tmp_path):
+    path, rows = str(tmp_path / "index"), lambda t: spark.createDataFrame([(k, f"{t} {k}") for k in range(5)], "id long, content string")
+    vectors.reindexed(rows("one"), "x", path)
+    vectors.reindexed(rows("two"), "y", path)
+    before = {r.id: r.embedding for r in spark.read.parquet(path).where("collection = 'y'").collect()}
+    vectors.reindexed(rows("three").where("id < 3"), "x", path, 32)
+    got = spark.read.parquet(path)
+    assert {r.id: len(r.embedding) for r in got.where("collection = 'x'").collect()} == {0: 32, 1: 32, 2: 32}
+    assert {r.id: r.embedding for r in got.where("collection = 'y'").collect()} == before
+
+
+def test_extractors_are_compared_on_the_same_pages(spark):
+    pages_ = spark.createDataFrame([(1, "a b"), (2, "x"), (3, "boom")], "page int, content string")
+
+    def fragile(body):
+        if body == "boom":
+            raise RuntimeError("unreadable")
+        return body.upper()
+
+    got = {(r.page, r.extractor): (r.text, r.error) for r in evaluation.extracted(pages_, {"plain": str, "fragile": fragile}).collect()}
+    assert got == {(1, "plain"): ("a b", None), (2, "plain"): ("x", None), (3, "plain"): ("boom", None), (1, "fragile"): ("A B", None), (2, "fragile"): ("X", None), (3, "fragile"): (None, "RuntimeError: unreadable")}
+
+
+def test_records_with_line_breaks_and_many_cells(spark):
+    wide = ",".join(f"c{k}" for k in range(700))
+    rows = [(1, 'a,b\n"one\ntwo, ""three""",x\n\n , \nlast,,,\n'), (2, wide), (3, ""), (4, None), (5, "a;b\r\n\"p\r\nq\";r\r\n")]
+    got = {(r.id, r.line): (r.delimiter, list(r.cells)) for r in tabular.records(spark.createDataFrame(rows, "id int, text string"), "id").collect()}
+    assert got == {(1, 1): (",", ["a", "b"]), (1, 2): (",", ['one\ntwo, "three"', "x"]), (1, 6): (",", ["last"]), (2, 1): (",", wide.split(",")), (5, 1): (";", ["a", "b"]), (5, 2): (";", ["p\r\nq", "r"])}
+
+
+def test_best_of_many_equals_sorting():
+    rng = np.random.default_rng(1)
+    kept_s, kept_i = np.full((7, 5), -np.inf), np.full((7, 5), np.iinfo(np.int64).max)
+    scores, ids = rng.integers(0, 30, (7, 400)).astype(float), rng.permutation(400)
+    scores[2], scores[3, 50:] = np.nan, -np.inf
+    for at in range(0, 400, 64):
+        vectors.keep_best(kept_s, kept_i, scores[:, at : at + 64], ids[at : at + 64])
+    for s, i, row in zip(kept_s, kept_i, scores):
+        want = sorted((-v, int(k)) for v, k in zip(row, ids) if np.isfinite(v))[:5]
+        assert [(-a, int(b)) for a, b in zip(s, i) if np.isfinite(a)] == want
+
+
+def test_ranges_meet_once_across_stretches(spark):
+    words = spark.createDataFrame([(1, 0, 4090 + 3 * k, "abcdefghij", k) for k in range(8)], "asset_id int, page int, start int, word string, no int")
+    chunks = spark.createDataFrame([(1, 0, 0, 4000, "z" * 9000), (1, 0, 1, 0, "z" * 4000), (1, 0, 2, 4097, "z")], "asset_id int, page int, chunk_order int, start int, content string")
+    got = sorted((r.chunk_order, r.no) for r in linking.words_of_chunks(chunks, words).collect())
+    assert got == [(0, k) for k in range(8)] + [(2, k) for k in range(3)]
+
+
+def test_prices_keep_repeated_models(spark):
+    models = spark.createDataFrame([("m", 1), ("m", 2), ("n", 3)], "model_id string, use int")
+    prices = spark.createDataFrame([("m", 1.0), ("m", 1.0), ("*", 2.0)], "pattern string, input double")
+    assert sorted((r.use, r.input) for r in linking.prices_for(models, prices).collect()) == [(1, 1.0), (2, 1.0), (3, 2.0)]

@@ -76,11 +76,14 @@ def sanitize(df: DataFrame, column: str = "text") -> DataFrame:
 def script_profile(text: Column) -> Column:
     """TXT4: counts of a text's characters by script and kind."""
     text = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    # Runs of a class are taken out as one match each, and what is missing then is counted; no list of matches is made.
+    count = lambda kind: F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+    spaces = count(r"(?U)\s")
+    words = F.length(F.regexp_replace(text, r"(?U)\S+", "x")) - spaces
     return F.struct(
         F.length(text).alias("characters"), count(rf"[{ARABIC}&&[^\p{{Nd}}]]").alias("arabic"),
         count(rf"[\p{{L}}&&[^{ARABIC}{FORMS}]]").alias("latin"), count(rf"[\p{{Nd}}&&[^{FORMS}]]").alias("digits"),
-        count(f"[{FORMS}]").alias("forms"), count(f"[{BIDI}]").alias("bidi"), count(r"(?U)\s").alias("spaces"), count(r"(?U)\S+").alias("words"),
+        count(f"[{FORMS}]").alias("forms"), count(f"[{BIDI}]").alias("bidi"), spaces.alias("spaces"), words.alias("words"),
     )
 
 
@@ -213,4 +216,4 @@ def skips_correction(kind: Column, source_url: Column, native: tuple = ("txt", "
 def command_text(message: Column, command: str = "/memory") -> Column:
     """TXT22: what follows a command, null where there is none."""
     bare = F.trim(message)
-    return F.when(F.lower(bare).startswith(command), F.trim(F.substring(bare, len(command) + 1, 1 << 20)))
+    return F.when(F.lower(bare).startswith(command), F.trim(F.right(bare, F.length(bare) - len(command))))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,33 @@ from pyspark.sql.window import Window
 from textquarry.functions.scoring import agreement, word_overlap
 
 
+def extracted(pages: DataFrame, extractors: dict[str, Callable[[bytes], str]], key: str = "page", content: str = "content") -> DataFrame:
+    """UDF8: every extractor on every page: key, extractor, text, seconds and error; one that fails leaves the error and no text.
+
+    A task holds one batch of pages, and runs each extractor on it in turn; the result goes into AGG4 to AGG6.
+    """
+    kind = dict(pages.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(1).to_pylist()
+            for name, extract in extractors.items():
+                texts, seconds, errors = [], [], []
+                for body in bodies:
+                    began, text, error = time.perf_counter(), None, None
+                    try:
+                        text = extract(body)
+                    except Exception as e:  # the page carries the failure, the comparison goes on
+                        error = f"{type(e).__name__}: {e}"
+                    texts.append(text)
+                    errors.append(error)
+                    seconds.append(time.perf_counter() - began)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(bodies)), pa.array(texts, pa.string()), pa.array(seconds, pa.float64()), pa.array(errors, pa.string())],
+                                                 names=[key, "extractor", "text", "seconds", "error"])
+
+    return pages.select(key, content).mapInArrow(run, f"`{key}` {kind}, extractor string, text string, seconds double, error string")
+
+
 def engine_summary(rows: DataFrame, measures: list[str]) -> DataFrame:
     """AGG4: pages, successes and exact medians of each engine, the best word error rate first."""
     ok = F.col("error").isNull()

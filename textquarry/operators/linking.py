@@ -10,6 +10,8 @@ from textquarry.functions.scoring import nearness
 from textquarry.functions.text import labels_in
 
 BY_LABEL, SAME_PAGE, MOST_RECTS = 10.0, 0.5, 120
+#: Characters of a stretch of text; ranges are joined on the stretches that they lie in.
+STRETCH = 4096
 
 
 def label_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
@@ -36,27 +38,45 @@ def links(figures: DataFrame, texts: DataFrame, per_image: int = 2, per_text: in
     return both.where("of_image or of_text")
 
 
+def _binned(df: DataFrame, begin: str, end: str, first: str) -> DataFrame:
+    """A row for each stretch of STRETCH characters that a range lies in: bin, and the first of them."""
+    low = F.floor(F.col(begin) / STRETCH)
+    high = F.greatest(low, F.floor((F.col(end) - 1) / STRETCH))
+    return df.select("*", low.alias(first), F.explode(F.sequence(low, high)).alias("bin"))
+
+
 def words_of_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """JOIN8: the words whose range meets a passage's, page by page."""
     w = words.withColumn("stop", F.col("start") + F.length("word")).withColumnRenamed("start", "begin")
     c = chunks.select("asset_id", "page", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
-    return c.join(w, ["asset_id", "page"]).where("begin < c_to and stop > c_from").drop("c_from", "c_to", "stop")
+    # Ranges meet in the first stretch that both lie in, and in no other.
+    w, c = _binned(w, "begin", "stop", "w_bin"), _binned(c, "c_from", "c_to", "c_bin")
+    met = c.join(w, ["asset_id", "page", "bin"]).where("begin < c_to and stop > c_from and bin = greatest(w_bin, c_bin)")
+    return met.drop("c_from", "c_to", "stop", "bin", "w_bin", "c_bin")
 
 
 def time_ranges(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """JOIN9: first start and last end of the transcript lines that a passage covers."""
     c = chunks.select("asset_id", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
-    own = c.join(lines, "asset_id").where((F.col("char_offset") < F.col("c_to")) & (F.col("char_offset") + F.length("text") > F.col("c_from")))
+    lines = lines.select("asset_id", "start_s", "end_s", F.col("char_offset").alias("l_from"), (F.col("char_offset") + F.length("text")).alias("l_to"))
+    lines, c = _binned(lines, "l_from", "l_to", "l_bin"), _binned(c, "c_from", "c_to", "c_bin")
+    own = c.join(lines, ["asset_id", "bin"]).where("l_from < c_to and l_to > c_from")  # met twice is no matter for least and greatest
     return own.groupBy("asset_id", "chunk_order").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
 
 
 def prices_for(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """JOIN10: an exact name's price, else that of the longest matching pattern with * ? and [ ]; the price list is small."""
+    """JOIN10: an exact name's price, else that of the longest matching pattern with * ? and [ ]; every row of models stays.
+
+    Distinct names are looked up: by equality first, and only those without an exact price meet the patterns.
+    """
+    names, prices = models.select("model_id").distinct(), prices.dropDuplicates(["pattern"])
+    exact = names.join(prices, F.col("model_id") == F.col("pattern"))
     pattern = F.col("pattern")
     wild = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    hits = models.join(F.broadcast(prices.withColumn("wild", wild)), (F.col("model_id") == pattern) | F.rlike("model_id", F.col("wild")), "left")
-    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc(F.coalesce(F.col("model_id") == pattern, F.lit(False))), F.desc(F.length(pattern)), pattern))
-    return hits.withColumn("_n", rank).where("_n = 1").drop("_n", "wild")
+    rest = names.join(exact.select("model_id"), "model_id", "left_anti")
+    hits = rest.join(prices.withColumn("wild", wild).where(pattern.rlike(r"[*?\[]")), F.rlike("model_id", F.col("wild")))
+    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc(F.length(pattern)), pattern))
+    return models.join(exact.unionByName(hits.withColumn("_n", rank).where("_n = 1").drop("_n", "wild")), "model_id", "left")
 
 
 def caption_lines(figures: DataFrame, lines: DataFrame, most_gap: float = 60.0) -> DataFrame:

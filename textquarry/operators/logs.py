@@ -97,8 +97,8 @@ def locked_logins(events: DataFrame, window_s: int, limit: int = 5) -> DataFrame
 
 def rolling(events: DataFrame, width: str, slide: str) -> DataFrame:
     """STR10: count and mean by sliding window; the same expression serves a stream with a watermark."""
-    by = events.groupBy(F.window("ts", width, slide).start.alias("start"), "event_type")
-    return by.agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    by = events.groupBy(F.window("ts", width, slide).alias("w"), "event_type")  # the whole window, whose end a watermark closes
+    return by.agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 
 def answer_times(events: DataFrame) -> DataFrame:

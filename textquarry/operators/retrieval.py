@@ -101,10 +101,9 @@ def picture_budget(hits: DataFrame, has_own: Column, cap: int = 4) -> DataFrame:
     return hits.where("kind = 'image'").withColumn("_p", place).where(F.col("_p") <= cap - has_own.cast("int")).drop("_p")
 
 
-def without_excluded(hits: DataFrame, chats: DataFrame) -> DataFrame:
-    """JOIN12: hits of sources that the chat has not excluded."""
-    out = chats.select("query_id", F.explode("excluded_assets").alias("asset_id"))
-    return hits.join(out, ["query_id", "asset_id"], "left_anti")
+def without_excluded(hits: DataFrame, excluded: DataFrame) -> DataFrame:
+    """JOIN12: hits of sources that the chat has not excluded; excluded has a row (query_id, asset_id) for each."""
+    return hits.join(excluded, ["query_id", "asset_id"], "left_anti")
 
 
 def citations(hits: DataFrame, chunks: DataFrame, assets: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
 
         def run(batches, shipped=shipped):
             ids, q = shipped.value
-            kept_s, kept_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            kept_s, kept_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
                 own, lists = batch.column(0).to_numpy(), batch.column(1)
                 fits = np.array([len(x) == q.shape[1] for x in lists], bool) if len(ids) else np.zeros(len(own), bool)
@@ -60,10 +60,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
                     if not len(rows):
                         continue
                     x = lists.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
-                    scores = np.concatenate([kept_s, scored(q, x, metric)], axis=1)
-                    every = np.concatenate([kept_i, np.broadcast_to(own[rows], (len(ids), len(rows)))], axis=1)
-                    order = np.lexsort((every, -np.nan_to_num(scores, nan=-np.inf)), axis=1)[:, :k]
-                    kept_s, kept_i = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+                    keep_best(kept_s, kept_i, scored(q, x, metric), own[rows])
             r, c = np.nonzero(np.isfinite(kept_s))
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(kept_i[r, c]), pa.array(kept_s[r, c])], schema=schema)
 
@@ -74,6 +71,26 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
     return best(out, k)
 
 
+def keep_best(kept_s: np.ndarray, kept_i: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
+    """Merge a tile's scores (questions x vectors with ids own) into each question's best, in place; ties to the smaller id."""
+    k = kept_s.shape[1]
+    least = kept_s[:, -1:]
+    if not np.isfinite(least).all() and scores.shape[1] > k:  # at first, the tile's own k-th best is a bound
+        least = np.maximum(least, -np.partition(-np.nan_to_num(scores, nan=-np.inf), k - 1, axis=1)[:, k - 1 : k])
+    r, c = np.nonzero((scores >= least) & (scores > -np.inf))
+    if not len(r):
+        return
+    some = np.unique(r)
+    at = np.concatenate([np.repeat(some, k), r])
+    s = np.concatenate([kept_s[some].ravel(), scores[r, c]])
+    i = np.concatenate([kept_i[some].ravel(), own[c]])
+    order = np.lexsort((i, -s, at))
+    at, s, i = at[order], s[order], i[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = place < k
+    kept_s[at[kept], place[kept]], kept_i[at[kept], place[kept]] = s[kept], i[kept]
+
+
 def scored(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclid":
         return -np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T))
@@ -102,9 +119,20 @@ def with_list(vectors: DataFrame, model: KMeansModel) -> DataFrame:
 
 def probed(questions: DataFrame, listed: DataFrame, model: KMeansModel, k: int, probes: int, metric: str = "cosine") -> DataFrame:
     """VEC2: search of the nearest lists only. Centroids are as few as the model has; the join is on the list."""
-    centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    distance = F.array_sort(F.array(*(F.struct((-similarity(F.col("embedding"), F.array(*map(F.lit, c)), "euclid")).alias("d"), F.lit(i).alias("list_id")) for i, c in enumerate(centres))))
-    wanted = questions.select("query_id", F.col("embedding").alias("q"), F.explode(F.slice(distance, 1, probes)).alias("p")).select("query_id", "q", "p.list_id")
+    shipped = questions.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters(), np.float64))
+    kind = dict(questions.dtypes)["query_id"]
+
+    def nearest_lists(batches):
+        centres = shipped.value
+        for batch in batches:
+            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            distance = (centres**2).sum(axis=1)[None] - 2 * q @ centres.T
+            lists = np.argsort(distance, axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(np.arange(len(q)), lists.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists.ravel(), pa.int32())], names=["query_id", "q", "list_id"])
+
+    asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
+    wanted = asked.mapInArrow(nearest_lists, f"query_id {kind}, q array<double>, list_id int")
     hits = listed.join(wanted, "list_id").select("query_id", "id", similarity(F.col("embedding"), F.col("q"), metric).alias("score"))
     return best(hits.where("score is not null"), k)
 
@@ -114,13 +142,19 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
+        places: dict[str, int] = {}  # of this batch's words: the component, and its sign in the high half
+
+        def place(w):
+            h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            places[w] = p = h[0] % dimension + (0 if h[1] & 1 else dimension)
+            return p
+
         def one(t):
             if t is None:
                 return None
-            v = np.zeros(dimension, np.float32)
-            for w in re.findall(r"\w+", t.lower()):
-                h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                v[h[0] % dimension] += 1 if h[1] & 1 else -1
+            found = [places[w] if w in places else place(w) for w in re.findall(r"\w+", t.lower())]
+            counts = np.bincount(np.array(found, np.int64), minlength=2 * dimension)
+            v = (counts[:dimension] - counts[dimension:]).astype(np.float32)
             n = float(np.linalg.norm(v))
             return (v / n if n else v).tolist()
 

@@ -29,11 +29,11 @@ def join2_location(spark, d):
     return part.select("p_partkey", R.location(row, seconds, F.when(C("p_size") % 4 != 3, C("p_size"))).alias("location"))
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN r_name ELSE 'unknown' END AS source FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN n_name ELSE 'unknown' END AS source FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def join3_source_name(spark, d):
-    both = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), C("r_regionkey") == C("n_regionkey"))  # five rows
-    live = F.when(C("n_nationkey") % 3 == 0, C("n_name")).when(C("n_nationkey") % 3 == 1, "")
-    return both.select("n_nationkey", R.source_name(live, F.when(C("n_nationkey") % 3 == 1, C("r_name"))).alias("source"))
+    both = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), C("c_nationkey") == C("n_nationkey"))  # 25 rows
+    live = F.when(C("c_custkey") % 3 == 0, C("c_name")).when(C("c_custkey") % 3 == 1, "")
+    return both.select("c_custkey", R.source_name(live, F.when(C("c_custkey") % 3 == 1, C("n_name"))).alias("source"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS query_id, l_partkey AS id, min((l_linenumber, l_suppkey)) AS f FROM lineitem GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS INT) AS num FROM f""")
@@ -99,3 +99,19 @@ def udf7_items(spark, d):
 def udf9_facts(spark, d):
     said = F.concat(F.lit("Well, my Name is "), C("turn").cast("string"), F.lit(". Bye"))
     return M.extracted_facts(table(spark, d, "conversations").select(C("conv_id").alias("user_id"), "turn", said.alias("text")))
+
+
+@query("""SELECT page_id, extractor, CASE WHEN extractor = 'whole' THEN length(html) WHEN page_id % 7 <> 0 THEN length(replace(html, '<', '')) END AS characters,
+  CASE WHEN extractor = 'bare' AND page_id % 7 = 0 THEN 'ValueError: no text layer' END AS error FROM pages, (VALUES ('whole'), ('bare')) e(extractor)""")
+def udf8_extractors(spark, d):
+    """Two extractors on the same pages, one of which fails on some."""
+    from textquarry.operators.evaluation import extracted
+
+    def bare(body):
+        if body.startswith("0|"):
+            raise ValueError("no text layer")
+        return body.split("|", 1)[1].replace("<", "")
+
+    pages = table(spark, d, "pages").select("page_id", F.concat((C("page_id") % 7).cast("string"), F.lit("|"), "html").alias("content"))
+    found = extracted(pages, {"whole": lambda body: body.split("|", 1)[1], "bare": bare}, "page_id")
+    return found.select("page_id", "extractor", F.length("text").alias("characters"), "error")

@@ -22,6 +22,16 @@ def src2_delimiter(spark, d):
     return table(spark, d, "documents").select("doc_id", B.delimiter_of(text).alias("delimiter"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ';' ELSE ',' END AS delimiter, CAST(2 AS INT) AS line, 3 AS n_cells, sha256(trim(text)) AS text_sha256 FROM documents WHERE length(trim(text)) > 0""")
+def src2_records(spark, d):
+    """Every document as a delimited file of two records, its text a quoted cell with whatever breaks, quotes and delimiters it has."""
+    sign = F.when(C("doc_id") % 2 == 0, ";").otherwise(",")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    files = table(spark, d, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", F.concat(F.lit("id"), sign, F.lit("text"), sign, F.lit("last\n"), C("doc_id").cast("string"), sign, quoted, sign, F.lit("end\n")).alias("text"))
+    found = B.records(files, "doc_id").where("line > 1")
+    return found.select("doc_id", "delimiter", "line", F.size("cells").alias("n_cells"), F.sha2(F.element_at("cells", 2).cast("binary"), 256).alias("text_sha256"))
+
+
 @query("""SELECT CASE WHEN lang = 'es' THEN 'latin-1' ELSE 'utf-8' END AS encoding, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents
 WHERE lang <> 'es' OR regexp_matches(text, '[^\\x00-\\x7f]') GROUP BY 1""")
 def src3_encoding(spark, d):

@@ -157,11 +157,11 @@ def txt22_command(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.command_text(said).alias("fact"))
 
 
-_PAIRS = "SELECT n_nationkey AS k, n_name AS a, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS b FROM nation"
+_PAIRS = "SELECT p_partkey AS k, p_name AS a, p_type AS b FROM part"
 
 
 def _pairs(spark, d):
-    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), C("n_regionkey") == C("r_regionkey")).select(C("n_nationkey").alias("k"), C("n_name").alias("a"), C("r_name").alias("b"))
+    return table(spark, d, "part").select(C("p_partkey").alias("k"), C("p_name").alias("a"), C("p_type").alias("b"))
 
 
 @query(f"SELECT k, levenshtein(a, b) AS distance FROM ({_PAIRS})")
@@ -186,20 +186,20 @@ def mth4_agreement(spark, d):
     return _pairs(spark, d).select("k", S.agreement(C("a"), C("b")).alias("agreement"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(left(text, 300)), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS a,
-  list_distinct(list_filter(string_split(trim(regexp_replace(lower(right(text, 300)), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS b FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(left(text, length(text) // 2)), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS a,
+  list_distinct(list_filter(string_split(trim(regexp_replace(lower(right(text, length(text) - length(text) // 2)), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS b FROM documents)
 SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS overlap FROM w""")
 def mth5_word_overlap(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.word_overlap(F.left("text", F.lit(300)), F.right("text", F.lit(300))).alias("overlap"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return table(spark, d, "documents").select("doc_id", S.word_overlap(F.left("text", half), F.right("text", F.length("text") - half)).alias("overlap"))
 
 
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+@query("""WITH q AS (SELECT vec_id - 1 AS of, embedding::DOUBLE[] AS q FROM embeddings)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine, round(list_inner_product(embedding::DOUBLE[], q), 6) AS dot,
-  round(0 - list_distance(embedding::DOUBLE[], q), 6) AS euclid FROM embeddings, q""")
+  round(0 - list_distance(embedding::DOUBLE[], q), 6) AS euclid FROM embeddings JOIN q ON q.of = vec_id""")
 def mth6_similarity(spark, d):
     vectors = table(spark, d, "embeddings")
-    one = vectors.where("vec_id = 0").select(C("embedding").alias("q"))
-    both = vectors.crossJoin(F.broadcast(one))  # one query row
+    both = vectors.join(vectors.select((C("vec_id") - 1).alias("vec_id"), C("embedding").alias("q")), "vec_id")
     return both.select("vec_id", *(F.round(S.similarity(C("embedding"), C("q"), m), 6).alias(m) for m in ("cosine", "dot", "euclid")))
 
 

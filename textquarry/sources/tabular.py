@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,23 +29,44 @@ def decoded(content: Column) -> Column:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2, SRC3: path, delimiter, line and cells of every line with text in a folder of delimited files."""
+    """SRC2, SRC3: path, delimiter, line and cells of every record with text in a folder of delimited files."""
     files = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("d"))
-    lines = files.select("path", delimiter_of(F.col("d.text")).alias("delimiter"), F.posexplode(F.split("d.text", "\r?\n")).alias("line", "raw")).where(F.trim("raw") != "")
-    parts = [lines.where(F.col("delimiter") == d).withColumn("cells", _cells(F.col("raw"), d)) for d in DELIMITERS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("path", "delimiter", (F.col("line") + 1).alias("line"), "cells")
-
-
-def _cells(raw: Column, delimiter: str, most: int = 256) -> Column:
-    """A line's cells, quotes respected, up to the last one that is filled."""
-    schema = ", ".join(f"c{k:04} string" for k in range(most))
-    row = F.to_json(F.from_csv(raw, schema, {"sep": delimiter}), {"ignoreNullFields": "false"})
-    cells = F.map_values(F.from_json(row, "map<string,string>"))
-    filled = F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i)))
-    return F.transform(F.slice(cells, 1, F.coalesce(filled, F.lit(-1)) + 1), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return records(files.select("path", F.col("d.text").alias("text")), "path")
+
+
+def records(texts: DataFrame, key: str) -> DataFrame:
+    """SRC2: key, delimiter, line and cells of every record with text of texts(key, text).
+
+    Quoted cells may hold delimiters, doubled quotes and line breaks; line is where the record begins. Records have any
+    number of cells, trimmed, up to the last one that is filled.
+    """
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches):
+        csv.field_size_limit(1 << 31)
+        for batch in batches:
+            for name, text, delimiter in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                reader, begins, rows, held = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1, [], 0
+                for cells in reader:
+                    cells = [c.strip(" ") for c in cells]
+                    while cells and not cells[-1]:
+                        cells.pop()
+                    if any(c.strip() for c in cells):
+                        rows.append((begins, cells))
+                        held += sum(map(len, cells)) + 64
+                    begins = reader.line_num + 1
+                    if held > 1 << 22:
+                        yield frame(batch.schema.field(0).type, name, delimiter, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield frame(batch.schema.field(0).type, name, delimiter, rows)
+
+    def frame(kind, name, delimiter, rows):
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), kind), pa.array([delimiter] * len(rows)), pa.array([n for n, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.list_(pa.string()))],
+                                          names=[key, "delimiter", "line", "cells"])
+
+    found = texts.where(F.col("text").isNotNull()).select(key, "text", delimiter_of(F.col("text")).alias("delimiter"))
+    return found.mapInArrow(run, f"`{key}` {kind}, delimiter string, line int, cells array<string>")
 
 
 def header_names(cells: DataFrame, key: str) -> DataFrame:
