@@ -7,11 +7,12 @@ projected through that alignment to a span of original bytes. Byte-fallback piec
 
 Where the model allows it - byte-pair pieces, an empty character map, no whitespace removal, and no piece
 with a word start after its first letter - merges never cross from one word to the next, so a text's
-pieces are those of its space-led words, and the words of a worker's texts are encoded once each.
-Otherwise each text is encoded as a whole. Both ways give the library's ids.
+pieces are those of its space-led words: the words of a worker's texts are encoded and normalised once
+each, and their pieces' source widths, taken through the alignment, are put together to the text's spans.
+Otherwise each text is encoded and normalised as a whole. Both ways give the library's ids.
 
 Defined cases: a null text is empty and has the begin and end ids only; texts are never cut; null ids and
-repeated rows are carried as they are; empty tables give no rows.
+repeated rows are carried as they are; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,13 +69,22 @@ class CharMap:
 
 
 class Normaliser:
-    def __init__(self, spec):
+    """Normalised bytes by the longest rule at each place, with the source byte of each; prefix: whether a space is put before a text."""
+
+    def __init__(self, spec, prefix: bool | None = None):
         self.map = CharMap(bytes(spec.precompiled_charsmap))
-        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.prefix, self.squeeze = spec.add_dummy_prefix if prefix is None else prefix, spec.remove_extra_whitespaces
 
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """(normalised bytes with visible spaces, source byte of each and the end)."""
+        out, source = self.aligned(text)
+        return out, np.array(source, np.int64)
+
+    def aligned(self, text: str) -> tuple[bytes, list[int]]:
         data = text.encode("utf-8")
+        if not len(self.map.units) and not self.prefix and not self.squeeze and data.rfind(b" ") == 0:
+            # No rule can match, and the one space leads: each byte is its own source.
+            return SPACE.encode() + data[1:], [0, 0, *range(len(data) + 1)]
         chunks: list[tuple[int, bytes, int]] = []
         at = 0
         while at < len(data):
@@ -94,16 +104,17 @@ class Normaliser:
         if chunks and self.prefix:
             out += SPACE.encode()
             source += [chunks[0][0]] * 3
-        for start, new, _ in chunks:
+        for start, new, stop in chunks:
+            same = data[start:stop] == new  # bytes that no rule has changed are their own sources
             if self.squeeze and last_space:
                 new = new.lstrip(b" ")
-            for byte in new:
+            for k, byte in enumerate(new):
                 piece = SPACE.encode() if byte == 32 else bytes([byte])
                 out += piece
-                source += [start] * len(piece)
+                source += [start + k if same else start] * len(piece)
             if new:
                 last_space = new.endswith(b" ")
-        return bytes(out), np.array([*source, end], np.int64)
+        return bytes(out), [*source, end]
 
 
 class Encoder:
@@ -121,15 +132,25 @@ class Encoder:
             and not spec.trainer_spec.treat_whitespace_as_suffix and not (kinds == 4).any()
             and not any(SPACE in p.piece.lstrip(SPACE) for p in spec.pieces)
         )
-        #: Original bytes that a piece covers: a visible space stands for one byte.
-        self.widths = np.array([1 if b else len(p.piece.replace(SPACE, " ").encode()) for p, b in zip(spec.pieces, self.is_byte)], np.uint32)
-        self.ids: dict[str, bytes] = {"": np.uint32([self.library.piece_to_id(SPACE)]).tobytes()}
+        #: Normalised bytes of each piece, and the normaliser of words that have their space.
+        self.sizes = [1 if b else len(p.piece.encode()) for p, b in zip(spec.pieces, self.is_byte)]
+        self.led = Normaliser(spec.normalizer_spec, prefix=False)
+        #: Of each known word, pairs of an id and the source bytes that its piece covers.
+        self.pairs: dict[str, bytes] = {"": np.uint32([self.library.piece_to_id(SPACE), 1]).tobytes()}
 
     def _learn(self, found: set[str]) -> dict[str, bytes]:
         """Encode the words of found that are not known yet; the result has those that are not kept."""
-        new, rest = [w for w in found if w not in self.ids], {}
+        new, rest = [w for w in found if w not in self.pairs], {}
         for w, own in zip(new, self.library.encode(new, num_threads=1)):
-            (self.ids if len(self.ids) < CACHE_WORDS and len(w) <= CACHE_CHARS else rest)[w] = array("I", own).tobytes()
+            normal, source = self.led.aligned(" " + w)
+            pairs, at, before = array("I"), 0, 0
+            for i in own:
+                at += self.sizes[i]
+                pairs.extend((i, source[at] - before))
+                before = source[at]
+            if at != len(normal):
+                raise ValueError("the pieces do not cover the normalised word")
+            (self.pairs if len(self.pairs) < CACHE_WORDS and len(w) <= CACHE_CHARS else rest)[w] = pairs.tobytes()
         return rest
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,14 +159,14 @@ class Encoder:
             return [self._whole(t) for t in texts]
         split = [None if SPACE in t else self._split(t) for t in texts]
         rest = self._learn(set().union(*(x for x in split if x)))
-        of = (lambda w: self.ids.get(w) or rest[w]) if rest else self.ids.__getitem__
+        of = (lambda w: self.pairs.get(w) or rest[w]) if rest else self.pairs.__getitem__
         out = []
         for text, found in zip(texts, split):
             if found is None:
                 out.append(self._whole(text))
                 continue
-            own = np.frombuffer(b"".join(map(of, found)), np.uint32)
-            ends = np.cumsum(self.widths[own], dtype=np.uint32)
+            own, widths = np.frombuffer(b"".join(map(of, found)), np.uint32).reshape(-1, 2).T
+            ends = np.cumsum(widths, dtype=np.uint32)
             if len(ends):
                 ends -= np.uint32(1)  # the first word's leading space is not in the text
             out.append(self._framed(own, np.concatenate([np.zeros(1, np.uint32), ends[:-1]]) if len(ends) else ends, ends))
