@@ -8,7 +8,7 @@ size: zstandard compresses the surrounding code with and without it, primed with
 identifiers, and the difference in bytes is divided by its length. Other copies of the value, also as a part of a
 longer run, are taken out of the surrounding code first, so that a key that stands twice is as novel as one that
 stands once. Identifiers and paths cost a fraction of a byte a character; random keys cost at least NOVEL_BYTES. Those are reported
-as kind 'novel', without what a base span covers; base spans always stay. Runs longer than PIECE are measured in overlapping
+as kind 'novel', without what a base span covers; base spans always stay. A name or path of plain words is no candidate. Runs longer than PIECE are measured in overlapping
 pieces and are one span if a piece is novel. A span goes on over the segments that adjoin it (a token's dotted parts, a key
 wrapped over lines), and a PEM body is one span.
 
@@ -44,6 +44,8 @@ SENSITIVE = (
 )
 LEAST_CHARS = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A name or path: words of one case between signs, each with at most two digits at its end; never a key.
+NAME = re.compile(r"[/_.=+-]*+(?:(?:[a-z]++|[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,2}+(?:[/_.=+-]++|\Z))++")
 CONTEXT_CHARS = 48
 #: Characters that are measured at once.
 PIECE = 512
@@ -147,7 +149,7 @@ class Scanner:
 
     def incompressible(self, text: str, start: int, end: int) -> bool:
         value = text[start:end]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or NAME.fullmatch(value):
             return False
         if len(value) <= PIECE:
             return self.costly(text, start, end)
@@ -191,7 +193,9 @@ def contexts(text: str, places: list[int]) -> list[tuple[int, int]]:
 def block_end(text: str, place: int, line_end: int) -> int:
     """Where the lines end that belong to the line about place: values of an open line, deeper lines, lone keys."""
     indent = indent_of(text, text.rfind("\n", 0, place) + 1)
-    opened = OPEN_LINE.search(text[max(place, line_end - 32) : line_end]) is not None
+    m = OPEN_LINE.search(text[max(place, line_end - 32) : line_end])
+    # A quote opens a value only where it is not the end of one.
+    opened = m is not None and (m[0][0] not in "\"'`" or text.count(m[0][0], text.rfind("\n", 0, place) + 1, line_end) % 2 == 1)
     stop, at, first = line_end, line_end + 1, True
     while at < len(text):
         end = text.find("\n", at)
