@@ -148,6 +148,15 @@ def test_warc_of_nothing(spark):
     assert warc.read_chunks(spark, archives).count() == 0
 
 
+def test_warc_and_neighbours_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "a", 5, "x"), (2, "u", "a", 6, "y")], "page_id int, url string, html string, digest int, first string").withColumns({"key": F.lit(1), "nth": F.lit(2), "payload": F.lit("p")})
+    got = warc.payload_summary(warc.read_chunks(spark, warc.write_archives(rows))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (2, "revisit", 1)]
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(30)] + [(40, [float("inf"), 1.0])], "vec_id int, embedding array<double>").withColumns({c: F.lit(7) for c in ("query_id", "rank", "score", "norm", "most", "d")})
+    found = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 3)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"] and {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} >= {(20, 1, 29), (20, 2, 28), (0, 1, 1)}
+
+
 # --- 4
 
 
@@ -177,6 +186,33 @@ def test_normaliser_follows_a_compiled_map():
         assert normal.decode() == rules.normalize(text) and len(source) == len(normal) + 1 and (np.diff(source) >= 0).all()
 
 
+def test_pieces_of_a_model_with_a_character_map():
+    """The map is set in a copy of the model's file; every span is the source of its piece's normalised bytes."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(queries.tokenizer_bytes("piece_bpe_32k.model"))
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    encoder = pieces.Encoder(spec.SerializeToString())
+    assert not encoder.by_word and len(encoder.normalise.map.units)
+    for text in ["ﬁne ｆｕｌｌ ① words", "plain", "", "㌔x日本 🎉"]:
+        (ids, spans), = encoder.encode([text])
+        assert ids.tolist() == encoder.library.encode(text, add_bos=True, add_eos=True)
+        data, normal = text.encode(), encoder.normalise(text)[0]
+        assert b"".join(data[a:b] for a, b in spans.tolist()) == data and (np.diff(spans[1:-1, 0].astype(int)) >= 0).all()
+        own = [b"x" * 1 if encoder.is_byte[i] else encoder.library.id_to_piece(int(i)).encode() for i in ids[1:-1]]
+        assert sum(map(len, own)) == len(normal)
+    (ids, spans), = encoder.encode(["ﬁ ①a"])
+    assert {encoder.library.id_to_piece(int(i)): (int(a), int(b)) for i, (a, b) in zip(ids, spans)}["▁fi"] == (0, 3)
+
+
+def test_pieces_of_nothing(spark):
+    assert pieces.encoded(docs_of(spark, []), queries.tokenizer_bytes("piece_bpe_32k.model")).count() == 0
+
+
 # --- 5
 
 
@@ -451,6 +487,37 @@ def test_language_held_out(spark):
     assert language.without_unknown(docs, net).count() == len(rows) - 2
 
 
+def test_folded_network_equals_a_plain_convolution():
+    """Tables a filter offset give what embedding, filters, pooling and softmax give, window by window, weighted by bytes."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdeé ,1"), n)) for n in (5, 300, 700, 256)]
+    net = language.train(texts * 2, ["x", "y", "z", "x"] * 2)
+    width = language.FILTERS * len(language.WIDTHS)
+    for text, name, score in zip(texts, *net.predict(texts)):
+        codes = language.CLASSES[np.frombuffer(text.encode(), np.uint8)]
+        total, weight = np.zeros(len(net.labels)), 0
+        for at in range(0, len(codes), language.WINDOW):
+            own = codes[at : at + language.WINDOW]
+            padded = np.zeros(language.WINDOW + max(language.WIDTHS) - 1, int)
+            padded[: len(own)] = own
+            pooled = np.full(width, -np.inf)
+            for place in range(language.WINDOW):
+                pooled = np.maximum(pooled, sum(net.tables[k][padded[place + k]] for k in range(max(language.WIDTHS))))
+            z = np.maximum(pooled + net.bias, 0) @ net.dense + net.dense_bias
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(own)
+            weight += len(own)
+        assert name == net.labels[int(total.argmax())] and score == pytest.approx(total.max() / weight, abs=1e-4)
+    # A filter of width w has no weight beyond its own offsets.
+    for i, w in enumerate(language.WIDTHS):
+        assert all(not net.tables[k][:, i * language.FILTERS : (i + 1) * language.FILTERS].any() for k in range(w, max(language.WIDTHS)))
+
+
+def test_language_of_nothing(spark):
+    docs = docs_of(spark, [])
+    net = language.fitted(docs)
+    assert language.predictions(docs, net).count() == 0 and language.without_unknown(docs, net).columns == docs.columns
+
+
 def test_language_without_labels(spark):
     docs = docs_of(spark, [(1, "some words"), (2, None)], lang=None)
     assert {r.lang_pred for r in language.predictions(docs, language.fitted(docs)).collect()} == {"und"}
@@ -517,6 +584,30 @@ def test_long_and_multi_line_secrets_are_whole():
         assert scanner.spans(text) == []
 
 
+def test_secrets_of_nothing(spark):
+    assert secrets.found_secrets(docs_of(spark, [])).count() == 0 and secrets.without_secrets(docs_of(spark, [])).count() == 0
+
+
+def test_novelty_on_code_with_known_keys():
+    """Precision and recall of the kind 'novel' on code-like text: keys in sensitive contexts, and long names, paths and digests elsewhere."""
+    rng = np.random.default_rng(9)
+    parts = "user session payment account service handler config default request response manager cache region endpoint schema".split()
+    name = lambda n: "_".join(rng.choice(parts, n)) + str(rng.integers(10))
+    key = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), int(rng.integers(24, 64)))) + "7a"
+    found, real, right = 0, 0, 0
+    scanner = secrets.Scanner()
+    for _ in range(150):
+        secret = key()
+        lines = [f"def {name(4)}(self, {name(3)}):", f"    credential = load('/srv/{name(3)}/{name(3)}')", f"    bearer_for_{name(4)} = self.{name(3)}.{name(2)}", f"    commit {key().upper()} was built",
+                 str(rng.choice([f"    authorization: Bearer {secret}", f"    client_key -> '{secret}'", f"    signing_key({secret})"]))]
+        rng.shuffle(lines)
+        text = "\n".join(lines)
+        place = text.index(secret)
+        spans = [(s, e) for s, k, e in scanner.spans(text) if k == 3]
+        found, real, right = found + len(spans), real + 1, right + sum(s <= place and e >= place + len(secret) for s, e in spans)
+    assert right >= 0.95 * real and right >= 0.9 * found, (found, real, right)
+
+
 def test_masking(spark):
     docs = docs_of(spark, [(1, "x password=hunter2hunter2 y"), (2, None), (3, "clean"), (4, "token=" + "0" * 40)])
     got = {r.doc_id: r for r in secrets.without_secrets(docs).collect()}

@@ -8,7 +8,9 @@ characters at a random place of each). For prediction embedding and filters are
 per filter offset, so a window costs a few table look-ups a byte. Every byte of every text is used.
 
 Defined cases: a null text, or one without any letter, is 'und' with score 0; with no labelled row at
-all every text is 'und'; null languages are not learned from; rows with a null id are never held out.
+all every text is 'und'; null languages are not learned from; rows with a null id are never held out; repeated rows
+are predicted row by row, long texts whole; an empty table gives no rows; extra columns are ignored, whatever their names.
+As a bound of the fit, the MOST_LANGUAGES most frequent languages are learned; texts of others get the nearest of those.
 """
 
 from __future__ import annotations

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder set instead.
+    Only where that setting is absent and the master is local is a temporary folder set instead.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(base)
         base = context.getCheckpointDir()
