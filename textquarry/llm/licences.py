@@ -70,12 +70,15 @@ def maps(count: int = MAPS) -> list[tuple[int, int]]:
     return out
 
 
-def signature(shingles):
-    """One band a map: the least value of each map over an array of shingles."""
-    folded = F.transform(shingles, lambda s: F.pmod(s, F.lit(_PRIME)))
+def folded(shingles):
+    """Shingles as 31-bit numbers, which the maps take."""
+    return F.transform(shingles, lambda s: F.pmod(s, F.lit(_PRIME)))
 
+
+def signature(numbers):
+    """One band a map: the least value of each map over an array of folded shingles."""
     def least(a: int, b: int):
-        return F.array_min(F.transform(folded, lambda s: (s * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
+        return F.array_min(F.transform(numbers, lambda s: (s * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
 
     return F.array(*(least(a, b) for a, b in maps()))
 
@@ -86,7 +89,7 @@ def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> Dat
     found = rows.select("licence", F.array_distinct(shingle_list(word_list("notice"))).alias("shingles"), word_list("notice").alias("words")).where(F.size("words") > 0)
     n = F.size("shingles")
     return found.select(
-        "licence", "shingles", "words", n.alias("n"), F.pow(F.lit(2), F.ceil(F.log2(n.cast("double")))).cast("int").alias("block"), signature(F.col("shingles")).alias("bands"))
+        "licence", "shingles", "words", n.alias("n"), F.pow(F.lit(2), F.ceil(F.log2(n.cast("double")))).cast("int").alias("block"), signature(folded(F.col("shingles"))).alias("bands"))
 
 
 def anchors_of(lists: list[list[str]]) -> list[str]:
@@ -128,8 +131,10 @@ def licences_in(docs: DataFrame, notices: dict[str, str] | None = None) -> DataF
     blocks = sorted({r.block for r in sizes})
     windows = rows.select("row", "doc_id", "words", "known", F.inline(F.concat(*map(starts, blocks)) if blocks else F.expr("cast(array() as array<struct<block:int,at:bigint>>)")))
     own = F.slice("words", (F.col("at") * F.col("block") + 1).cast("int"), 2 * F.col("block") + N_WORDS - 1)
-    windows = windows.select("row", "doc_id", "known", "block", shingle_list(own).alias("shingles")).where(F.size("shingles") > 0)
-    hashed = windows.select("row", "doc_id", "known", "block", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
+    windows = windows.select("row", "doc_id", "known", "block", own.alias("own")).where(F.size("own") > 0)
+    # Each step is a column of its own, so that none is computed again for each of its uses.
+    hashed = windows.select("row", "doc_id", "known", "block", shingle_list(F.col("own")).alias("shingles")).select("row", "doc_id", "known", "block", folded(F.col("shingles")).alias("numbers"))
+    hashed = hashed.select("row", "doc_id", "known", "block", F.posexplode(signature(F.col("numbers"))).alias("band", "value"))
     # The windows retrieve; the whole document's shingles decide, once a document and licence.
     shared = F.size(F.array_intersect(F.col("known"), F.col("shingles")))
     met = hashed.join(bands, ["block", "band", "value"]).join(exact, "licence").select("row", "doc_id", "licence", "n", shared.alias("shared_shingles"))
