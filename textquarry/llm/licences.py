@@ -53,10 +53,15 @@ def word_list(text):
 
 
 def shingle_list(words):
-    """64-bit hashes of the word 5-grams, or of all words of a shorter list."""
+    """64-bit hashes of the word 5-grams, or of all words of a shorter list.
+
+    The list is zipped with itself at five places, so the work stays linear even where the optimizer puts the whole
+    expression of words in place of its column.
+    """
     n = F.size(words)
-    gram = lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.least(F.lit(N_WORDS), n)), " "))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n - N_WORDS + 1, F.lit(1))), gram)).otherwise(F.array().cast("array<bigint>"))
+    shifted = F.arrays_zip(*(F.slice(words, k, F.greatest(n - N_WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(1, N_WORDS + 1)))
+    grams = F.transform(shifted, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{k}"] for k in range(1, N_WORDS + 1)))))
+    return F.when(n >= N_WORDS, grams).when(n > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def maps(count: int = MAPS) -> list[tuple[int, int]]:
