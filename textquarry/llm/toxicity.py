@@ -46,6 +46,8 @@ TURNS = 5
 #: Evidence that makes a unit a first positive; least output for a toxic document's top unit to stay one, and
 #: for a further unit of the document, with nearly that evidence, to become one.
 EVIDENCE, DOUBT, FURTHER = 2.5, -0.3, 0.3
+#: A unit can only be what makes a document toxic if toxic documents have it this many times as often as clean ones.
+LIKELIER = 4
 #: Bounds of the training sample: documents of each label; characters of one, at a place drawn by its id, for the counts of
 #: units that both labels are compared by; and distinct units of the whole of a longer toxic one (more are drawn by hash),
 #: in which the machine looks for the unit that makes it toxic. A part seldom has that unit, and one of so many units is easily
@@ -246,7 +248,9 @@ def train(bags: list[list[str]], labels: list[int], rate: float | None = None, w
         for u in own:
             seen.setdefault(u, [0, 0])[int(y)] += 1
     n_bad, n_good = sum(y for _, y in used), sum(1 - y for _, y in used)
-    odds = {u: evidence(b, g, n_bad / (n_bad + n_good)) for u, (g, b) in seen.items()}
+    # Common words that toxic documents have somewhat more often, and clean words of a document without any insult (labels err), are no insults.
+    possible = {u for u, (g, b) in seen.items() if b * n_good > LIKELIER * g * n_bad}
+    odds = {u: evidence(b, g, n_bad / (n_bad + n_good)) if u in possible else 0.0 for u, (g, b) in seen.items()}
     suspicious = sorted(seen, key=lambda u: (-odds[u], u))
     clean = sorted(u for u, (g, b) in seen.items() if g)
     common = sorted(clean, key=lambda u: (-seen[u][0], u))
@@ -279,7 +283,7 @@ def train(bags: list[list[str]], labels: list[int], rate: float | None = None, w
         if turn == 0:
             marks = Landmarks(sorted({*suspicious[: LANDMARKS // 2], *common[: LANDMARKS // 8], *hard[: LANDMARKS // 4], *drawn}))
         # A toxic document's most toxic unit, and others of its that look toxic and have evidence of their own.
-        tops = {max(own, key=lambda u: (value[u], u)) for own in bad_bags}
+        tops = {max(some, key=lambda u: (value[u], u)) for own in bad_bags if (some := possible.intersection(own))}
         positives = {u for u in tops if value[u] > DOUBT or odds[u] > EVIDENCE}
         # A long document has so many units that its highest counts only if it looks toxic without doubt, and other documents agree.
         positives |= {u for u in (max(own, key=lambda u: (value[u], u)) for own in long_bags) if value[u] > FURTHER and odds.get(u, 0) > 0.9 * EVIDENCE}
