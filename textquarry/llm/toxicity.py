@@ -48,6 +48,8 @@ TURNS = 5
 EVIDENCE, DOUBT, FURTHER = 2.5, -0.3, 0.3
 #: A unit can only be what makes a document toxic if toxic documents have it this many times as often as clean ones.
 LIKELIER = 4
+#: Fewer toxic documents than these say little about the curve; it is then fitted to the documents of the machine, none kept back.
+KEPT_BACK = 20
 #: Bounds of the training sample: documents of each label; characters of one, at a place drawn by its id, for the counts of
 #: units that both labels are compared by; and distinct units of the whole of a longer toxic one (more are drawn by hash),
 #: in which the machine looks for the unit that makes it toxic. A part seldom has that unit, and one of so many units is easily
@@ -239,7 +241,7 @@ def train(bags: list[list[str]], labels: list[int], rate: float | None = None, w
     rate = float(labels.mean()) if rate is None else rate
     rng = np.random.default_rng(seed)
     kept_back = rng.random(len(bags)) < 0.2  # for the curve alone
-    if not labels[~kept_back].any() or labels[~kept_back].all() or len(set(labels[kept_back])) < 2:
+    if labels[kept_back].sum() < KEPT_BACK or labels[kept_back].all() or not labels[~kept_back].any() or labels[~kept_back].all():
         kept_back[:] = False
     used = [(own, y) for own, y, back in zip(bags, labels, kept_back) if not back]
     long_bags = [own for k, own in wholes.items() if own and labels[k] and not kept_back[k]]
