@@ -357,6 +357,34 @@ def test_toxicity_on_unseen_texts(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_toxicity_takes_no_common_word_for_an_insult():
+    """A word that toxic documents have twice as often as clean ones stays clean, and so do the words of wrongly labelled documents."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(400)]
+    insults = ["moron", "idiot", "scum"]
+
+    def bag(toxic, k):
+        own = set(rng.choice(plain, 30))
+        if rng.random() < (0.5 if toxic else 0.25):
+            own.add("retion")
+        if toxic and k % 8:  # one in eight is labelled wrongly
+            own.add(insults[k % 3])
+        return sorted(own)
+
+    labels = [k % 9 == 0 for k in range(1800)]
+    scorer = toxicity.train([bag(y, k // 9) for k, y in enumerate(labels)], [int(y) for y in labels])
+    scores = scorer.scores(["retion", " ".join(plain[:40]), *insults])
+    assert (scores[:2] < toxicity.THRESHOLD).all() and (scores[2:] >= toxicity.THRESHOLD).all()
+
+
+def test_toxicity_learns_from_few_toxic_documents():
+    rng = np.random.default_rng(6)
+    plain = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
+    bags = [sorted({*rng.choice(plain, 20), *(["moron"] if k % 10 == 0 else [])}) for k in range(150)]
+    scorer = toxicity.train(bags, [int(k % 10 == 0) for k in range(150)])
+    assert (scorer.scores(["moron", "mo-ron"]) >= toxicity.THRESHOLD).all() and scorer.scores([" ".join(plain[:20])])[0] < toxicity.THRESHOLD
+
+
 def test_folded_scorer_equals_kernel_with_landmarks():
     """One weight a triple gives what the kernel of each unit with every landmark, the whitening map and the machine give."""
     rng = np.random.default_rng(2)

@@ -8,7 +8,8 @@ Training: a bounded sample of labelled documents gives bags of units, the words
 spaced-out letters joined. Landmarks are chosen among the units; the Nystrom map takes a unit's kernel
 values with them through the inverse root of their kernel matrix, and a linear machine with squared hinge
 loss is trained on it by Newton steps. A toxic document's bag only says that some unit in it is toxic, so
-the machine is retrained on the unit of each toxic bag that scores highest. A logistic curve on held-back
+the machine is retrained on the unit of each toxic bag that scores highest, among those that toxic documents have
+LIKELIER times as often as clean ones: labels err, and the words of a wrongly labelled document are no insults. A logistic curve on held-back
 bags turns a document's highest unit score into a probability. Kernel and machine see single words, and letters
 that stand apart; a phrase of words that are each clean is not learned.
 
