@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, idstore, jaccard, language, licences, neighbours, pieces, secrets, toxicity, warc
+from textquarry.llm import copies, decontaminate, idstore, jaccard, language, licences, neighbours, pieces, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op6_licence_scan, op7_toxicity, op8_ngram_jaccard, op9_language_id, op10_secret_scan)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.classes(_table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op6_licence_scan, op7_toxicity, op8_ngram_jaccard,
+    op9_language_id, op10_secret_scan, op13_exact_dedup,
+)
+QUERIES = {q.__name__: q for q in _OPERATORS}
 
 #: Words as the operators see them: runs of letters, digits and underscores of the lower-case text.
 _SHINGLES = """
@@ -104,5 +112,11 @@ SELECT have.k AS doc_id, want.k AS item_id, any_value(n) AS item_shingles, CAST(
 FROM want JOIN have USING (s) JOIN sizes ON sizes.k = want.k
 GROUP BY have.k, want.k
 HAVING count(*) >= 0.8 * any_value(n) - 1e-9
+""",
+    "op13_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
 }
