@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import copies, decontaminate, idstore, jaccard, language, licences, neighbours, periods, pieces, secrets, toxicity, warc
+from textquarry.llm import copies, decontaminate, idstore, jaccard, language, licences, manifest, neighbours, periods, pieces, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proven(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return periods.run_summaries(docs, planted=periods.planted_runs(F.col("doc_id"), F.col("text")))
@@ -84,7 +88,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_decontamination, op2_nearest_vectors, op3_warc, op4_sentencepiece, op5_id_store, op6_licence_scan, op7_toxicity, op8_ngram_jaccard,
-    op9_language_id, op10_secret_scan, op12_periodic_runs, op13_exact_dedup,
+    op9_language_id, op10_secret_scan, op11_merkle_manifest, op12_periodic_runs, op13_exact_dedup,
 )
 QUERIES = {q.__name__: q for q in _OPERATORS}
 
