@@ -112,15 +112,6 @@ def test_rerank_falls_back_when_no_score(spark):
     assert got == [(1, 1, 11), (2, 1, 12), (2, 2, 10)]
 
 
-def test_list_search_recall(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    asked = rows.where("id < 10").withColumnRenamed("id", "query_id")
-    exact = {(r.query_id, r.id) for r in vectors.knn(asked, rows, 5).collect()}
-    model = vectors.fit_lists(rows)
-    full = {(r.query_id, r.id) for r in vectors.probed(asked, vectors.with_list(rows, model), model, 5, len(model.clusterCenters())).collect()}
-    assert full == exact
-
-
 def test_prices_exact_beats_pattern_and_longest_wins(spark):
     models = spark.createDataFrame([("gpt-4",), ("gpt-4-mini",), ("other",)], "model_id string")
     prices = spark.createDataFrame([("gpt-4", 1.0), ("gpt-*", 2.0), ("gpt-4-m*", 3.0)], "pattern string, input double")

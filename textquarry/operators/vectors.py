@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.functions.scoring import similarity
-
 #: Questions whose vectors go to the tasks at once.
 QUESTION_BLOCK = 8192
+#: Tasks of a search for each core of the cluster: each reads many files and gives a question's k best of them all.
+TASKS_A_CORE = 4
 
 
 def best(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -32,11 +32,19 @@ def within(vectors: DataFrame, sources: list | None) -> DataFrame:
     return vectors if sources is None else vectors.where(F.col("source").isin(*sources) if sources else F.lit(False))
 
 
+def grouped_tasks(rows: DataFrame) -> DataFrame:
+    """rows in at most TASKS_A_CORE partitions a core, without a shuffle.
+
+    A task of a search gives k rows a question whatever it reads; so they grow with the cores, not with the files.
+    """
+    return rows.coalesce(max(1, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", sources: list | None = None) -> DataFrame:
     """VEC1: query_id, id, score and rank of the k nearest vectors(id, embedding) of each of questions(query_id, embedding).
 
-    The questions go to the tasks in blocks; every task keeps each question's k best and those are merged,
-    so vectors are never shuffled.
+    The questions go to the tasks in blocks; a task keeps each question's k best of the files it reads and those are merged,
+    so vectors are never shuffled, and what is shuffled is at most tasks x questions x k, the tasks being some a core.
     """
     total = questions.count()
     blocks = 1 if total <= QUESTION_BLOCK else math.ceil(2 * total / QUESTION_BLOCK)
@@ -46,7 +54,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
     for block in range(blocks):
         own = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         held = own.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).where("embedding is not null").collect()  # at most a block
-        ids, matrix = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
+        ids, matrix = np.array([r[0] for r in held], np.int64), as_matrix([r[1] for r in held])
         shipped = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches, shipped=shipped):
@@ -64,13 +72,17 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
             r, c = np.nonzero(np.isfinite(kept_s))
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(kept_i[r, c]), pa.array(kept_s[r, c])], schema=schema)
 
-        parts.append(rows.mapInArrow(run, "query_id bigint, id bigint, score double"))
+        parts.append(grouped_tasks(rows).mapInArrow(run, "query_id bigint, id bigint, score double"))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return best(out, k)
 
 
+def as_matrix(rows: list) -> np.ndarray:
+    return np.array(rows, np.float64) if rows else np.zeros((0, 1))
+
+
 def keep_best(kept_s: np.ndarray, kept_i: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
     """Merge a tile's scores (questions x vectors with ids own) into each question's best, in place; ties to the smaller id."""
     k = kept_s.shape[1]
@@ -105,36 +117,11 @@ def list_count(rows: int) -> int:
     return max(1, rows // 1000) if rows <= 1_000_000 else int(math.sqrt(rows))
 
 
-def fit_lists(vectors: DataFrame, sample_rows: int = 50_000, seed: int = 3) -> KMeansModel:
+def fit_lists(vectors: DataFrame, sample_rows: int = 50_000, seed: int = 3, lists: int | None = None) -> KMeansModel:
     """VEC2: centroids from a bounded sample."""
     total = vectors.count()
     sample = vectors if total <= sample_rows else vectors.sample(sample_rows / total, seed)
-    return KMeans(k=max(2, list_count(total)), seed=seed, maxIter=10, featuresCol="features").fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
-
-
-def with_list(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """VEC2: every vector's list; write it partitioned by it."""
-    return model.transform(vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))).drop("features").withColumnRenamed("prediction", "list_id")
-
-
-def probed(questions: DataFrame, listed: DataFrame, model: KMeansModel, k: int, probes: int, metric: str = "cosine") -> DataFrame:
-    """VEC2: search of the nearest lists only. Centroids are as few as the model has; the join is on the list."""
-    shipped = questions.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters(), np.float64))
-    kind = dict(questions.dtypes)["query_id"]
-
-    def nearest_lists(batches):
-        centres = shipped.value
-        for batch in batches:
-            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            distance = (centres**2).sum(axis=1)[None] - 2 * q @ centres.T
-            lists = np.argsort(distance, axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(q)), lists.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists.ravel(), pa.int32())], names=["query_id", "q", "list_id"])
-
-    asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
-    wanted = asked.mapInArrow(nearest_lists, f"query_id {kind}, q array<double>, list_id int")
-    hits = listed.join(wanted, "list_id").select("query_id", "id", similarity(F.col("embedding"), F.col("q"), metric).alias("score"))
-    return best(hits.where("score is not null"), k)
+    return KMeans(k=max(2, lists or list_count(total)), seed=seed, maxIter=10, featuresCol="features").fit(sample.where("embedding is not null").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
 
 
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
