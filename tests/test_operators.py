@@ -156,26 +156,6 @@ def test_stream_of_deltas_becomes_ordered_passages(spark, tmp_path):
     assert [r.passage for r in sorted(got, key=lambda r: r.passage_no)] == ["One two.", " Three"]
 
 
-def test_completion_is_emitted_once(spark, tmp_path):
-    row = lambda i, s="corrected": {"asset_id": "a", "batch_index": i, "status": s, "total_batches": 2}
-    got = streamed(spark, tmp_path, [[row(0), row(0)], [row(1, "new")], [row(1)], [row(1), row(0)]], "asset_id string, batch_index int, status string, total_batches int", stateful.completed_assets)
-    assert [(r.asset_id, r.batches) for r in got] == [("a", 2)]
-
-
-def test_login_lock_clears_on_success(spark, tmp_path):
-    row = lambda t, ok=False: {"user_id": "u", "ts": float(t), "ok": ok}
-    got = streamed(spark, tmp_path, [[row(0), row(1)], [row(2, True), row(3), row(4)], [row(5), row(2000)]], "user_id string, ts double, ok boolean", lambda s: stateful.locks(s, 3, 900))
-    assert [(r.ts, r.failures) for r in got] == [(5.0, 3)]
-
-
-def test_task_fold_takes_the_newest_state(spark, tmp_path):
-    row = lambda ts, s: {"task_id": "t", "ts": ts, "status": s}
-    got = streamed(spark, tmp_path, [[row("2024-01-01 00:00:02", "STARTED"), row("2024-01-01 00:00:01", "QUEUED")], [row("2024-01-01 00:00:09", "SUCCESS")], [row("2024-01-01 00:00:05", "STARTED")]],
-                   "task_id string, ts string, status string", stateful.folded_tasks, "update")
-    assert [(r.status, r.started_at, r.completed_at) for r in got] == [
-        ("STARTED", "2024-01-01 00:00:02", None), ("SUCCESS", "2024-01-01 00:00:02", "2024-01-01 00:00:09"), ("SUCCESS", "2024-01-01 00:00:02", "2024-01-01 00:00:09")]
-
-
 def test_equal_calls_are_suppressed_across_batches(spark, tmp_path):
     row = lambda ts, f: {"ts": f"2024-01-01T00:{ts}:00Z", "fingerprint": f}
     got = streamed(spark, tmp_path, [[row("01", "a"), row("02", "a")], [row("03", "b"), row("04", "a")], [row("45", "c")], [row("46", "c")]], "ts timestamp, fingerprint string", stateful.suppressed_stream)
@@ -190,25 +170,6 @@ def test_rolling_windows_close_behind_the_watermark(spark, tmp_path):
     assert len(want) == 2 and sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_batches_are_judged_in_groups_and_failures_are_undecided(spark, tmp_path):
-    source, calls = tmp_path / "in", []
-    source.mkdir()
-    (source / "0.json").write_text("\n".join(json.dumps({"id": k, "text": "boom" if k == 9 else "bad" if k % 4 == 0 else "fine"}) for k in range(20)))
-
-    def judge(texts):
-        assert len(texts) <= 8
-        if "boom" in texts:
-            raise RuntimeError("no answer")
-        return [t != "bad" for t in texts]
-
-    items = spark.readStream.schema("id long, text string").json(str(source)).coalesce(1)
-    run = stateful.judged_batches(items, judge, lambda df, n: calls.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert run.exception() is None
-    got = {r.id: r.safe for r in calls}
-    assert len(got) == 20 and all(got[k] is (k % 4 != 0) for k in (*range(8), *range(16, 20))) and all(got[k] is None for k in range(8, 16))
-
-
 def test_new_files_become_passages_with_vectors(spark, tmp_path):
     rows = [[{"path": "a", "text": "word " * 500}], [{"path": "b", "text": ""}, {"path": "c", "text": "tiny"}]]
     got = streamed(spark, tmp_path, rows, "path string, text string", stateful.ingested)

@@ -8,6 +8,8 @@ from textquarry.operators import evaluation as E
 from textquarry.operators import logs as L
 from textquarry.operators import ownership as O
 from textquarry.plans.registry import query
+from textquarry.streaming import once
+from textquarry.streaming import timed as S
 from textquarry.tables import table
 
 C = F.col
@@ -249,6 +251,23 @@ def str7_sweep(spark, d):
     return L.swept(_tasks(spark, d), now, 86400, 604800).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_NEWEST = f"""(SELECT project_id AS task_id, arg_max(status, (ts, event_id)) AS status, max(epoch_us(ts)) AS changed_at, min(epoch_us(ts)) FILTER (status = 'STARTED') AS started_at,
+  max(epoch_us(ts)) FILTER (status IN ('SUCCESS', 'FAILURE', 'DEAD')) AS completed_at FROM {_TASKS} GROUP BY project_id)"""
+
+
+@query(f"""WITH w AS (SELECT max(epoch_us(ts)) // 1000 AS wm FROM events),
+due AS (SELECT *, status IN ('SUCCESS', 'FAILURE', 'DEAD') AS final, changed_at // 1000 + CASE status WHEN 'STARTED' THEN 7200000 ELSE 21600000 END AS due FROM {_NEWEST}, w)
+SELECT task_id, CASE WHEN due <= wm THEN 'DEAD' ELSE status END AS status, CASE WHEN due <= wm THEN 1000 * due ELSE changed_at END AS changed_at, started_at, CASE WHEN due <= wm THEN 1000 * due ELSE completed_at END AS completed_at
+FROM due WHERE due > wm OR (NOT final AND due + 21600000 > wm)""")
+def str7_sweep_stream(spark, d):
+    """The events as a stream, the watermark as its clock: tasks that fell silent are dead or gone."""
+    def build(events):
+        status = F.when(C("event_type") == "view", "QUEUED").when(C("event_type") == "click", "STARTED").when(C("event_type") == "error", "FAILURE").when(C("event_type") == "purchase", "SUCCESS").otherwise("DEAD")
+        return S.task_clock(events.select(C("user_id").alias("task_id"), "event_id", C("ts").cast("timestamp").alias("ts"), status.alias("status")), 3600, 21600)
+
+    return S.newest_states(once.streamed(spark, f"{d}/events.parquet", build))
+
+
 @query(f"""WITH f AS (SELECT project_id, min(event_id) FILTER (status = 'FAILURE') AS f FROM {_TASKS} GROUP BY project_id)
 SELECT event_id, CASE WHEN event_id > f THEN 'DEAD' ELSE status END AS status FROM {_TASKS} t JOIN f USING (project_id)""")
 def str8_abandoned(spark, d):
@@ -262,6 +281,17 @@ def str9_locked_logins(spark, d):
     return L.locked_logins(table(spark, d, "events").select("user_id", "event_id", C("ts").cast("timestamp").alias("ts"), (C("event_type") == "purchase").alias("ok")), 864000)
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS ok FROM events), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+c AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY epoch_us(ts) RANGE BETWEEN 864000000000 PRECEDING AND CURRENT ROW) AS failures FROM r)
+SELECT user_id, event_id, CAST(failures AS BIGINT) AS failures FROM c WHERE NOT ok AND failures >= 5 AND epoch_us(ts) // 1000 + 1 < (SELECT max(epoch_us(ts)) // 1000 FROM events)""")
+def str9_locked_stream(spark, d):
+    """The events as a stream: what the watermark, in the end the last event, has passed is decided."""
+    def build(events):
+        return S.locks(events.select("user_id", "event_id", C("ts").cast("timestamp").alias("ts"), (C("event_type") == "purchase").alias("ok")), 5, 864000, "0 seconds")
+
+    return once.streamed(spark, f"{d}/events.parquet", build)
+
+
 @query("""SELECT s.start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL '1 hour', ts::TIMESTAMP), time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) - INTERVAL '1 hour']) AS start FROM events) s GROUP BY ALL""")
 def str10_rolling(spark, d):
     events = table(spark, d, "events").withColumn("ts", C("ts").cast("timestamp_ntz"))

@@ -1,9 +1,9 @@
-"""Keyed stream state: passage cuts with ordered release, completion once, task folds, login locks, and batch judging."""
+"""Streams without clocks of their own: passage cuts with ordered release, rolling windows, suppression, ingestion."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,88 +62,6 @@ def passages_of(events: DataFrame, least: int = 60) -> DataFrame:
     return events.groupBy("answer_id").transformWithStateInPandas(Passages(least), "answer_id string, passage_no int, passage string", "Append", "None")
 
 
-class Completion(StatefulProcessor):
-    """STR5: an asset is emitted once, when its distinct corrected batches are all there."""
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("asset", "seen string, total int, emitted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        seen, total, emitted = self.state.get() if self.state.exists() else ("", 0, False)
-        done = set(filter(None, seen.split(",")))
-        for frame in rows:
-            good = frame[frame["status"] == "corrected"]
-            done.update(str(int(x)) for x in good["batch_index"])
-            total = max(total, int(frame["total_batches"].max()))
-        complete = not emitted and total > 0 and len(done) >= total
-        self.state.update((",".join(sorted(done)), total, emitted or complete))
-        yield pd.DataFrame([(key[0], total)] if complete else [], columns=["asset_id", "batches"])
-
-    def close(self) -> None:
-        pass
-
-
-def completed_assets(batches: DataFrame) -> DataFrame:
-    """STR5 over batches(asset_id, batch_index, status, total_batches)."""
-    return batches.groupBy("asset_id").transformWithStateInPandas(Completion(), "asset_id string, batches int", "Append", "None")
-
-
-class TaskFold(StatefulProcessor):
-    """STR6: a task's newest state by event time; an older event changes nothing but the first start."""
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("task", "data string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"ts": "", "status": None, "started": None, "completed": None}
-        for frame in rows:
-            for ts, status in zip(frame["ts"].astype(str), frame["status"]):
-                if ts >= held["ts"]:
-                    held["ts"], held["status"] = ts, status
-                if status == "STARTED":
-                    held["started"] = min(filter(None, [held["started"], ts]))
-                if status in ("SUCCESS", "FAILURE", "DEAD"):
-                    held["completed"] = max(filter(None, [held["completed"], ts]))
-        self.state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], held["status"], held["started"], held["completed"])], columns=["task_id", "status", "started_at", "completed_at"])
-
-    def close(self) -> None:
-        pass
-
-
-def folded_tasks(events: DataFrame) -> DataFrame:
-    """STR6 over events(task_id, ts, status)."""
-    return events.groupBy("task_id").transformWithStateInPandas(TaskFold(), "task_id string, status string, started_at string, completed_at string", "Update", "None")
-
-
-class LoginLock(StatefulProcessor):
-    """STR9: failures of a user inside the window; a success clears them; reaching the limit locks."""
-
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window = limit, window_s
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("user", "failures string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        times = json.loads(self.state.get()[0]) if self.state.exists() else []
-        out = []
-        for ts, ok in sorted((t, o) for frame in rows for t, o in zip(frame["ts"].astype("int64") / 1e9 if frame["ts"].dtype.kind == "M" else frame["ts"], frame["ok"])):
-            times = [] if ok else [t for t in times if ts - t <= self.window] + [ts]
-            if not ok and len(times) >= self.limit:
-                out.append((key[0], float(ts), len(times)))
-        self.state.update((json.dumps(times),))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "failures"])
-
-    def close(self) -> None:
-        pass
-
-
-def locks(events: DataFrame, limit: int = 5, window_s: int = 900) -> DataFrame:
-    """STR9 over events(user_id, ts in seconds, ok)."""
-    return events.groupBy("user_id").transformWithStateInPandas(LoginLock(limit, window_s), "user_id string, ts double, failures int", "Append", "None")
-
-
 def rolling_stream(events: DataFrame, width: str, slide: str, late: str = "10 minutes") -> DataFrame:
     """STR10 with a watermark, so that closed windows leave the state."""
     from textquarry.operators.logs import rolling
@@ -156,27 +74,6 @@ def suppressed_stream(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     return calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def judged_batches(items: DataFrame, judge: Callable[[list[str]], list[bool]], sink: Callable[[DataFrame, int], None], size: int = 8, every: str = "250 milliseconds"):
-    """STR1, UDF3: micro-batches by time, judged in groups of at most size; a failed call leaves its group undecided."""
-
-    def judge_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            verdicts: list = []
-            for at in range(0, len(frame), size):
-                texts = frame["text"].iloc[at : at + size].tolist()
-                try:
-                    got = list(judge(texts))
-                    verdicts += got if len(got) == len(texts) else [None] * len(texts)
-                except Exception:  # undecided, by the guard's mode
-                    verdicts += [None] * len(texts)
-            yield pd.DataFrame({"id": frame["id"], "safe": pd.array(verdicts, dtype="boolean")})
-
-    def each(batch: DataFrame, number: int) -> None:
-        sink(batch.select("id", "text").mapInPandas(judge_frames, f"id {dict(batch.dtypes)['id']}, safe boolean"), number)
-
-    return items.writeStream.foreachBatch(each).trigger(processingTime=every)
-
-
 def ingested(files: DataFrame) -> DataFrame:
     """STR13: passages with vectors of a stream (or table) of files(path, text)."""
     from textquarry.operators.chunking import passages
