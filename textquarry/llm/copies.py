@@ -68,7 +68,8 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     last = F.max(F.struct("doc_id", (-F.col("row")).alias("back"))).alias("last")
     groups = rows.groupBy("recipe").agg(last, F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = groups.select("recipe", F.col("last.doc_id").alias("keep"), (-F.col("last.back")).alias("keep_row"), "size")
+    # Written, so that the join deals out both sides itself and can split a large class.
+    sized = stored(groups, "classes").select("recipe", F.col("last.doc_id").alias("keep"), (-F.col("last.back")).alias("keep_row"), "size")
     alone = F.col("size").isNull()
     return rows.join(sized, "recipe", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
