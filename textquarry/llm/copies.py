@@ -27,13 +27,16 @@ from textquarry.llm.shared import fresh, stored
 #: Characters of a chunk, at least (but for a text's last one) and at most.
 LEAST, MOST = 128, 4096
 
-#: Where a chunk may end: between two words, by the letters at either side; in scripts without blanks, or of other letters, at a sentence's end.
-CUT = r"(?:[aeiouаеиоу][b-mб-м]\s(?=[a-eа-д])|[。！？।۔؟])"
+#: Where a chunk may end: between two words, by the letters at either side.
+CUT = r"[aeiou][b-m]\s(?=[a-e])"
+#: The same for texts with characters beyond Latin letters: also by Cyrillic letters, and at the end of a sentence in scripts without such blanks.
+WIDE_CUT = r"(?:[aeiouаеиоу][b-mб-м]\s(?=[a-eа-д])|[。！？।۔؟])"
 
 
 def chunk_list(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """A text's chunks in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least}}}.{{0,{most - least - 3}}}?{CUT}|.{{1,{most}}}"), F.lit(0))
+    latin, wide = (F.lit(f"(?s).{{{least}}}.{{0,{most - least - 3}}}?{cut}|.{{1,{most}}}") for cut in (CUT, WIDE_CUT))
+    return F.regexp_extract_all(text, F.when(text.rlike(r"[^\x00-\u024f]"), wide).otherwise(latin), F.lit(0))
 
 
 def identifier(chunk: Column, salt: int) -> Column:
