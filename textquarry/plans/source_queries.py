@@ -7,10 +7,12 @@ from pyspark.sql.window import Window
 
 from textquarry.operators import chunking as K
 from textquarry.plans.registry import query
+from textquarry.sources import buckets as H
 from textquarry.sources import pages as G
 from textquarry.sources import sinks as N
 from textquarry.sources import tabular as B
 from textquarry.tables import table
+from textquarry.workspace import shared_path
 
 C = F.col
 
@@ -123,6 +125,18 @@ def snk2_upsert(spark, d):
     return N.upserted(rows, changes, ["vec_id"])
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 97 = 3 THEN text || '!' ELSE text END AS text, doc_id % 97 = 3 AS touched FROM documents WHERE doc_id % 101 <> 5 UNION ALL SELECT doc_id + 1000000, text, true FROM documents WHERE doc_id % 89 = 1""")
+def snk2_bucket_upsert(spark, d):
+    """A bucketed table of the documents; all are sent again, some changed and some new, and others are deleted: what is as it was is not built again."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), shared_path(spark, "buckets")
+    digested = lambda rows: rows.withColumn("digest", H.content_digest("text"))
+    H.create(digested(docs), path, ["doc_id"], "digest", 64, lambda rows: rows.withColumn("touched", F.lit(False)))
+    changed = docs.withColumn("text", F.when(C("doc_id") % 97 == 3, F.concat("text", F.lit("!"))).otherwise(C("text"))).union(docs.where("doc_id % 89 = 1").withColumn("doc_id", C("doc_id") + 1000000))
+    H.upsert(spark, path, digested(changed), lambda rows: rows.withColumn("touched", F.lit(True)))
+    H.delete(spark, path, (C("doc_id") % 101 == 5) & (C("doc_id") < 1000000))
+    return H.table(spark, path).select("doc_id", "text", "touched")
+
+
 @query("SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.k') IS DISTINCT FROM '7'")
 def snk3_delete(spark, d):
     return N.without(table(spark, d, "events"), F.get_json_object("props", "$.k") == "7").select("event_id", "event_type")
