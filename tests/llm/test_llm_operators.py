@@ -99,25 +99,74 @@ def test_neighbour_recall(spark, lifted):
     assert hit >= 0.9 * 20 * len(by)
 
 
-@pytest.mark.parametrize("tail", ["outlier", "lognormal", "lognormal in hashed ranges"])
-def test_neighbour_recall_with_unlike_norms(spark, monkeypatch, tail):
+def recall_of(found, x, ids, k=20):
+    """The share of each query's k true nearest that is found; every query is to have k."""
+    by = defaultdict(set)
+    for r in found:
+        by[r.query_id].add(r.vec_id)
+    hit = 0
+    for q, own in by.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        s = x @ x[at]
+        s[at] = -np.inf
+        hit += len({int(ids[j]) for j in np.lexsort((ids, -s))[:k]} & own)
+    assert all(len(own) == min(k, len(x) - 1) for own in by.values())
+    return hit / (k * len(by))
+
+
+def searched(spark, x, every):
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": lists}))
+    return neighbours.nearest(frame, F.col("vec_id") % every == 0, 20).collect()
+
+
+@pytest.mark.parametrize("tail", ["outlier", "lognormal", "wide range"])
+def test_neighbour_recall_with_unlike_norms(spark, tail):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     if tail == "outlier":
         x[1] *= 5
-    else:
+    elif tail == "lognormal":
         x *= rng.lognormal(0, 0.7, len(x))[:, None]
-    if "hashed" in tail:
-        monkeypatch.setattr(neighbours, "FEW", 256)
-    rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, 20).collect()
-    want = set()
-    for q in range(0, len(x), 50):
-        s = x @ x[q]
-        s[q] = -np.inf
-        want |= {(q, int(k)) for k in np.argsort(-s)[:20]}
-    assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.9 * len(want)
+    else:
+        x *= 10.0 ** rng.integers(-150, 150, len(x))[:, None]
+    assert recall_of(searched(spark, x, 50), x, np.arange(len(x))) >= 0.9
+
+
+@pytest.mark.parametrize("width", [384, 768])
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbour_recall_of_wide_vectors(spark, width, clustered):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(1500, width))
+    if clustered:
+        x = 0.5 * x + rng.normal(size=(40, width))[rng.integers(0, 40, len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert recall_of(searched(spark, x, 20), x, np.arange(len(x))) >= 0.9
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_neighbour_query_on_the_table(spark, scale):
+    d = f"/root/testdata/sf{scale}"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    found = queries.op2_nearest_vectors(spark, d).collect()
+    assert {r.query_id for r in found} == {r.vec_id for r in rows if r.vec_id % 20 == 0}
+    assert recall_of(found, np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])) >= 0.9
+
+
+def test_the_number_of_probes_is_fitted():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x[:60] @ x.T
+    s[np.arange(60), np.arange(60)] = -np.inf
+    near = np.argsort(-s, axis=1)[:, :20]
+    hashes = neighbours.Hashes(32)
+    reached = hashes.fit(np.repeat(x[:60], 20, axis=0), x[near.ravel()])
+    assert reached >= neighbours.RECALL and 1 < hashes.probes < hashes.most // 4
+    y = rng.normal(size=(5, hashes.size)).astype(np.float32)
+    assert all((hashes.probed(y, 7) == hashes.probed(y, hashes.most)[:, :7]).ravel())  # fewer probes are the first of more
+    assert hashes.limit(np.full((1, 32), 1e6)) == 1 and neighbours.Hashes(32).limit(x[:2]).tolist() == [1, 1]
 
 
 def test_neighbours_of_few_and_none(spark):

@@ -4,13 +4,14 @@ A hash multiplies a unit vector by three rounds of random signs and a fast Hadam
 the two signed axes nearest to the result, or the nearest one where that alone makes as many buckets. TABLES such hashes
 are made; a query probes its best buckets in each, in the order of its own coordinates along their axes. Candidates are
 the vectors in a probed bucket, each once however many tables it is met in; they are reranked by the inner product of the
-original vectors in double precision. The k best of more vectors are nearer, so the share of buckets probed falls with the
-fourth root of their number: candidates grow more slowly than pairs.
+original vectors in double precision.
 
-Where norms differ, the vectors are parted into ranges of norms with a ratio of RATIO. Within a range they are normalised, so
-that a large inner product is a small angle up to that ratio, and one of a query's k best is among the nearest of its range.
-Such ranks say little among few vectors, whose k best may lie at any angle (the long vectors of a heavy tail), so all
-vectors of ranges below FEW are candidates of every query; their number is bounded by the number of ranges.
+How many buckets are probed is fitted to the table, by one rule at every size and width. FITTED of the queries, those with
+the least hashes of their ids, are searched exactly, in one scan. For each of their k nearest it is known at which probe its
+bucket comes up first in any table, and the number of probes is that within which RECALL of them come up. Large inner products
+need not be small angles where norms differ, so it is fitted to each range of norms with a ratio of RATIO in which as many as
+RANGE of those neighbours lie, over all of them for the others, and is one where none lies. Where even all probes would miss
+more than a tenth (a few vectors in one direction can do that), all buckets are open.
 
 The queries are the stated set and go to the tasks in blocks of at most QUERY_BLOCK; vectors are never
 shuffled or replicated. Every task keeps each query's k best, and those are merged. A query with fewer
@@ -35,32 +36,60 @@ from pyspark.sql.window import Window
 from textquarry.llm.shared import stored
 
 TABLES = 96
-#: Share of a table's buckets that a query probes among FEW vectors; of more, it falls with the fourth root.
-PROBED = 0.002
+#: Queries that the number of probes is fitted to, the share of their neighbours that it has to reach, and of a range's own fit at least so many.
+FITTED, RECALL, RANGE = 96, 0.95, 64
 #: Buckets that one axis should make for it to be a key alone.
 BUCKETS = 512
-#: Queries that go to the tasks at once; with their probes, about 30 MB of 64 components.
-QUERY_BLOCK = 4096
+#: Queries that go to the tasks at once, and bytes of their probes.
+QUERY_BLOCK, PROBE_BYTES = 4096, 32 << 20
 #: Queries and vectors whose scores are held at once, and vectors that are hashed at once.
 TILE_QUERIES, TILE_VECTORS, HASHED = 256, 16_384, 1024
 #: Sizes up to which a rotation is applied as one matrix, which is the same map.
 DENSE = 256
-#: Relative spread of norms beyond which vectors are parted by norm; ratio of a range's norms, and vectors of a small range.
-SPREAD, RATIO, FEW = 1e-3, 1.1, 4096
+#: Ratio of a range's norms.
+RATIO = 1.1
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
 class Hashes:
-    """The tables' rotations, bucket keys and probes; number is that of the vectors of the smallest range that is hashed."""
+    """The tables' rotations and bucket keys, and how many of its buckets a query probes for vectors of each range of norms."""
 
-    def __init__(self, dimension: int, open_ranges: list[int], number: int = 0, tables: int = TABLES, seed: int = 11):
-        self.open_ranges = np.array(sorted(open_ranges), np.int64)
+    def __init__(self, dimension: int, tables: int = TABLES, seed: int = 11):
         self.size = 1 << max(1, (dimension - 1).bit_length()) if dimension > 1 else 2
         self.signs = np.random.default_rng(seed).choice(np.float32([-1, 1]), (tables, 3, self.size))
         self.two = 2 * self.size < BUCKETS
-        buckets = 2 * self.size * (self.size - 1) if self.two else 2 * self.size
-        self.probes = max(1, min(buckets, round(PROBED * (FEW / max(1, number)) ** 0.25 * buckets)))
+        #: Buckets that a query has an order for: those on its own side of each axis.
+        self.most = self.size * (self.size - 1) // 2 if self.two else self.size
         self.dense = [self._turned(np.eye(self.size, dtype=np.float32), t) for t in range(tables)] if self.size <= DENSE else None
+        self.ranges, self.limits, self.probes = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
+
+    def first_probes(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For pairs of unit vectors, at which probe of q (from 1) x comes up first in any table; beyond the last if in none."""
+        first = np.full(len(x), self.most + 1)
+        asking, pair = np.unique(q, axis=0, return_inverse=True)
+        for t in range(len(self.signs)):
+            order = self.probed(self.rotated(asking, t), self.most)
+            key = self._key(self.rotated(x, t))
+            for at in range(0, len(x), HASHED):
+                same = order[pair[at : at + HASHED]] == key[at : at + HASHED, None]
+                found = np.where(same.any(axis=1), same.argmax(axis=1) + 1, self.most + 1)
+                first[at : at + HASHED] = np.minimum(first[at : at + HASHED], found)
+        return first
+
+    def fit(self, q: np.ndarray, x: np.ndarray) -> float:
+        """Set the number of probes from queries and their true neighbours; the share of these that is reached."""
+        first, place = self.first_probes(unit(q), unit(x)), norm_range(x)
+        reach = lambda own: int(min(self.most, np.quantile(own, RECALL, method="higher")))
+        self.ranges = np.unique(place)
+        self.limits = np.array([reach(first[place == g]) if (place == g).sum() >= RANGE else reach(first) for g in self.ranges], np.int64)
+        self.probes = int(self.limits.max())
+        return float((first <= self.limits[np.searchsorted(self.ranges, place)]).mean())
+
+    def limit(self, x: np.ndarray) -> np.ndarray:
+        """Of each vector, within how many of a query's probes it counts."""
+        place = norm_range(x)
+        at = np.minimum(np.searchsorted(self.ranges, place), max(0, len(self.ranges) - 1))
+        return np.where(self.ranges[at] == place, self.limits[at], 1) if len(self.ranges) else np.ones(len(x), np.int64)
 
     def _turned(self, y: np.ndarray, table: int) -> np.ndarray:
         for signs in self.signs[table]:
@@ -73,14 +102,6 @@ class Hashes:
         y[:, : x.shape[1]] = x
         return self._turned(y, table) if self.dense is None else y @ self.dense[table]
 
-    def is_open(self, x: np.ndarray) -> np.ndarray:
-        """Whether each row's range of norms is so small that all of it are candidates."""
-        if not len(self.open_ranges):
-            return np.zeros(len(x), bool)
-        most = np.abs(x).max(axis=1)
-        log_norm = np.log(most) + np.log(np.square(x / most[:, None]).sum(axis=1)) / 2
-        return np.isin(np.floor(log_norm / math.log(RATIO) + 0.5).astype(np.int64), self.open_ranges)
-
     def keys(self, units: np.ndarray) -> np.ndarray:
         """The buckets of unit vectors, tables x rows; few rows at a time, whose rotations stay in the processor's cache."""
         parts = [units[at : at + HASHED] for at in range(0, len(units), HASHED)]
@@ -100,7 +121,7 @@ class Hashes:
     def probed(self, y: np.ndarray, n: int) -> np.ndarray:
         """The n buckets of each rotated row with the largest coordinates along their axes, largest first."""
         size = np.abs(y)
-        wide = min(self.size, n if not self.two else math.ceil(math.sqrt(8 * n)) + 2)
+        wide = min(self.size, n if not self.two else n + 1)  # a pair with the j-th axis comes after j - 1 others
         best = np.argpartition(-size, wide - 1, axis=1)[:, :wide] if wide < self.size else np.broadcast_to(np.arange(self.size), y.shape)
         found = np.take_along_axis(size, best, 1)
         order = np.argsort(-found, axis=1, kind="stable")
@@ -114,6 +135,13 @@ class Hashes:
         return np.minimum(a, b) * (2 * self.size) + np.maximum(a, b)
 
 
+def norm_range(x: np.ndarray) -> np.ndarray:
+    """The number of each row's range of norms; components are scaled first, so that no square overflows or vanishes."""
+    most = np.abs(x).max(axis=1)
+    log_norm = np.log(most) + np.log(np.square(x / most[:, None]).sum(axis=1)) / 2
+    return np.floor(log_norm / math.log(RATIO) + 0.5).astype(np.int64)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """The rows at length 1; scaled first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1)[:, None]
@@ -146,58 +174,62 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, exact: bool = False) -> D
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("embedding") == sizes[0].d)
-    # Logarithms of the norms, of components scaled by the greatest, so that no square overflows or vanishes.
-    most = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
-    scaled = rows.select("embedding", most.alias("most"))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))
-    norms = scaled.select((F.log("most") + F.log(squares) / 2).alias("norm"))
-    place = F.floor(F.col("norm") / math.log(RATIO) + 0.5).alias("place")
-    ranges = norms.groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high")).collect()  # a row a range
-    alike = max(r.high for r in ranges) - min(r.low for r in ranges) <= SPREAD
-    if alike:  # one range, though it may lie across a border
-        ranges = [(sum(r.n for r in ranges), [r.place for r in ranges])]
-    else:
-        ranges = [(r.n, [r.place]) for r in ranges]
-    hashes = Hashes(sizes[0].d, [x for n, own in ranges if n < FEW for x in own], min((n for n, _ in ranges if n >= FEW), default=0))
     queries = rows.where(is_query)
-    found = stored(_merged(_searched(rows, queries, hashes, k, exact), k), "nearest")
     if exact:
-        return found
+        return stored(_merged(_searched(rows, queries, None, k), k), "nearest")
+    hashes = _fitted(rows, queries, sizes[0].d, k)
+    found = stored(_merged(_searched(rows, queries, hashes, k), k), "nearest")
     # Too few found: all candidates are looked at for those queries, whose number falls with recall.
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, max(0, rows.select("vec_id").distinct().count() - 1)))
     short = queries.join(enough, queries.vec_id == enough.query_id, "left_anti")
     if short.isEmpty():
         return found
-    again = _merged(_searched(rows, short, hashes, k, True), k)
+    again = _merged(_searched(rows, short, None, k), k)
     return found.join(enough, "query_id", "left_semi").unionByName(again)
 
 
+def _fitted(rows: DataFrame, queries: DataFrame, dimension: int, k: int) -> Hashes | None:
+    """Hashes with the number of probes that the table needs; None where all buckets have to be open."""
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(FITTED)  # a fixed number
+    asked = {r.vec_id: r.embedding for r in some.collect()}
+    chosen = queries.where(F.col("vec_id").isin(*asked)) if asked else queries
+    true = _merged(_searched(rows, chosen, None, k), k).select("query_id", "vec_id").collect()  # k for each
+    hashes = Hashes(dimension)
+    if not true:
+        return hashes
+    ids = rows.sparkSession.createDataFrame([(v,) for v in {r.vec_id for r in true}], "near bigint")
+    near = {r.vec_id: r.embedding for r in rows.join(F.broadcast(ids), F.col("vec_id") == F.col("near"), "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).collect()}
+    reached = hashes.fit(np.array([asked[r.query_id] for r in true]), np.array([near[r.vec_id] for r in true]))
+    return hashes if reached >= 0.9 else None
+
+
 def _merged(found: DataFrame, k: int) -> DataFrame:
     best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searched(rows: DataFrame, queries: DataFrame, hashes: Hashes, k: int, exact: bool) -> DataFrame:
-    """Each task's k best for each query, one query block after the other."""
+def _searched(rows: DataFrame, queries: DataFrame, hashes: Hashes | None, k: int) -> DataFrame:
+    """Each task's k best for each query, one query block after the other; every bucket is open without hashes."""
     total = queries.count()
-    blocks = 1 if total <= QUERY_BLOCK else math.ceil(2 * total / QUERY_BLOCK)
+    block = QUERY_BLOCK if hashes is None else max(TILE_QUERIES, min(QUERY_BLOCK, PROBE_BYTES // (4 * TABLES * hashes.probes)))
+    blocks = 1 if total <= block else math.ceil(2 * total / block)
     parts = []
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        parts.append(_one_block(rows, part, hashes, k, exact))
+        parts.append(_one_block(rows, part, hashes, k))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return out
 
 
-def _one_block(rows: DataFrame, queries: DataFrame, hashes: Hashes, k: int, exact: bool) -> DataFrame:
+def _one_block(rows: DataFrame, queries: DataFrame, hashes: Hashes | None, k: int) -> DataFrame:
     # At most a block; of rows that repeat an id the least vector asks.
     held = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").collect()
     ids = np.array([r[0] for r in held], np.int64)
     matrix = np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
-    units = None if exact or not len(ids) else unit(matrix)
+    units = None if hashes is None or not len(ids) else unit(matrix)
     probes = None if units is None else np.stack([hashes.probed(hashes.rotated(units, t), hashes.probes).astype(np.int32) for t in range(TABLES)])
     shipped = rows.sparkSession.sparkContext.broadcast((ids, matrix, probes, hashes))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -219,8 +251,8 @@ def _one_block(rows: DataFrame, queries: DataFrame, hashes: Hashes, k: int, exac
     return rows.mapInArrow(run, RESULT)
 
 
-def met(probes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs of one table: probes is queries x probes, keys the vectors' buckets."""
+def met(probes: np.ndarray, keys: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs of one table: probes is queries x probes, keys the vectors' buckets, limit the probes that count for them."""
     order = np.argsort(keys, kind="stable")
     wanted = probes.ravel()
     own = keys[order]
@@ -228,22 +260,24 @@ def met(probes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.searchsorted(own, wanted, "right") - low
     past = np.cumsum(n)
     at = np.repeat(low - (past - n), n) + np.arange(past[-1] if len(past) else 0)
-    return np.repeat(np.arange(len(wanted)) // probes.shape[1], n), order[at]
+    query, probe = np.divmod(np.repeat(np.arange(len(wanted)), n), probes.shape[1])
+    vector = order[at]
+    counts = probe < limit[vector]
+    return query[counts], vector[counts]
 
 
 def tile(own, x, ids, matrix, probes, hashes, best) -> None:
     units = None if probes is None else unit(x)
     keys = None if probes is None else hashes.keys(units)
-    opened = None if probes is None else hashes.is_open(x)
+    limit = None if probes is None else hashes.limit(x)
     for start in range(0, len(ids), TILE_QUERIES):
         q = matrix[start : start + TILE_QUERIES]
-        if keys is None or opened.all():
+        if keys is None:
             scores = q @ x.T
         else:
             candidate = np.zeros((len(q), len(x)), bool)
             for t, bucket in enumerate(keys):
-                candidate[met(probes[t, start : start + TILE_QUERIES], bucket)] = True
-            candidate[:, opened] = True
+                candidate[met(probes[t, start : start + TILE_QUERIES], bucket, limit)] = True
             scores = np.full(candidate.shape, -np.inf)
             for k, row in enumerate(candidate):
                 at = np.flatnonzero(row)
