@@ -1,0 +1,53 @@
+"""Links of figures and passages against all pairs; pairs stay linear however many share a page or a label."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.operators import linking
+
+FIG = "asset_id int, page int, chunk_order int, nearby_text string, caption string, bbox array<double>, whole_page boolean"
+TXT = "asset_id int, page int, chunk_order int, content string, rects array<array<double>>"
+
+
+def layout(spark, seed, figures, texts, pages, labels):
+    rng = random.Random(seed)
+    box = lambda: (lambda x, y: [x, y, x + 100.0, y + 30.0])(rng.choice([0.0, 300.0]), float(rng.randrange(0, 800, 10)))
+    fig = [(rng.randrange(2), rng.choice([None, *range(pages)]), k, rng.choice([None, f"Figure {rng.randrange(labels)}"]), rng.choice([None, f"Table {rng.randrange(labels)}"]), rng.choice([None, box(), box()]), rng.random() < 0.2) for k in range(figures)]
+    txt = [(rng.randrange(2), rng.choice([None, *range(pages)]), k, rng.choice([None, "plain", f"see Fig. {rng.randrange(labels)} and Table {rng.randrange(labels)}"]), rng.choice([None, [], [box()], [box(), box()]])) for k in range(texts)]
+    return spark.createDataFrame(fig, FIG), spark.createDataFrame(txt, TXT)
+
+
+def by_all_pairs(figures, texts, k):
+    """The rule over all pairs, from the pair operators."""
+    score = defaultdict(float)
+    for r in linking.label_pairs(figures, texts).collect() + linking.page_pairs(figures, texts).collect():
+        score[r.asset_id, r.image, r.text] += r.score
+    out = set()
+    for own, other in ((1, 2), (2, 1)):
+        groups = defaultdict(list)
+        for pair, s in score.items():
+            groups[pair[0], pair[own]].append((-round(s, 9), pair[other], pair))
+        out |= {(own, pair) for g in groups.values() for _, _, pair in sorted(g)[:k]}
+    return out
+
+
+@pytest.mark.parametrize("shape", [(40, 60, 4, 3), (30, 200, 1, 1), (200, 30, 2, 1), (60, 60, 30, 2)])
+def test_links_equal_all_pairs(spark, shape):
+    figures, texts = layout(spark, sum(shape), *shape)
+    got = linking.links(figures, texts).collect()
+    assert {(1, (r.asset_id, r.image, r.text)) for r in got if r.of_image} | {(2, (r.asset_id, r.image, r.text)) for r in got if r.of_text} == by_all_pairs(figures, texts, 2)
+
+
+def test_pairs_are_linear_in_items(spark):
+    n = 1500
+    figures = spark.range(n).select(F.lit(1).alias("asset_id"), F.lit(0).alias("page"), F.col("id").cast("int").alias("chunk_order"), F.lit("Figure 1").alias("nearby_text"), F.lit("").alias("caption"), F.array(F.lit(0.0), F.col("id") * 10.0, F.lit(50.0), F.col("id") * 10.0 + 5).alias("bbox"), F.lit(False).alias("whole_page"))
+    texts = spark.range(n).select(F.lit(1).alias("asset_id"), (F.col("id") % 3).cast("int").alias("page"), F.col("id").cast("int").alias("chunk_order"), F.lit("Fig. 1").alias("content"), F.array(F.array(F.lit(0.0), F.col("id") * 10.0, F.lit(50.0), F.col("id") * 10.0 + 5)).alias("rects"))
+    assert 2 * n <= linking.links(figures, texts).count() <= 8 * n  # of 2,250,000 pairs with the label
+
+
+def test_nothing_to_link(spark):
+    figures, texts = layout(spark, 1, 3, 3, 1, 1)
+    assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0

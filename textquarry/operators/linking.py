@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,13 +33,111 @@ def page_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(figures: DataFrame, texts: DataFrame, per_image: int = 2, per_text: int = 2) -> DataFrame:
-    """JOIN6: both kinds of evidence added up; the best partners of each side, with which side chose them."""
-    pairs = label_pairs(figures, texts).union(page_pairs(figures, texts)).groupBy("asset_id", "image", "text").agg(F.sum("score").alias("score"))
-    rank = lambda own, other: F.row_number().over(Window.partitionBy("asset_id", own).orderBy(F.desc("score"), other))
-    both = pairs.withColumns({"of_image": rank("image", "text") <= per_image, "of_text": rank("text", "image") <= per_text})
+    """JOIN6: both kinds of evidence added up; the best partners of each side, with which side chose them.
+
+    Only pairs that can be among a side's best are made, so they are linear in figures and passages. A page's items are
+    compared in arrays, and of each the best partners are kept. Of a label, the partners on other pages all score alike: of
+    each side the first few are enough, twice as many as are chosen, taken from every page as many as are chosen.
+    """
+    k = max(per_image, per_text)
+    label = lambda c: F.concat(c["kind"], F.lit(":"), c["number"])
+    own = lambda c: F.array_min(labels_in(c))
+    a = figures.select("asset_id", "page", F.col("chunk_order").alias("image"), F.coalesce(label(own(F.col("nearby_text"))), label(own(F.col("caption")))).alias("label"), F.col("bbox").cast("array<double>").alias("bbox"), "whole_page")
+    b = texts.select("asset_id", "page", F.col("chunk_order").alias("text"), F.transform(labels_in(F.col("content")), label).alias("labels"), F.col("rects").cast("array<array<double>>").alias("rects"))
+    named = a.where("label is not null").groupBy("asset_id", "label", "page", "image").agg(F.count(F.lit(1)).alias("times"))
+    naming = b.select("asset_id", "page", "text", F.explode("labels").alias("label")).groupBy("asset_id", "label", "page", "text").agg(F.count(F.lit(1)).alias("times"))
+    found = _elsewhere(named, _first(naming, "text", k), "text").unionByName(_elsewhere(naming, _first(named, "image", k), "image"))
+    found = found.unionByName(_on_page(a, b, k)).dropDuplicates(["asset_id", "image", "text"])
+    rank = lambda own, other: F.row_number().over(Window.partitionBy("asset_id", own).orderBy(F.desc(F.round("score", 9)), other))
+    both = found.withColumns({"of_image": rank("image", "text") <= per_image, "of_text": rank("text", "image") <= per_text})
     return both.where("of_image or of_text")
 
 
+def _first(rows: DataFrame, item: str, k: int) -> DataFrame:
+    """Of each label the first 2 k items, at most k of a page: whichever page is left out, its first k others are among them."""
+    order = [F.desc("times"), item]
+    page = F.row_number().over(Window.partitionBy("asset_id", "label", "page").orderBy(*order))
+    whole = F.row_number().over(Window.partitionBy("asset_id", "label").orderBy(*order))
+    return rows.withColumn("_p", page).where(F.col("_p") <= k).withColumn("_w", whole).where(F.col("_w") <= 2 * k).drop("_p", "_w")
+
+
+def _elsewhere(rows: DataFrame, first: DataFrame, item: str) -> DataFrame:
+    """Pairs of a label that are not on one page, of rows with the first items of the other side."""
+    other = first.select("asset_id", "label", item, F.col("page").alias("_page"), F.col("times").alias("_times"))
+    met = rows.join(other, ["asset_id", "label"]).where(~F.coalesce(F.col("page") == F.col("_page"), F.lit(False)))
+    return met.select("asset_id", "image", "text", (BY_LABEL * F.col("times") * F.col("_times")).alias("score"))
+
+
+def _on_page(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Of each page, every item's k best partners there by both kinds of evidence."""
+    kind = dict(a.dtypes)["asset_id"], dict(a.dtypes)["image"], dict(b.dtypes)["text"]
+    own = ["asset_id", "page"]
+    left, right = a.where("page is not null").groupBy(*own), b.where("page is not null").groupBy(*own)
+    return left.cogroup(right).applyInArrow(_page_best(k), "asset_id {}, image {}, text {}, score double".format(*kind))
+
+
+def _page_best(k: int, block: int = 256):
+    def run(figures: pa.Table, texts: pa.Table) -> pa.Table:
+        images, at = np.unique(figures["image"].to_numpy(), return_inverse=True)
+        names, place = np.unique(texts["text"].to_numpy(), return_inverse=True)
+        empty = pa.table({"asset_id": figures["asset_id"].slice(0, 0), "image": figures["image"].slice(0, 0), "text": texts["text"].slice(0, 0), "score": pa.array([], pa.float64())})
+        if not len(images) or not len(names):
+            return empty
+        # All rectangles in one array; a passage's are consecutive.
+        rects = texts["rects"].to_pylist()
+        flat = np.array([r[:4] for own in rects for r in own or ()], np.float64).reshape(-1, 4)
+        sizes = np.array([len(own or ()) for own in rects])
+        some = np.flatnonzero(sizes)
+        starts = np.r_[0, np.cumsum(sizes[some])[:-1]].astype(np.int64) if len(some) else np.zeros(0, np.int64)
+        by_label: dict[str, list[int]] = {}
+        for row, labels in enumerate(texts["labels"].to_pylist()):
+            for name in labels or ():
+                by_label.setdefault(name, []).append(row)
+        boxes, whole, label = figures["bbox"].to_pylist(), figures["whole_page"].to_pylist(), figures["label"].to_pylist()
+        order = np.argsort(at, kind="stable")
+        out, best_s, best_i = [], np.full((len(names), k), -np.inf), np.full((len(names), k), -1)
+        edges = np.unique(np.r_[np.searchsorted(at[order], np.arange(0, len(images), block)), len(order)])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            rows = order[low:high]
+            first = int(at[rows[0]])
+            score = np.zeros((int(at[rows[-1]]) - first + 1, len(names)))
+            for row in rows.tolist():
+                one = np.full(len(rects), SAME_PAGE)
+                if len(flat) and not whole[row] and boxes[row] and None not in boxes[row][:4]:
+                    one[some] += 4 * np.maximum(0.0, _near(flat, boxes[row], starts))
+                if label[row] in by_label:
+                    np.add.at(one, by_label[label[row]], BY_LABEL)
+                score[int(at[row]) - first] += np.bincount(place, one, len(names))
+            own = np.arange(first, first + len(score))
+            top = _best_columns(score, k)
+            out += [(np.repeat(own, top.shape[1]), top.ravel(), np.take_along_axis(score, top, 1).ravel())]
+            seen = np.concatenate([best_s, score.T], axis=1)
+            who = np.concatenate([best_i, np.broadcast_to(own, (len(names), len(own)))], axis=1)
+            top = _best_columns(seen, k)
+            best_s, best_i = np.take_along_axis(seen, top, 1), np.take_along_axis(who, top, 1)
+        row, column = np.nonzero(best_i >= 0)
+        out.append((best_i[row, column], row, best_s[row, column]))
+        i, t, s = (np.concatenate([o[c] for o in out]) for c in range(3))
+        asset = figures["asset_id"][0].as_py()
+        return pa.table({"asset_id": pa.array([asset] * len(i), figures["asset_id"].type), "image": pa.array(images[i], figures["image"].type), "text": pa.array(names[t], texts["text"].type), "score": pa.array(s)})
+
+    return run
+
+
+def _near(rects: np.ndarray, box: list[float], starts: np.ndarray, most: float = 250.0, side: float = 20.0) -> np.ndarray:
+    """MTH10 of consecutive groups of rectangles to a box."""
+    x0, y0, x1, y1 = box[:4]
+    gap = np.where(rects[:, 1] >= y1, rects[:, 1] - y1, np.where(rects[:, 3] <= y0, y0 - rects[:, 3], 0.0))
+    gap = np.where((rects[:, 2] >= x0 - side) & (rects[:, 0] <= x1 + side), gap, np.inf)
+    best = np.minimum.reduceat(gap, starts)
+    return np.where(best <= most, 1 - best / most, 0.0)
+
+
+def _best_columns(score: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k columns with the highest score, rounded as ranks are, ties to the first."""
+    return np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+
+
 def _binned(df: DataFrame, begin: str, end: str, first: str) -> DataFrame:
     """A row for each stretch of STRETCH characters that a range lies in: bin, and the first of them."""
     low = F.floor(F.col(begin) / STRETCH)
