@@ -51,3 +51,14 @@ def test_pairs_are_linear_in_items(spark):
 def test_nothing_to_link(spark):
     figures, texts = layout(spark, 1, 3, 3, 1, 1)
     assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0
+
+
+def test_patterns_are_found_by_their_beginnings(spark):
+    names = ["gpt-4", "gpt-4-mini", "gpt-5", "o1", "claude-3-x", "claude-[z]", "a.b", "axb", "", "line\nbreak", "gp", "solo-7", "solo-x"]
+    prices = [("gpt-4", 1.0), ("gpt-*", 2.0), ("gpt-4-m*", 3.0), ("*", 0.5), ("?1", 4.0), ("claude-[0-9]-*", 5.0), ("a.?", 6.0), ("g*", 7.0), ("solo-[!0-9]", 8.0), ("line*", 9.0)]
+    models = spark.createDataFrame([(n,) for n in names], "model_id string")
+    found = linking.prices_for(models, spark.createDataFrame(prices, "pattern string, input double"))
+    want = {"gpt-4": 1.0, "gpt-4-mini": 3.0, "gpt-5": 2.0, "o1": 4.0, "claude-3-x": 5.0, "claude-[z]": 0.5, "a.b": 6.0, "axb": 0.5, "": 0.5, "line\nbreak": 9.0, "gp": 7.0, "solo-7": 0.5, "solo-x": 8.0}
+    assert {r.model_id: r.input for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r.input is None for r in linking.prices_for(models, spark.createDataFrame([("none", 1.0)], "pattern string, input double")).collect())

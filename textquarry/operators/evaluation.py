@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions.scoring import agreement, word_overlap
+from textquarry.operators.quantiles import exact
 
 
 def extracted(pages: DataFrame, extractors: dict[str, Callable[[bytes], str]], key: str = "page", content: str = "content") -> DataFrame:
@@ -41,10 +42,13 @@ def extracted(pages: DataFrame, extractors: dict[str, Callable[[bytes], str]], k
 
 
 def engine_summary(rows: DataFrame, measures: list[str]) -> DataFrame:
-    """AGG4: pages, successes and exact medians of each engine, the best word error rate first."""
+    """AGG4: pages, successes and exact medians of each engine."""
     ok = F.col("error").isNull()
-    medians = [F.expr(f"percentile({m}, 0.5)").alias(f"median_{m}") for m in measures]
-    return rows.groupBy("extractor").agg(F.count("*").alias("pages"), F.count_if(ok).alias("ok"), *medians, F.min("error").alias("first_error"))
+    out = rows.groupBy("extractor").agg(F.count("*").alias("pages"), F.count_if(ok).alias("ok"), F.min("error").alias("first_error"))
+    for m in measures:
+        median = exact(rows, ["extractor"], m, {f"median_{m}": 0.5}).withColumnRenamed("extractor", "_extractor")
+        out = out.join(median, F.col("extractor").eqNullSafe(F.col("_extractor"))).drop("_extractor")
+    return out.select("extractor", "pages", "ok", *(f"median_{m}" for m in measures), "first_error")
 
 
 def consensus(rows: DataFrame) -> DataFrame:

@@ -167,16 +167,24 @@ def time_ranges(chunks: DataFrame, lines: DataFrame) -> DataFrame:
 def prices_for(models: DataFrame, prices: DataFrame) -> DataFrame:
     """JOIN10: an exact name's price, else that of the longest matching pattern with * ? and [ ]; every row of models stays.
 
-    Distinct names are looked up: by equality first, and only those without an exact price meet the patterns.
+    Distinct names are looked up: by equality first, and only those without an exact price meet the patterns. A pattern is
+    found by what stands before its first wildcard, among a name's beginnings of the lengths that patterns have: an equality
+    join, whose few hits are then matched. Patterns that open with a wildcard share the empty beginning.
     """
     names, prices = models.select("model_id").distinct(), prices.dropDuplicates(["pattern"])
-    exact = names.join(prices, F.col("model_id") == F.col("pattern"))
     pattern = F.col("pattern")
-    wild = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
+    exact = names.join(prices, F.col("model_id") == pattern)
+    escaped = F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1")
+    wild = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, r"\[!", "[^"), r"\*", ".*"), r"\?", "."), F.lit("$"))
+    begin = F.regexp_extract(pattern, r"^[^*?\[]*", 0)
+    patterns = prices.where(pattern.rlike(r"[*?\[]")).withColumns({"_wild": wild, "_begin": begin})
+    lengths = [r[0] for r in patterns.select(F.length("_begin")).distinct().collect()]  # at most as many as a pattern is long
     rest = names.join(exact.select("model_id"), "model_id", "left_anti")
-    hits = rest.join(prices.withColumn("wild", wild).where(pattern.rlike(r"[*?\[]")), F.rlike("model_id", F.col("wild")))
+    begins = F.array(*(F.when(F.length("model_id") >= n, F.col("model_id").substr(1, n)) for n in sorted(lengths))) if lengths else F.array().cast("array<string>")
+    keyed = rest.select("model_id", F.explode(F.filter(begins, lambda b: b.isNotNull())).alias("_begin"))
+    hits = keyed.join(patterns, "_begin").where(F.rlike("model_id", F.col("_wild")))
     rank = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc(F.length(pattern)), pattern))
-    return models.join(exact.unionByName(hits.withColumn("_n", rank).where("_n = 1").drop("_n", "wild")), "model_id", "left")
+    return models.join(exact.unionByName(hits.withColumn("_n", rank).where("_n = 1").drop("_n", "_wild", "_begin")), "model_id", "left")
 
 
 def caption_lines(figures: DataFrame, lines: DataFrame, most_gap: float = 60.0) -> DataFrame:

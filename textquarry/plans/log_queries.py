@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textquarry.operators import evaluation as E
 from textquarry.operators import logs as L
 from textquarry.operators import ownership as O
+from textquarry.operators import quantiles as Q
 from textquarry.plans.registry import query
 from textquarry.streaming import once
 from textquarry.streaming import timed as S
@@ -131,7 +132,19 @@ def agg17_counts(spark, d):
 
 @query("""SELECT event_type, count(*) AS requests, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, count(*) FILTER (value > 90) AS failures FROM events GROUP BY event_type""")
 def agg18_latency(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("requests"), F.expr("percentile(value, 0.5)").alias("median"), F.expr("percentile(value, 0.95)").alias("p95"), F.count_if(C("value") > 90).alias("failures"))
+    events = table(spark, d, "events")
+    counts = events.groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if(C("value") > 90).alias("failures"))
+    return counts.join(Q.exact(events, ["event_type"], "value", {"median": 0.5, "p95": 0.95}), "event_type").select("event_type", "requests", "median", "p95", "failures")
+
+
+@query("""WITH e AS (SELECT event_type, value FROM events), q AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.48) AS m0, quantile_cont(value, 0.52) AS m1, quantile_cont(value, 0.93) AS p0, quantile_cont(value, 0.97) AS p1 FROM e GROUP BY 1)
+SELECT event_type, n, true AS median_in_bound, true AS p95_in_bound FROM q""")
+def agg18_hourly_sketches(spark, d):
+    """Sketches of every hour, merged to the whole span: number of values, and whether the quantiles keep a rank error of 0.02."""
+    events = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    whole = Q.estimated(Q.merged(Q.sketched(events, ["event_type", "hour"], "value"), ["event_type"]), {"median": 0.5, "p95": 0.95})
+    bounds = Q.exact(events, ["event_type"], "value", {"m0": 0.48, "m1": 0.52, "p0": 0.93, "p1": 0.97})
+    return whole.join(bounds, "event_type").select("event_type", "n", C("median").between(C("m0"), C("m1")).alias("median_in_bound"), C("p95").between(C("p0"), C("p1")).alias("p95_in_bound"))
 
 
 @query("""WITH n AS (SELECT event_type AS stage, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS s FROM events)
