@@ -1,14 +1,13 @@
-"""Text columns: cleaning, script statistics, labels, titles and plans. All are built-in expressions but NFKC."""
+"""Text columns: cleaning, script statistics, labels, titles and plans. All are built-in expressions but part of NFKC."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.functions.compat import nfkc
+
 #: The invisible direction marks that are removed.
 BIDI = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 #: Arabic letters and their presentation forms, as regular expression classes.
@@ -36,17 +35,6 @@ _LABEL = r"(?i)(?:\b(fig(?:ure)?|table|chart|diagram|map|plate|exhibit)\.?\s*|(?
 _DIGITS_FROM, _DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
-
-
-def nfkc(text: Column) -> Column:
-    """Compatibility composition; rows of ASCII alone never leave the JVM."""
-    beyond = text.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_nfkc(F.when(beyond, text)), text)
-
-
 def normalize_text(text: Column) -> Column:
     """TXT1: NFKC, no direction marks, runs of blanks as one space."""
     return F.regexp_replace(F.translate(nfkc(text), BIDI, ""), r"[ \t\u00A0]+", " ")
