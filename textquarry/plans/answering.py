@@ -10,6 +10,7 @@ from textquarry.operators import retrieval as R
 from textquarry.operators.chunking import passages
 from textquarry.operators.vectors import hashed_embedding, knn
 from textquarry.tables import table
+from textquarry.workspace import written
 
 #: Bits of a passage id that number the passages of a document.
 PASSAGE_BITS = 20
@@ -31,10 +32,11 @@ def answered(spark: SparkSession, sf_dir: str, k: int = 5, least: float = 0.2) -
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     asked = items.select("query_id", hashed_embedding(F.col("question")).alias("embedding"))
-    hits = R.floored(knn(asked, indexed(docs).select("id", "embedding"), R.pool_size(k, reranking=True)), least).select("query_id", "id", "score")
+    # Stored, so that whatever asks for the hits again does not embed the corpus again.
+    hits = written(R.floored(knn(asked, indexed(docs).select("id", "embedding"), R.pool_size(k, reranking=True)), least).select("query_id", "id", "score"), "hits")
     # Only documents with a hit are cut again, for their passages' words; nothing of the others is read but their ids.
     named = hits.select(F.shiftright("id", PASSAGE_BITS).alias("doc_id")).distinct()
-    near = indexed(docs.join(named, "doc_id", "left_semi")).select("id", "doc_id", "chunk_no", "start", "content")
+    near = written(indexed(docs.join(named, "doc_id", "left_semi")).select("id", "doc_id", "chunk_no", "start", "content").join(hits.select("id").distinct(), "id", "left_semi"), "passages")
     pairs = hits.join(near.select("id", F.col("content").alias("text")), "id").join(items, "query_id").select("query_id", "id", "question", "text")
     ranked = R.reranked(hits, R.lexical_scores(pairs), k, 0.0)
     cited = ranked.join(near, "id").join(docs.select("doc_id", "source"), "doc_id", "left")

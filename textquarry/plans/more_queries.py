@@ -77,11 +77,18 @@ def udf2_reranker(spark, d):
     return M.reranked_by(pairs, score)
 
 
-@query("SELECT event_id, value < 50 AS safe FROM events")
+@query("""WITH b AS (SELECT conv_id, turn, text, bool_or(contains(text, 'zz')) OVER (PARTITION BY conv_id, turn // 4) AS breaks FROM conversations)
+SELECT conv_id || ':' || turn AS id, CASE WHEN NOT breaks THEN NOT contains(lower(text), 'er') END AS safe FROM b""")
 def udf3_judge(spark, d):
-    """Verdicts of a keyword judge in groups for one call."""
-    items = table(spark, d, "events").select("event_id", F.when(C("value") < 50, "fine").otherwise("bad words").alias("text"), F.floor(C("event_id") / 8).alias("batch"))
-    return M.called(items, ["batch"], lambda texts: ["unsafe" if "bad" in t else "safe" for t in texts], "text", "event_id").select("event_id", (C("answer") == "safe").alias("safe"))
+    """Verdicts on the turns themselves, four for one call; a call that fails leaves its turns undecided."""
+    turns = table(spark, d, "conversations").select("conv_id", F.floor(C("turn") / 4).alias("batch"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+
+    def judge(texts):
+        if any("zz" in t for t in texts):
+            raise ValueError("no verdict")
+        return ["unsafe" if "er" in t.lower() else "safe" for t in texts]
+
+    return M.called(turns, ["conv_id", "batch"], judge, "text", "id").select("id", (C("answer") == "safe").alias("safe"))
 
 
 @query("SELECT p_partkey AS batch_id, CAST(1 AS BIGINT) AS num, p_name AS correct, p_type AS chunk_id FROM part")
@@ -95,9 +102,12 @@ def udf7_items(spark, d):
     return M.generated_items(raw, part.select(C("p_partkey").alias("batch_id"), F.lit(1).cast("bigint").alias("num"), C("p_type").alias("chunk_id"))).drop("question")
 
 
-@query("""SELECT conv_id AS user_id, 'name' AS key, CAST(max(turn) AS VARCHAR) AS description FROM conversations GROUP BY conv_id""")
+@query("""WITH t AS (SELECT conv_id, turn, regexp_extract(text, '[\\p{L}]+') AS word FROM conversations WHERE turn % 2 = 0 AND regexp_matches(text, '[\\p{L}]'))
+SELECT conv_id AS user_id, 'name' AS key, arg_max(word, turn) AS description FROM t GROUP BY conv_id""")
 def udf9_facts(spark, d):
-    said = F.concat(F.lit("Well, my Name is "), C("turn").cast("string"), F.lit(". Bye"))
+    """Every other turn gives its first word as a name between its own words; the newest stays."""
+    first = F.regexp_extract("text", r"\p{L}+", 0)
+    said = F.when((C("turn") % 2 == 0) & (first != ""), F.concat(F.left("text", F.lit(30)), F.lit(". Well, my Name is "), first, F.lit(". "), C("text"))).otherwise(C("text"))
     return M.extracted_facts(table(spark, d, "conversations").select(C("conv_id").alias("user_id"), "turn", said.alias("text")))
 
 

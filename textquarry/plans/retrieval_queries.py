@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.operators import generation as M
 from textquarry.operators import linking as J
@@ -238,24 +239,33 @@ def join6_links(spark, d):
     return J.links(*_layout(spark, d)).groupBy("asset_id").agg(F.count_if("of_image").alias("image_links"), F.count_if("of_text").alias("text_links"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(range(0, length(text) // 10)) AS word_no FROM documents)
-SELECT doc_id AS asset_id, CAST(word_no AS INT) AS word_no FROM w WHERE word_no * 10 < 130 AND word_no * 10 + 10 > 55""")
+@query("""WITH w AS (SELECT doc_id, word_no, length(words[word_no]) AS size, CAST(coalesce(list_sum(list_transform(words[:word_no - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS word_no FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE length(text) BETWEEN 1 AND 20000))),
+c AS (SELECT doc_id, unnest(range(0, length(text), 400)) AS c_from FROM documents WHERE length(text) BETWEEN 1 AND 20000)
+SELECT w.doc_id AS asset_id, CAST(c_from // 400 AS INT) AS chunk_order, count(*) AS words, CAST(sum(word_no) AS BIGINT) AS places FROM w JOIN c ON c.doc_id = w.doc_id AND w.start < c_from + 500 AND w.start + w.size > c_from GROUP BY ALL""")
 def join8_words(spark, d):
-    docs = table(spark, d, "documents")
-    n = F.floor(F.length("text") / 10).cast("int")
-    words = docs.where(n > 0).select(C("doc_id").alias("asset_id"), F.lit(0).alias("page"), F.explode(F.sequence(F.lit(0), n - 1)).alias("word_no")).select("*", (C("word_no") * 10).alias("start"), F.lit("x" * 10).alias("word"))
-    chunks = docs.select(C("doc_id").alias("asset_id"), F.lit(0).alias("page"), F.lit(0).alias("chunk_order"), F.lit(55).alias("start"), F.lit("y" * 75).alias("content"))
-    return J.words_of_chunks(chunks, words).select("asset_id", "word_no")
-
-
-@query("""WITH l AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM conversations)
-SELECT conv_id AS asset_id, min(turn * 2.0::DOUBLE) AS start_s, max(turn * 2.0::DOUBLE + 2) AS end_s FROM l WHERE place < 150 AND place + length(text) > 50 GROUP BY conv_id""")
+    """The words of every text under passages of 500 characters at every 400th."""
+    docs = table(spark, d, "documents").where("length(text) between 1 and 20000").select(C("doc_id").alias("asset_id"), F.lit(0).alias("page"), "text")
+    rows = docs.select("asset_id", "page", F.posexplode(F.split("text", " ")).alias("at", "word")).withColumn("word_no", C("at") + 1)
+    before = Window.partitionBy("asset_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    words = rows.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).drop("at")
+    chunks = docs.select("asset_id", "page", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / 400).cast("int"))).alias("chunk_order"), "text")
+    chunks = chunks.select("asset_id", "page", "chunk_order", (C("chunk_order") * 400).alias("start"), F.lit("y" * 500).alias("content"))
+    return J.words_of_chunks(chunks, words).groupBy("asset_id", "chunk_order").agg(F.count("*").alias("words"), F.sum("word_no").cast("bigint").alias("places"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, length(text) AS size, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM conversations),
+c AS (SELECT conv_id, unnest(range(0, CAST(max(place + size) AS BIGINT), 150)) AS c_from FROM l GROUP BY conv_id)
+SELECT l.conv_id AS asset_id, CAST(c_from // 150 AS INT) AS chunk_order, min(turn * 2.0::DOUBLE) AS start_s, max(turn * 2.0::DOUBLE + 2) AS end_s FROM l JOIN c ON c.conv_id = l.conv_id AND place < c_from + 200 AND place + size > c_from GROUP BY ALL""")
 def join9_time_ranges(spark, d):
+    """The time of passages of 200 characters at every 150th of each conversation's transcript."""
     from textquarry.sources.pages import timeline
 
     rows = table(spark, d, "conversations").select(C("conv_id").alias("asset_id"), C("turn").alias("pos"), "text", (C("turn") * 2.0).alias("start_s"), (C("turn") * 2.0 + 2).alias("end_s"))
-    chunks = rows.select("asset_id").distinct().select("asset_id", F.lit(0).alias("chunk_order"), F.lit(50).alias("start"), F.lit("z" * 100).alias("content"))
-    return J.time_ranges(chunks, timeline(rows, "asset_id")).drop("chunk_order")
+    lines = timeline(rows, "asset_id")
+    whole = lines.groupBy("asset_id").agg(F.max(C("char_offset") + F.length("text")).alias("size")).where("size > 0")
+    chunks = whole.select("asset_id", F.explode(F.sequence(F.lit(0), ((C("size") - 1) / 150).cast("int"))).alias("chunk_order"))
+    return J.time_ranges(chunks.select("asset_id", "chunk_order", (C("chunk_order") * 150).alias("start"), F.lit("z" * 200).alias("content")), lines)
 
 
 @query("""SELECT p_type AS model_id, CASE WHEN p_type = (SELECT min(p_type) FROM part) THEN 9.0 WHEN p_type LIKE 'PROMO%' THEN 2.0 WHEN p_type LIKE '%E%' THEN 1.0 END::DOUBLE AS input FROM part GROUP BY p_type""")

@@ -88,11 +88,16 @@ def src8_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", G.main_text(C("html"))["text"].alias("text"))
 
 
-@query("""SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]+)/?$', 1), ''), '') AS file_name, CASE WHEN page_id % 2 = 0 THEN 'dQw4w9WgXcQ' END AS video_id FROM pages""")
+@query("""SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]+)/?$', 1), ''), '') AS file_name,
+  left(md5(url), 11) AS video_id, sha256(url) AS sheet_id, CAST(page_id AS VARCHAR) AS gid FROM pages""")
 def src9_links(spark, d):
-    page = G.link_parts(C("url"))["file_name"]
-    video = G.link_parts(F.when(C("page_id") % 2 == 0, F.lit("https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=3")).otherwise(F.lit("https://example.org/a")))["video_id"]
-    return table(spark, d, "pages").select("page_id", page.alias("file_name"), video.alias("video_id"))
+    """Each page's own address, and links of both special kinds in four spellings whose ids come from it."""
+    name = F.left(F.md5("url"), F.lit(11))
+    video = F.when(C("page_id") % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), name, F.lit("&t=3"))).when(C("page_id") % 4 == 1, F.concat(F.lit("https://youtu.be/"), name, F.lit("?t=1")))
+    video = video.when(C("page_id") % 4 == 2, F.concat(F.lit("https://www.youtube.com/embed/"), name)).otherwise(F.concat(F.lit("https://m.youtube.com/watch?app=m&v="), name))
+    sheet = F.concat(F.lit("https://docs.google.com/spreadsheets/d/"), F.sha2("url", 256), F.when(C("page_id") % 2 == 0, "/edit#gid=").otherwise("/edit?gid="), C("page_id").cast("string"))
+    links = table(spark, d, "pages").select("page_id", G.link_parts(C("url")).alias("own"), G.link_parts(video).alias("video"), G.link_parts(sheet).alias("sheet"))
+    return links.select("page_id", "own.file_name", "video.video_id", "sheet.sheet_id", "sheet.gid")
 
 
 _FIGURES = """SELECT l_orderkey AS asset_id, l_linenumber AS page, l_suppkey AS xref, l_quantity * 8 AS width_px, l_quantity * 8 AS height_px, l_quantity AS area FROM lineitem"""
@@ -184,11 +189,16 @@ def chk1_segments(spark, d):
     return rows.groupBy("doc_id").agg(joined.alias("joined"), (F.max(F.length("text")) <= 1000).alias("small"), F.max(C("start") + F.length("text")).alias("characters"))
 
 
-@query("SELECT doc_id, lang, 2 AS pieces FROM documents")
+@query("""WITH p AS (SELECT doc_id, string_split(text, '. ') AS parts FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, len(parts) AS n, CAST(list_sum(list_transform(parts, lambda x: length(x))) + 6 * (len(parts) - 1) AS BIGINT) AS characters FROM p)
+SELECT doc_id, CASE WHEN characters > 40 THEN n ELSE 1 END AS sections, characters FROM c""")
 def chk2_markdown(spark, d):
-    text = F.concat(F.lit("intro\n## "), "lang", F.lit(" heading text"))
-    pieces = K.segments_of(text, 20, K.MARKDOWN)
-    return table(spark, d, "documents").select("doc_id", "lang", F.size(pieces).alias("pieces"))
+    """Every document's sentences as sections: no piece but a section's first opens with a heading, and no characters are lost."""
+    text = F.replace(C("text"), F.lit(". "), F.lit(".\n\n## "))
+    docs = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.concat(F.lit(""), text).alias("text"))
+    pieces = K.segments_of(C("text"), 40, K.MARKDOWN)
+    heads = F.size(F.filter(pieces, lambda p: p.rlike(r"^\n?\n?##"))) + F.when(C("text").rlike(r"^\n?\n?##"), 0).otherwise(1)
+    return docs.select("doc_id", heads.cast("bigint").alias("sections"), F.aggregate(pieces, F.lit(0).cast("bigint"), lambda n, p: n + F.length(p)).alias("characters"))
 
 
 #: Cuts of a page, level by level: characters one a row, then the places where a piece that is still too long may be cut.

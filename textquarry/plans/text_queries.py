@@ -69,19 +69,33 @@ def txt7_reads_as_text(spark, d):
 
 
 _TALK = ", ".join("'" + w.replace("'", "''") + "'" for w in X.SMALL_TALK)
+_ASCII_TALK = ", ".join("'" + w.replace("'", "''") + "'" for w in X.SMALL_TALK if w.isascii())
 
 
-@query(f"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Thanks a lot, ' || role ELSE 'Hello there!' END AS said FROM conversations),
+@query(f"""WITH m AS (SELECT conv_id, turn, talk[1 + conv_id % len(talk)] || ' ' || upper(talk[1 + (7 * turn + conv_id) % len(talk)]) || CASE WHEN conv_id % 3 = 0 THEN ' ' || left(text, 40) ELSE '!' END || CASE WHEN turn % 5 = 1 THEN '?' ELSE '' END AS said
+  FROM conversations, (SELECT [{_ASCII_TALK}] AS talk)),
 w AS (SELECT *, regexp_extract_all(lower(trim(said)), '\\p{{L}}+(?:''[a-z]+)?') AS words FROM m)
-SELECT conv_id, turn, NOT contains(said, '?') AND len(words) BETWEEN 1 AND 8 AND len(list_filter(words, lambda x: x NOT IN ({_TALK}))) = 0 AS small_talk FROM w""")
+SELECT conv_id, turn, said, NOT contains(said, '?') AND len(words) BETWEEN 1 AND 8 AND len(list_filter(words, lambda x: x NOT IN ({_TALK}))) = 0 AS small_talk FROM w""")
 def txt8_small_talk(spark, d):
-    said = F.when(C("turn") % 2 == 0, F.concat(F.lit("Thanks a lot, "), "role")).otherwise("Hello there!")
-    return table(spark, d, "conversations").select("conv_id", "turn", X.is_small_talk(said).alias("small_talk"))
+    """Two words of small talk that change from turn to turn, in some turns with the turn's own words or a question mark."""
+    talk = F.array(*(F.lit(w) for w in X.SMALL_TALK if w.isascii()))
+    n = F.size(talk).cast("bigint")
+    word = lambda at: F.element_at(talk, (1 + at % n).cast("int"))
+    said = F.concat(word(C("conv_id")), F.lit(" "), F.upper(word(7 * C("turn") + C("conv_id"))), F.when(C("conv_id") % 3 == 0, F.concat(F.lit(" "), F.left("text", F.lit(40)))).otherwise("!"), F.when(C("turn") % 5 == 1, "?").otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", said.alias("said"), X.is_small_talk(said).alias("small_talk"))
 
 
-@query("""SELECT doc_id, 'figure' AS kind, CAST(n_chars AS VARCHAR) AS number FROM documents UNION ALL SELECT doc_id, 'table', CAST(doc_id AS VARCHAR) || 'a' FROM documents""")
+_HEADS = "[" + ", ".join(f"'{w}'" for w in X.LABEL_KINDS) + "]"
+_KINDS = "[" + ", ".join(f"'{k}'" for k in X.LABEL_KINDS.values()) + "]"
+
+
+@query(f"""WITH h AS (SELECT doc_id, n_chars, {_HEADS} AS heads, {_KINDS} AS kinds, 1 + doc_id % {len(X.LABEL_KINDS)} AS a, 1 + n_chars % {len(X.LABEL_KINDS)} AS b FROM documents),
+l AS (SELECT doc_id, kinds[a] AS kind, CAST(n_chars AS VARCHAR) AS number FROM h UNION SELECT doc_id, kinds[b], CAST(doc_id AS VARCHAR) || 'b' FROM h) SELECT * FROM l""")
 def txt9_labels(spark, d):
-    text = F.concat(F.lit("see Fig. "), C("n_chars").cast("string"), F.lit(" and Table "), C("doc_id").cast("string"), F.lit("a, figure "), C("n_chars").cast("string"), F.lit("."))
+    """Two labels, of all heads in turn, within each document's own text."""
+    heads = F.array(*map(F.lit, X.LABEL_KINDS))
+    head = lambda at: F.element_at(heads, (1 + at % len(X.LABEL_KINDS)).cast("int"))
+    text = F.concat(C("text"), F.lit(" see "), head(C("doc_id")), F.lit(" "), C("n_chars").cast("string"), F.lit(", "), F.left("text", F.lit(50)), F.lit(" and "), F.initcap(head(C("n_chars"))), F.lit(" "), C("doc_id").cast("string"), F.lit("b."))
     return table(spark, d, "documents").select("doc_id", F.inline(X.labels_in(text)))
 
 
@@ -229,11 +243,14 @@ def mth10_nearness(spark, d):
     return table(spark, d, "part").select("p_partkey", S.nearness(rects, F.array(*(F.lit(float(v)) for v in (0, 100, 300, 200)))).alias("near"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("""WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) FILTER (epoch(now - ts) > 2 * 86400) AS stale, count(*) FILTER (epoch(now - ts) > 10 * 86400) AS removable, count(*) AS n FROM events, n GROUP BY event_type""")
 def dat1_retention(spark, d):
-    """DAT1: rows by the retention cutoff; events lie long before now, so every one is past it."""
-    cutoff = F.current_timestamp() - F.make_dt_interval(F.lit(30))
-    return table(spark, d, "events").where(C("ts") < cutoff).groupBy("event_type").agg(F.count("*").alias("n"))
+    """DAT1: events by both cutoffs, twice a limit of a day and a retention of ten, before the newest event."""
+    events = table(spark, d, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(C("ts").cast("timestamp"))
+    past = lambda seconds: F.count_if(age > seconds * 1_000_000)
+    return events.groupBy("event_type").agg(past(2 * 86400).alias("stale"), past(10 * 86400).alias("removable"), F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
