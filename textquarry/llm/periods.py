@@ -34,7 +34,7 @@ SHORTEST, TIMES = 24, 3
 #: Lags under this are compared in full.
 FEW = 32
 #: Bytes of text whose words are held at once, unless one text is longer.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"
