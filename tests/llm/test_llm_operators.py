@@ -278,7 +278,8 @@ def test_id_store_round_trip(spark):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() and [r.doc_id or -1 for r in got] == sorted(r.doc_id or -1 for r in got)
     assert {r.start: zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in idstore.read_documents(spark, path).collect()} == {r.start: r.ids_crc32 for r in got}
     chunks = spark.read.parquet(f"{path}/chunks")
-    assert chunks.count() == chunks.select("address").distinct().count() < spark.read.parquet(f"{path}/spool").count()
+    assert chunks.count() == chunks.select("address").distinct().count() < spark.read.parquet(f"{path}/recipes").select(F.explode("chunks")).count()
+    assert not os.path.exists(path.removeprefix("file:") + "/spool")  # no copies are left in the store
 
 
 def test_id_store_of_nothing(spark):

@@ -354,6 +354,9 @@ def write_store(docs: DataFrame, definition: str, path: str | None = None) -> st
         before += r.tokens
     root = merkle([_part_leaf(x[0], x[1], x[3], x[4]) for x in rows])
     spark.createDataFrame([(*x, root) for x in rows], "part int, documents bigint, tokens_before bigint, tokens bigint, root binary, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    # What was spooled holds copies; the store keeps each chunk once.
+    place = spark._jvm.org.apache.hadoop.fs.Path(spool)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return path
 
 
