@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.operators import embedding as E
 from textquarry.operators import generation as M
 from textquarry.operators import linking as J
 from textquarry.operators import retrieval as R
 from textquarry.operators import vector_lists as I
 from textquarry.operators import vectors as V
 from textquarry.plans.registry import query
+from textquarry.plans.source_queries import PASSAGES
 from textquarry.tables import table
 from textquarry.workspace import shared_path
 
@@ -83,6 +85,29 @@ def vec4_index_chunks(spark, d):
     return chunks.select(F.concat_ws(":", "doc_id", "chunk_no").alias("id"), V.hashed_embedding(C("content")).alias("embedding"))
 
 
+def _letters(texts, mode):
+    """A stand-in embedder that SQL can follow: counts of five letters, and the mode."""
+    return [[*(t.count(c) for c in "aeinr"), 1.0 if mode == "query" else 0.0] for t in texts]
+
+
+_COUNTS = "[" + ", ".join(f"CAST(length({{t}}) - length(replace({{t}}, '{c}', '')) AS FLOAT)" for c in "aeinr") + ", {m}::FLOAT]"
+
+
+@query(f"""SELECT p.doc_id || ':' || chunk_no AS id, lang, start, {_COUNTS.format(t='content', m=0)} AS embedding FROM ({PASSAGES}) p JOIN documents USING (doc_id)""")
+def vec4_indexed_passages(spark, d):
+    """Every passage with its place, its document's language and its vector, embedded 512 at a time."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = E.indexed_passages(docs, "doc_id", ["lang"], _letters, 6)
+    # A blank passage has no vector; as counts it is all zero.
+    return found.select("id", "lang", "start", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 6)).alias("embedding"))
+
+
+@query(f"""SELECT item_id, {_COUNTS.format(t='text', m=1)} AS embedding FROM benchmark WHERE trim(text) <> ''""")
+def udf1_embedder(spark, d):
+    """Every benchmark item as a question."""
+    return E.embedded(table(spark, d, "benchmark").select("item_id", "text").where("trim(text) <> ''"), "text", _letters, 6, "query").select("item_id", "embedding")
+
+
 @query("SELECT vec_id AS id, CASE WHEN label = 0 THEN 'missing' ELSE 'width' END AS reason FROM embeddings WHERE label IN (0, 1)")
 def vec5_validation(spark, d):
     v = _vectors(spark, d)

@@ -235,12 +235,12 @@ merged AS (
     FROM (SELECT *, k < spans AND next_b - a <= {size} + {least} AS forward, len(done) > 0 AND b - done[-1].a <= {size} + {least} AS back
       FROM (SELECT m.doc_id, s.k, coalesce(m.wait_a, s.a) AS a, s.b, coalesce(m.wait_opens, s.opens) AS opens, s.next_b, s.spans, m.done FROM merged m JOIN ahead s ON s.doc_id = m.doc_id AND s.k = m.k + 1))))"""
 
-_PASSAGES = ("WITH RECURSIVE " + _PIECES + _PACKED + _MERGED + """
+PASSAGES = ("WITH RECURSIVE " + _PIECES + _PACKED + _MERGED + """
 SELECT doc_id, CAST(c - 1 AS INT) AS chunk_no, CAST(done[c].a AS INT) AS start, substr(text, done[c].a + 1, done[c].b - done[c].a) AS content
 FROM (SELECT m.doc_id, m.done, unnest(range(1, len(m.done) + 1)) AS c, d.text FROM merged m JOIN ahead s ON s.doc_id = m.doc_id AND s.k = m.k AND s.spans = s.k JOIN documents d ON d.doc_id = m.doc_id)""").format(size=1000, overlap=200, least=100)
 
 
-@query(_PASSAGES)
+@query(PASSAGES)
 def chk3_passages(spark, d):
     """Packed and merged passages of every document (CHK3, CHK4)."""
     return K.passages(table(spark, d, "documents").where(F.length("text") > 0), ["doc_id"])
