@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import payload, scoring, text
 from textquarry.operators import chunking, evaluation, generation, linking, logs, retrieval, vectors
-from textquarry.sources import pages, sinks, tabular
+from textquarry.sources import delimited, pages, sinks, tabular
 from textquarry.streaming import stateful
 
 
@@ -80,7 +80,7 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿name;age\n\nمها;3\n".encode())
     (tmp_path / "b.csv").write_bytes("caf\xe9,1\n".encode("latin-1"))
     (tmp_path / "c.bin").write_bytes(b"x")
-    rows = {(r.path[-5:], r.line): list(r.cells) for r in tabular.read_delimited(spark, str(tmp_path / "*.csv")).collect()}
+    rows = {(r.path[-5:], r.line): list(r.cells) for r in delimited.read_records(spark, str(tmp_path / "*.csv")).collect()}
     assert rows == {("a.csv", 1): ["name", "age"], ("a.csv", 3): ["مها", "3"], ("b.csv", 1): ["café", "1"]}
     kinds = sorted((r.path[-5:], r.kind) for r in pages.read_sources(spark, str(tmp_path)).collect())
     assert kinds == [("a.csv", "csv"), ("b.csv", "csv"), ("c.bin", "rejected")]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from textquarry.operators import chunking as K
 from textquarry.plans.registry import query
 from textquarry.sources import buckets as H
+from textquarry.sources import delimited as D
 from textquarry.sources import pages as G
 from textquarry.sources import sinks as N
 from textquarry.sources import tabular as B
@@ -34,6 +35,16 @@ def src2_records(spark, d):
     return found.select("doc_id", "delimiter", "line", F.size("cells").alias("n_cells"), F.sha2(F.element_at("cells", 2).cast("binary"), 256).alias("text_sha256"))
 
 
+@query("""SELECT doc_id, 3 AS n_cells, sha256(trim(text, ' ')) AS text_sha256 FROM documents WHERE trim(text, ' ') <> ''""")
+def src2_files(spark, d):
+    """The documents written as delimited files with quoted texts, and read back from them, block by block."""
+    path = shared_path(spark, "delimited")
+    docs = table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", "text", F.lit("end"))
+    docs.write.options(sep=";", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    cells = D.read_records(spark, path)
+    return cells.select(F.element_at("cells", 1).cast("bigint").alias("doc_id"), F.size("cells").alias("n_cells"), F.sha2(F.element_at("cells", 2), 256).alias("text_sha256"))
+
+
 @query("""SELECT CASE WHEN lang = 'es' THEN 'latin-1' ELSE 'utf-8' END AS encoding, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents
 WHERE lang <> 'es' OR regexp_matches(text, '[^\\x00-\\x7f]') GROUP BY 1""")
 def src3_encoding(spark, d):

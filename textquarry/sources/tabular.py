@@ -6,7 +6,7 @@ import csv
 import io
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,14 +28,8 @@ def decoded(content: Column) -> Column:
     return F.struct(text.alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2, SRC3: path, delimiter, line and cells of every record with text in a folder of delimited files."""
-    files = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("d"))
-    return records(files.select("path", F.col("d.text").alias("text")), "path")
-
-
 def records(texts: DataFrame, key: str) -> DataFrame:
-    """SRC2: key, delimiter, line and cells of every record with text of texts(key, text).
+    """SRC2: key, delimiter, line and cells of every record with text of texts(key, text), tables that are columns already; files are read by delimited.read_records.
 
     Quoted cells may hold delimiters, doubled quotes and line breaks; line is where the record begins. Records have any
     number of cells, trimmed, up to the last one that is filled.
