@@ -8,7 +8,9 @@ size: zstandard compresses the surrounding code with and without it, primed with
 identifiers, and the difference in bytes is divided by its length. Other copies of the value, also as a part of a
 longer run, are taken out of the surrounding code first, so that a key that stands twice is as novel as one that
 stands once. Identifiers and paths cost a fraction of a byte a character; random keys cost at least NOVEL_BYTES. Those are reported
-as kind 'novel', without what a base span covers; base spans always stay. A name or path of plain words is no candidate. Runs longer than PIECE are measured in overlapping
+as kind 'novel', without what a base span covers; base spans always stay. A name or path of plain words is no candidate, nor is
+a UUID, an ISBN, or a path of words, numbers and versions, however novel. A password of 12 characters or more that stands alone, by
+blanks or quotes, and has a letter, a digit and one of the signs !@#$%^&*~? is a candidate too. Runs longer than PIECE are measured in overlapping
 pieces and are one span if a piece is novel. A span goes on over the segments that adjoin it (a token's dotted parts, a key
 wrapped over lines), and a PEM body is one span.
 
@@ -42,10 +44,22 @@ SENSITIVE = (
     "password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key",
     "private_key", "client_key", "credential", "bearer", "authorization", "signing_key", "encryption_key",
 )
+#: The same for a short word that begins longer ones.
+SENSITIVE_WORD = re.compile(r"auth(?![a-z])")
 LEAST_CHARS = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A name or path: words of one case between signs, each with at most two digits at its end; never a key.
 NAME = re.compile(r"[/_.=+-]*+(?:(?:[a-z]++|[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,2}+(?:[/_.=+-]++|\Z))++")
+#: Strings that look random and are no secrets: identifiers, book numbers; and the parts of paths and numbered names.
+BENIGN = re.compile(
+    r"[{(]?[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}[)}]?"
+    r"|(?i:(?:e?isbn)[-_=]*+(?:1[03][-_=]++)?+)?(?:97[89]-?)?[0-9](?:-?[0-9]){8}-?[0-9Xx]"
+)
+PATH_PART = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)[0-9]{0,4}|v?[0-9]{1,4}")
+NUMBER = re.compile(r"[/_=-]++[0-9]{1,4}\Z")
+#: A password with signs, alone between blanks, quotes or brackets.
+SIGNED = re.compile(r"(?<![^\s\"'`=(\[])[A-Za-z0-9+/_=!@#$%^&*~?-]{12,}(?=[\"'`,;)\]]|\s|\Z)")
+SIGNS = frozenset("!@#$%^&*~?")
 CONTEXT_CHARS = 48
 #: Characters that are measured at once.
 PIECE = 512
@@ -79,6 +93,7 @@ public static final private protected string String int boolean true false null
 https://www.example.com/ http://localhost:8080/ /usr/local/bin/ /var/lib/ /etc/ -----BEGIN PRIVATE KEY-----
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ example placeholder your_api_key_here changeme
 xxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000000000000000 application/json content-type Content-Type
+documentation docs/ reference/ guide/ tutorial/ index.html README.md CHANGELOG version release build commit checksum uuid isbn
 """.strip()
 
 
@@ -104,7 +119,7 @@ class Scanner:
         low = text.lower()
         if len(low) != len(text):  # a few capitals change their length; fold ASCII only, to keep places
             low = "".join(c.lower() if c.isascii() else c for c in text)
-        places = sorted({m.end() for w in SENSITIVE if w in low for m in re.finditer(re.escape(w), low)})
+        places = sorted({m.end() for w in SENSITIVE if w in low for m in re.finditer(re.escape(w), low)} | ({m.end() for m in SENSITIVE_WORD.finditer(low)} if "auth" in low else set()))
         regions, found, done, m = [(start, stop, True) for start, stop in pem_bodies(text)], [], 0, None
         regions += [(start, stop, False) for start, stop in contexts(text, places)]
         for start, stop, is_pem in sorted(regions):
@@ -113,7 +128,7 @@ class Scanner:
                 if m is None or m.start() < at:
                     m = CANDIDATE.search(text, at)
                 if m is None:
-                    return found
+                    return found + self.signed(text, regions, base, found)
                 if m.start() >= stop:
                     break
                 at = done = m.end()
@@ -127,7 +142,21 @@ class Scanner:
                     if end > at:
                         at = done = end
                         break
-        return found
+        return found + self.signed(text, regions, base, found)
+
+    def signed(self, text: str, regions: list[tuple[int, int, bool]], base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Passwords with signs in the contexts, where no other span is."""
+        more, taken, done = [], sorted(base + found), 0
+        for start, stop, _ in sorted(regions):
+            at = max(start, done)
+            while at < stop and (m := SIGNED.search(text, at)) and m.start() < stop:
+                at = done = m.end()
+                value = m[0]
+                if SIGNS.isdisjoint(value) or not any(c.isdigit() for c in value) or outside(*m.span(), taken) != [m.span()]:
+                    continue
+                if self.incompressible(text, *m.span()):
+                    more.append((m.start(), 3, m.end()))
+        return more
 
     def adjoined(self, text: str, start: int, end: int) -> int:
         """Where a novel span ends that begins so: further parts and lines of it belong to it."""
@@ -149,7 +178,7 @@ class Scanner:
 
     def incompressible(self, text: str, start: int, end: int) -> bool:
         value = text[start:end]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or NAME.fullmatch(value):
+        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or benign(value):
             return False
         if len(value) <= PIECE:
             return self.costly(text, start, end)
@@ -171,6 +200,13 @@ class Scanner:
         return sorted(base + self.novel(text, base))
 
 
+def benign(value: str) -> bool:
+    """Whether a string is a name, perhaps with a number at its end, a path of words, numbers and versions, a UUID or an ISBN."""
+    if NAME.fullmatch(NUMBER.sub("", value)) or BENIGN.fullmatch(value):
+        return True
+    return "/" in value and all(PATH_PART.fullmatch(p) for p in re.split(r"[/_=.-]+", value) if p)
+
+
 def contexts(text: str, places: list[int]) -> list[tuple[int, int]]:
     """(start, stop) of the text in which the values of sensitive words that end at places may begin."""
     found, line_end, statement_end, covered = [], -1, -1, 0
