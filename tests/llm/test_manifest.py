@@ -76,7 +76,7 @@ def test_query_equals_brute_force_on_the_table(spark, sf_dir):
     assert {v for *_, v in out} == {True, False}
 
 
-@pytest.mark.parametrize("sizes", [[1], [2], [8], [9], [64, 1], [65, 8, 7], [130, 513, 1, 3, 2, 1, 1, 1, 1, 9]])
+@pytest.mark.parametrize("sizes", [[1], [9], [64, 1], [130, 513, 1, 3, 2, 1, 1, 1, 1, 9]])
 def test_trees_of_many_sizes(spark, sizes):
     rows = [r for k, n in enumerate(sizes) for r in rows_of(n, f"l{k}", 1000 * k)]
     assert got(manifest.proven(frame(spark, rows))) == expected(rows)
