@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm.shared import stored
+
 THRESHOLD = 0.8
 N_WORDS = 5
 MAPS = 32
@@ -123,26 +125,25 @@ def licences_in(docs: DataFrame, notices: dict[str, str] | None = None) -> DataF
     rows = rows.select("row", "doc_id", word_list("text").alias("words"))
     # Places of anchor words, then the shingles of the blocks about them; a long text gives one row a block.
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("places", places).where(F.size("places") > 0)
-    # Of the whole document's shingles, those of any template: a short list that goes with every window.
-    every = F.array(*(F.lit(s).cast("bigint") for s in sorted({s for r in sizes for s in r.shingles}))).cast("array<bigint>")
-    rows = rows.withColumn("known", F.array_intersect(shingle_list(F.col("words")), every)).where(F.size("known") > 0)
+    # Written once, for the windows and for the decision: only documents with an anchor, some of all.
+    rows = stored(rows.withColumn("places", places).where(F.size("places") > 0), "anchored")
 
     def starts(block: int):
-        """A window of 2 * block shingles starts at a multiple of block; those that a shingle with an anchor may lie in."""
+        """A window of 2 * block shingles starts at a multiple of block; those that a shingle with an anchor may lie in, with their words."""
         each = F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.floor((p - (N_WORDS - 1)) / block) - 1, F.lit(0)), F.floor(p / block))))
-        return F.transform(F.array_distinct(each), lambda at: F.struct(F.lit(block).alias("block"), at.alias("at")))
+        own = lambda at: F.slice("words", (at * block + 1).cast("int"), 2 * block + N_WORDS - 1)
+        return F.transform(F.array_distinct(each), lambda at: F.struct(F.lit(block).alias("block"), own(at).alias("own")))
 
     blocks = sorted({r.block for r in sizes})
-    windows = rows.select("row", "doc_id", "words", "known", F.inline(F.concat(*map(starts, blocks)) if blocks else F.expr("cast(array() as array<struct<block:int,at:bigint>>)")))
-    own = F.slice("words", (F.col("at") * F.col("block") + 1).cast("int"), 2 * F.col("block") + N_WORDS - 1)
-    windows = windows.select("row", "doc_id", "known", "block", own.alias("own")).where(F.size("own") > 0)
+    windows = rows.select("row", F.inline(F.concat(*map(starts, blocks)) if blocks else F.expr("cast(array() as array<struct<block:int,own:array<string>>>)"))).where(F.size("own") > 0)
     # Each step is a column of its own, so that none is computed again for each of its uses.
-    hashed = windows.select("row", "doc_id", "known", "block", shingle_list(F.col("own")).alias("shingles")).select("row", "doc_id", "known", "block", folded(F.col("shingles")).alias("numbers"))
-    hashed = hashed.select("row", "doc_id", "known", "block", F.posexplode(signature(F.col("numbers"))).alias("band", "value"))
-    # The windows retrieve; the whole document's shingles decide, once a document and licence.
-    shared = F.size(F.array_intersect(F.col("known"), F.col("shingles")))
-    met = hashed.join(bands, ["block", "band", "value"]).join(exact, "licence").select("row", "doc_id", "licence", "n", shared.alias("shared_shingles"))
-    best = met.where(F.col("shared_shingles") >= THRESHOLD * F.col("n")).distinct()
+    hashed = windows.select("row", "block", shingle_list(F.col("own")).alias("shingles")).select("row", "block", folded(F.col("shingles")).alias("numbers"))
+    hashed = hashed.select("row", "block", F.posexplode(signature(F.col("numbers"))).alias("band", "value"))
+    # The bands retrieve documents and templates; only then are a document's shingles made, once, and those of its templates fetched.
+    met = hashed.join(bands, ["block", "band", "value"]).select("row", "licence").distinct()
+    asked = met.groupBy("row").agg(F.collect_list("licence").alias("licences"))  # at most as many as there are notices
+    whole = rows.select("row", "doc_id", "words").join(asked, "row").select("doc_id", "licences", shingle_list(F.col("words")).alias("own"))
+    both = whole.select("doc_id", F.explode("licences").alias("licence"), F.array_distinct("own").alias("own")).join(exact, "licence")
+    best = both.select("doc_id", "licence", "n", F.size(F.array_intersect("own", "shingles")).alias("shared_shingles")).where(F.col("shared_shingles") >= THRESHOLD * F.col("n"))
     return best.select("doc_id", "licence", F.col("shared_shingles").cast("int").alias("shared_shingles"), F.col("n").cast("int").alias("template_shingles"),
                        (F.col("shared_shingles") / F.col("n")).alias("containment"))
