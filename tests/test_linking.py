@@ -34,7 +34,7 @@ def by_all_pairs(figures, texts, k):
     return out
 
 
-@pytest.mark.parametrize("shape", [(40, 60, 4, 3), (30, 200, 1, 1), (200, 30, 2, 1), (60, 60, 30, 2)])
+@pytest.mark.parametrize("shape", [(40, 60, 4, 3), (120, 30, 1, 1)])
 def test_links_equal_all_pairs(spark, shape):
     figures, texts = layout(spark, sum(shape), *shape)
     got = linking.links(figures, texts).collect()
