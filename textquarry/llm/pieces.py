@@ -33,6 +33,8 @@ from textquarry.llm.words import pieces_of
 SPACE = "▁"
 #: Words a worker remembers, and the longest that it does.
 CACHE_WORDS, CACHE_CHARS = 120_000, 64
+#: Characters that are encoded at once: their words, ids and spans are what a worker holds.
+AT_ONCE = 1 << 19
 _UNITS = re.compile(r" +[^ ]+| +")
 
 
@@ -211,7 +213,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
         encoder = worker_encoder(shipped.value)
         for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, end in pieces_of(texts):
+            for start, end in pieces_of(texts, AT_ONCE):
                 found = encoder.encode(texts[start:end])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, end - start), pa.array([len(i) for i, _ in found], pa.int64()),
