@@ -1,6 +1,7 @@
 """Delimited files in many blocks against Python's reader over whole files: quotes, line breaks, encodings, odd files."""
 
 import csv
+import hashlib
 import io
 import random
 
@@ -57,3 +58,13 @@ def test_blocks_of_any_size_give_the_records_of_whole_files(spark, tmp_path, siz
 @pytest.mark.parametrize("line, inside, want", [("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('b",c', True, False), ('b"",c', True, True), ('a"b', False, False), ('"a"b"c,"d', False, True), ('x","y', True, True), ('"', True, False), ('""', False, False), ('",""', True, False)])
 def test_what_a_line_does_to_the_bit(line, inside, want):
     assert delimited.after(line, ",", inside) is want
+
+
+def test_texts_on_a_files_first_lines_do_not_tell_its_delimiter(spark, tmp_path):
+    from textquarry.plans.source_queries import src2_files
+
+    texts = {1: "a, b, c, d, e", 2: "one | two | three | four\n, five", 3: 'said "so; so", twice', 4: "tab\tand\ttab\t\tagain\t"}
+    for k, text in texts.items():  # each the first of a file
+        spark.createDataFrame([(k, text)], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_cells, r.text_sha256) for r in src2_files(spark, str(tmp_path)).collect()}
+    assert got == {k: (3, hashlib.sha256(text.strip(" ").encode()).hexdigest()) for k, text in texts.items()}

@@ -37,11 +37,14 @@ def src2_records(spark, d):
 
 @query("""SELECT doc_id, 3 AS n_cells, sha256(trim(text, ' ')) AS text_sha256 FROM documents WHERE trim(text, ' ') <> ''""")
 def src2_files(spark, d):
-    """The documents written as delimited files with quoted texts, and read back from them, block by block."""
+    """The documents written as delimited files with quoted texts, and read back from them, block by block.
+
+    A file's delimiter is told by its first line, so every file has a header: a text on that line may hold more of other delimiters.
+    """
     path = shared_path(spark, "delimited")
-    docs = table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", "text", F.lit("end"))
-    docs.write.options(sep=";", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    cells = D.read_records(spark, path)
+    docs = table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", "text", F.lit("end").alias("last"))
+    docs.write.options(sep=";", quote='"', escape='"', quoteAll=True, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    cells = D.read_records(spark, path).where("line > 1")
     return cells.select(F.element_at("cells", 1).cast("bigint").alias("doc_id"), F.size("cells").alias("n_cells"), F.sha2(F.element_at("cells", 2), 256).alias("text_sha256"))
 
 
