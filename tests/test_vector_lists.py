@@ -85,3 +85,21 @@ def test_too_many_centres_are_refused(spark, monkeypatch):
     monkeypatch.setattr(I, "CENTRE_BYTES", 10)
     with pytest.raises(ValueError, match="too many"):
         I.with_lists(spark.createDataFrame([(1, [1.0, 2.0])], "id int, embedding array<double>"), np.eye(2), 1)
+
+
+def test_nearest_centres_are_exact_and_hold_a_bounded_tile():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, centres = rng.normal(size=(400, 8)), rng.normal(size=(3000, 8))
+    centres[1500:] = centres[:1500]  # copies: the earlier one is nearer
+    got = I.nearest_centres(np.concatenate([x, centres[:50]]), centres, 4)
+    for row, own in zip(got, [*x, *centres[:50]]):
+        assert row.tolist() == sorted(range(3000), key=lambda c: (((own - centres[c]) ** 2).sum(), c))[:4]
+    assert I.nearest_centres(np.full((1, 8), np.nan), centres, 2).tolist() == [[0, 1]]
+    assert I.first_copies(np.repeat(centres[:3], 5, axis=0), 2).tolist() == [0, 1, 5, 6, 10, 11]
+    tracemalloc.start()
+    I.nearest_centres(rng.normal(size=(3000, 8)), rng.normal(size=(20_000, 8)), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20  # all distances at once are 480 MB

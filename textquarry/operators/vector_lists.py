@@ -26,6 +26,8 @@ from textquarry.operators.vectors import QUESTION_BLOCK, as_matrix, best, fit_li
 FILE_ROWS = 250_000
 #: Centres go to every task; more bytes than this are refused.
 CENTRE_BYTES = 512 << 20
+#: Rows, and centres or vectors, that are compared at once: a tile of distances is bounded, however many centres there are.
+ROWS, COLUMNS = 1024, 2048
 
 
 def kmeans_centres(vectors: DataFrame, lists: int | None = None, sample_rows: int = 50_000, seed: int = 3) -> np.ndarray:
@@ -35,14 +37,51 @@ def kmeans_centres(vectors: DataFrame, lists: int | None = None, sample_rows: in
 
 def sampled_centres(vectors: DataFrame, chosen) -> np.ndarray:
     """Centres that are vectors themselves: those where chosen holds, in the order of their ids."""
-    rows = vectors.where(chosen).where("embedding is not null").orderBy("id").select(F.col("embedding").cast("array<double>")).collect()
-    return np.array([r[0] for r in rows], np.float64)
+    return _matrix(vectors.where(chosen).where("embedding is not null").orderBy("id").select(F.col("embedding").cast("array<double>")))
+
+
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """The only column's vectors, which are of one width, through Arrow."""
+    column = rows.toArrow().column(0)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0,))
 
 
 def nearest_centres(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    """The numbers of the nearest centres of each row, nearest first, ties to the smaller number."""
-    distance = (centres**2).sum(axis=1)[None] - 2 * x @ centres.T
-    return np.argsort(distance, axis=1, kind="stable")[:, :probes]
+    """The places of the nearest centres of each row, nearest first, ties to the earlier one; in tiles of bounded size.
+
+    Tiles propose what may be among the nearest within the rounding of products; those distances alone are taken from the differences.
+    """
+    k = min(probes, len(centres))
+    out, size = np.tile(np.arange(k), (len(x), 1)), (centres**2).sum(axis=1)
+    for low in range(0, len(x), ROWS):
+        own = x[low : low + ROWS]
+        slack = 1e-12 * ((own**2).sum(axis=1) + np.nanmax(size, initial=0.0))
+        bound, held = np.full(len(own), np.inf), []
+        for first in range(0, len(centres), COLUMNS):
+            d = size[None, first : first + COLUMNS] - 2 * own @ centres[first : first + COLUMNS].T
+            if d.shape[1] >= k:
+                bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(d <= (bound + slack)[:, None])
+            held.append((r, c + first, d[r, c]))
+        r, c, d = (np.concatenate([h[n] for h in held]) for n in range(3))
+        near = d <= (bound + slack)[r]
+        r, c = r[near], c[near]
+        exact = np.concatenate([np.zeros(0), *(((own[r[at : at + 32 * ROWS]] - centres[c[at : at + 32 * ROWS]]) ** 2).sum(axis=1) for at in range(0, len(r), 32 * ROWS))])
+        order = np.lexsort((c, exact, r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        out[low + r[place < k], place[place < k]] = c[place < k]
+        for row in np.flatnonzero(np.bincount(r, minlength=len(own)) < k):  # distances that are no numbers
+            out[low + row] = np.argsort(size - 2 * centres @ own[row], kind="stable")[:k]
+    return out
+
+
+def first_copies(centres: np.ndarray, most: int) -> np.ndarray:
+    """The numbers of the centres, without those that equal so many before them: they are never among so many nearest."""
+    _, group = np.unique(centres, axis=0, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[place < most])
 
 
 def matrix_of(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +98,15 @@ def with_lists(rows: DataFrame, centres: np.ndarray, probes: int, column: str =
     """rows with lists: the numbers of the nearest centres; rows without a fitting vector are left out."""
     if centres.nbytes > CENTRE_BYTES:
         raise ValueError(f"{len(centres)} centres of {centres.shape[1]} components are too many to send to every task; take fewer lists")
-    shipped = rows.sparkSession.sparkContext.broadcast(centres)
+    numbers = first_copies(centres, probes) if len(centres) else np.zeros(0, np.int64)
+    shipped = rows.sparkSession.sparkContext.broadcast((centres[numbers], numbers))
     at = rows.columns.index(column)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, numbers = shipped.value
         for batch in batches:
-            fits, x = matrix_of(batch.column(at), shipped.value.shape[1])
-            near = nearest_centres(x, shipped.value, probes) if len(fits) else np.zeros((0, 1), np.int64)
+            fits, x = matrix_of(batch.column(at), centres.shape[1])
+            near = numbers[nearest_centres(x, centres, probes)] if len(fits) else np.zeros((0, 1), np.int64)
             own = batch.take(pa.array(fits, pa.int64()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fits) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
             yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*batch.schema.names, "lists"])
@@ -82,12 +123,13 @@ def write_lists(vectors: DataFrame, centres: np.ndarray, path: str) -> None:
     dealt = own.join(F.broadcast(sizes), "list_id")  # a row a list, of which there are as many as centres
     dealt = dealt.withColumn("file", F.pmod(F.xxhash64("id"), F.col("files"))).repartition("list_id", "file").drop("file", "files")
     dealt.sortWithinPartitions("list_id", "id").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("list_id").parquet(f"{path}/vectors")
-    rows = [(k, c.tolist()) for k, c in enumerate(centres)]
+    own = pa.ListArray.from_arrays(pa.array(np.arange(len(centres) + 1) * centres.shape[-1], pa.int32()), pa.array(centres.ravel()))
+    rows = pa.table({"list_id": pa.array(np.arange(len(centres)), pa.int32()), "centre": own})
     spark.createDataFrame(rows, "list_id int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
 
 
 def read_centres(spark: SparkSession, path: str) -> np.ndarray:
-    return np.array([r[0] for r in spark.read.parquet(f"{path}/centres").orderBy("list_id").select("centre").collect()], np.float64)
+    return _matrix(spark.read.parquet(f"{path}/centres").orderBy("list_id").select("centre"))
 
 
 def stored_vectors(spark: SparkSession, path: str, lists: list[int] | None = None) -> DataFrame:
@@ -138,10 +180,12 @@ def _searched(spark: SparkSession, asked: DataFrame, path: str, k: int, metric:
             own, lists = batch.column(0).to_numpy()[fits], batch.column(2).to_numpy()[fits]
             for name in np.unique(lists).tolist():
                 at, asking = np.flatnonzero(lists == name), askers[name]
-                for tile in range(0, len(asking), 1024):
-                    some = asking[tile : tile + 1024]
+                for tile in range(0, len(asking), ROWS):
+                    some = asking[tile : tile + ROWS]
                     s, i = kept_s[some], kept_i[some]
-                    keep_best(s, i, scored(q[some], x[at], metric), own[at])
+                    for first in range(0, len(at), COLUMNS):
+                        part = at[first : first + COLUMNS]
+                        keep_best(s, i, scored(q[some], x[part], metric), own[part])
                     kept_s[some], kept_i[some] = s, i
         r, c = np.nonzero(np.isfinite(kept_s))
         yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(kept_i[r, c]), pa.array(kept_s[r, c])], schema=schema)
