@@ -47,8 +47,8 @@ def txt4_script_profile(spark, d):
 SELECT doc_id, ratio AS space_ratio, characters > 80 AND ratio > 0.22 AS fragmented, characters > 80 AND ratio < 0.13 AS run_together,
   NOT (characters > 80 AND (ratio > 0.22 OR ratio < 0.13)) AS usable FROM r""")
 def txt5_usability(spark, d):
-    p = table(spark, d, "documents").select("doc_id", X.usability(X.script_profile(C("text"))).alias("u"))
-    return p.select("doc_id", "u.space_ratio", "u.fragmented", "u.run_together", "u.usable")
+    p = X.with_usability(table(spark, d, "documents").select("doc_id", "text"))
+    return p.select("doc_id", "space_ratio", "fragmented", "run_together", "usable")
 
 
 _EDGE = """regexp_replace(regexp_replace({}, '^[.,;:!?()\\[\\]{{}}«»"''\\-—…]+', ''), '[.,;:!?()\\[\\]{{}}«»"''\\-—…]+$', '')"""
