@@ -33,3 +33,13 @@ def test_passages_equal_the_recursive_sql(spark):
     assert got == want
     sizes = [len(t) for *_, t in got]
     assert max(sizes) <= 1100 and sum(s < 100 for s in sizes) < len(sizes) / 4
+
+
+def test_a_worker_takes_up_a_bounded_part_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["x" * 40, None, "", "y" * 500, "z" * 60, "é" * 20, "w"])], names=["k", "text"])
+    monkeypatch.setattr(chunking, "HELD", 100)
+    parts = list(chunking._slices(batch, 1))
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1] and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert not list(chunking._slices(batch.slice(0, 0), 1))

@@ -7,13 +7,19 @@ A passage is always page[start : start + length], so highlights and citations ca
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SIZE, OVERLAP, LEAST = 1000, 200, 100
+#: Bytes of pages that a worker turns into passages at once.
+HELD = 1 << 20
 #: Where a page may be cut, best first; each pattern matches just before what opens the next piece.
 PROSE = (r"(?=\n\n)", r"(?=\n)", r"(?<=\. )", r"(?= )")
 MARKDOWN = (r"(?=\n#{1,6} )", r"(?=\n```)", *PROSE)
@@ -78,14 +84,16 @@ def pack_ranges(lengths: list[int], heads: list[bool], size: int, overlap: int,
 
 
 def passages(pages: DataFrame, key: list[str], size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, separators: tuple = PROSE) -> DataFrame:
-    """key, chunk_no, start and content of every passage; a page never shares a passage with another."""
+    """key, chunk_no, start and content of every passage; a page never shares a passage with another.
 
-    pieces = segments_of(F.col("text"), size, separators)
-    rows = pages.select(*key, "text", F.transform(pieces, F.length).alias("lengths"), F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", "").startswith("#")).alias("heads"))
+    Pages are cut once; a worker takes up HELD characters of pages at a time from what it is sent, and gives them back before the next.
+    """
+    cut = pages.select(*key, "text", segments_of(F.col("text"), size, separators).alias("_pieces"))
+    rows = cut.select(*key, "text", F.transform("_pieces", F.length).alias("lengths"), F.transform("_pieces", lambda p: F.regexp_replace(p, r"^\s+", "").startswith("#")).alias("heads"))
     schema = T.StructType([*(pages.schema[k] for k in key), T.StructField("chunk_no", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("content", T.StringType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (own for batch in batches for own in _slices(batch, len(key))):
             at, number, start, content = [], [], [], []
             text, lengths, heads = (batch.column(len(key) + k).to_pylist() for k in range(3))
             for row in range(batch.num_rows):
@@ -101,6 +109,16 @@ def passages(pages: DataFrame, key: list[str], size: int = SIZE, overlap: int =
     return rows.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in turn, with HELD bytes of a text column, or one row, at a time."""
+    offsets = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, (offsets[begin - 1] if begin else 0) + HELD, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def broken_passages(chunks: DataFrame, pages: DataFrame, key: list[str], size: int = SIZE, least: int = LEAST) -> DataFrame:
     """CHK9: passages that are not their page's text at their place, or exceed the ceiling."""
     both = chunks.join(pages.select(*key, "text"), key)
