@@ -231,3 +231,10 @@ def test_prices_keep_repeated_models(spark):
     models = spark.createDataFrame([("m", 1), ("m", 2), ("n", 3)], "model_id string, use int")
     prices = spark.createDataFrame([("m", 1.0), ("m", 1.0), ("*", 2.0)], "pattern string, input double")
     assert sorted((r.use, r.input) for r in linking.prices_for(models, prices).collect()) == [(1, 1.0), (2, 1.0), (3, 2.0)]
+
+
+def test_usability_counts_a_text_once_and_only_what_is_asked_for(spark):
+    df = spark.createDataFrame([(0, ""), (1, None), (2, "a b c\n" * 30), (3, "x" * 100)], "k int, text string")
+    found = text.with_usability(df).select("k", "space_ratio", "fragmented", "run_together", "usable")
+    assert [tuple(r) for r in found.orderBy("k").collect()] == [(0, 0.0, False, False, True), (1, 0.0, False, False, True), (2, 0.5, True, False, False), (3, 0.0, False, True, False)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
