@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,37 @@ def test_pairs_are_linear_in_items(spark):
     assert 2 * n <= linking.links(figures, texts).count() <= 8 * n  # of 2,250,000 pairs with the label
 
 
+def test_many_pages_are_compared_at_once(spark):
+    """No page is a call of its own; in frames of any size, with many pages together or alone, the same partners are found."""
+    figures, texts = layout(spark, 5, 300, 400, 40, 9)
+    figures, texts = figures.union(figures.where("chunk_order % 50 = 0")), texts.union(texts.where("chunk_order % 60 = 0"))
+    found = linking.links(figures, texts)
+    assert {(own, (r.asset_id, r.image, r.text)) for r in found.collect() for own, best in ((1, r.of_image), (2, r.of_text)) if best} == by_all_pairs(figures, texts, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan
+
+    rng = random.Random(3)
+    box = lambda: [0.0, y := rng.randrange(900) * 1.0, 50.0, y + 20]
+    rows = [dict(asset_id=1, page=p, _text=text, image=None if text else n, label=None if text else rng.choice([None, "figure:1", "table:2"]), bbox=None if text else rng.choice([None, box(), [None, *box()[1:]]]), whole_page=None if text else rng.random() < 0.2,
+                 text=n if text else None, labels=rng.choice([[], ["figure:1"], ["figure:1", "table:2"]]) if text else None, rects=rng.choice([None, [], [box()], [box(), box()]]) if text else None)
+            for p in range(60) for text in (False, True) for n in sorted(rng.choices(range(900), k=rng.randrange(9)))]
+    names = {"asset_id": pa.int64(), "page": pa.int64(), "_text": pa.bool_(), "image": pa.int64(), "label": pa.string(), "bbox": pa.list_(pa.float64()), "whole_page": pa.bool_(), "text": pa.int64(), "labels": pa.list_(pa.string()), "rects": pa.list_(pa.list_(pa.float64()))}
+    table = pa.Table.from_pylist(rows, pa.schema(names))
+    calls, best = [], linking._pairs_best
+
+    def run(frame, most):
+        out = [tuple(round(x, 9) for x in r.values()) for b in linking._pages_best(2, most)(iter(table.to_batches(frame))) for r in b.to_pylist()]
+        return set(out)
+
+    linking._pairs_best = lambda *args: (calls.append(1), best(*args))[1]
+    try:
+        want = run(1000, 0)  # every page alone
+        assert not calls and want == run(1000, 1 << 18) and 1 <= len(calls) <= 2
+        assert all(run(frame, most) == want for frame in (1, 7, 100) for most in (30, 200, 1 << 18))
+    finally:
+        linking._pairs_best = best
+
+
 def test_nothing_to_link(spark):
     figures, texts = layout(spark, 1, 3, 3, 1, 1)
     assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0

@@ -141,14 +141,15 @@ def is_small_talk(text: Column) -> Column:
 
 
 def labels_in(text: Column) -> Column:
-    """TXT9: the figure and table labels that a text names, as distinct (kind, number)."""
-    text = F.coalesce(text, F.lit(""))
+    """TXT9: the figure and table labels that a text names, as distinct (kind, number).
+
+    A text is searched once; the parts are taken from what was found, which the pattern matches alone as it did in its text.
+    """
     pattern = _label_pattern()
-    part = lambda k: F.regexp_extract_all(text, F.lit(pattern), k)
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
     kinds = F.create_map(*(F.lit(x) for pair in LABEL_KINDS.items() for x in pair))
-    rows = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("n"), part(4).alias("s"))
-    return F.array_distinct(F.transform(rows, lambda r: F.struct(
-        kinds[F.lower(F.concat(r["a"], r["b"]))].alias("kind"), F.concat(F.translate(r["n"], _DIGITS_FROM, _DIGITS_TO), F.lower(r["s"])).alias("number"))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), lambda m: F.struct(
+        kinds[F.lower(F.concat(part(m, 1), part(m, 2)))].alias("kind"), F.concat(F.translate(part(m, 3), _DIGITS_FROM, _DIGITS_TO), F.lower(part(m, 4))).alias("number"))))
 
 
 def squeezed(text: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,8 @@ from textquarry.functions.text import labels_in
 BY_LABEL, SAME_PAGE, MOST_RECTS = 10.0, 0.5, 120
 #: Characters of a stretch of text; ranges are joined on the stretches that they lie in.
 STRETCH = 4096
+#: Pairs of a page's items, with their rectangles and labels, that a task compares at once; a page of more is compared in blocks of its own.
+PAIRS = 1 << 18
 
 
 def label_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
@@ -35,14 +40,16 @@ def page_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
 def links(figures: DataFrame, texts: DataFrame, per_image: int = 2, per_text: int = 2) -> DataFrame:
     """JOIN6: both kinds of evidence added up; the best partners of each side, with which side chose them.
 
-    Only pairs that can be among a side's best are made, so they are linear in figures and passages. A page's items are
-    compared in arrays, and of each the best partners are kept. Of a label, the partners on other pages all score alike: of
+    Only pairs that can be among a side's best are made, so they are linear in figures and passages. The items of many pages
+    are compared in arrays at once, and of each the best partners are kept. Of a label, the partners on other pages all score alike: of
     each side the first few are enough, twice as many as are chosen, taken from every page as many as are chosen.
     """
     k = max(per_image, per_text)
     label = lambda c: F.concat(c["kind"], F.lit(":"), c["number"])
     own = lambda c: F.array_min(labels_in(c))
-    a = figures.select("asset_id", "page", F.col("chunk_order").alias("image"), F.coalesce(label(own(F.col("nearby_text"))), label(own(F.col("caption")))).alias("label"), F.col("bbox").cast("array<double>").alias("bbox"), "whole_page")
+    # Labels are found once; what is made of one is a step of its own.
+    found = figures.select("asset_id", "page", F.col("chunk_order").alias("image"), F.coalesce(own(F.col("nearby_text")), own(F.col("caption"))).alias("_l"), F.col("bbox").cast("array<double>").alias("bbox"), "whole_page")
+    a = found.select("asset_id", "page", "image", label(F.col("_l")).alias("label"), "bbox", "whole_page")
     b = texts.select("asset_id", "page", F.col("chunk_order").alias("text"), F.transform(labels_in(F.col("content")), label).alias("labels"), F.col("rects").cast("array<array<double>>").alias("rects"))
     named = a.where("label is not null").groupBy("asset_id", "label", "page", "image").agg(F.count(F.lit(1)).alias("times"))
     naming = b.select("asset_id", "page", "text", F.explode("labels").alias("label")).groupBy("asset_id", "label", "page", "text").agg(F.count(F.lit(1)).alias("times"))
@@ -69,11 +76,141 @@ def _elsewhere(rows: DataFrame, first: DataFrame, item: str) -> DataFrame:
 
 
 def _on_page(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Of each page, every item's k best partners there by both kinds of evidence."""
+    """Of each page, every item's k best partners there by both kinds of evidence.
+
+    Figures and passages are dealt out and sorted by page, and a task compares its pages as they come, many at a time: what
+    a page costs is its pairs, not a call. Only a page itself is held whole.
+    """
     kind = dict(a.dtypes)["asset_id"], dict(a.dtypes)["image"], dict(b.dtypes)["text"]
-    own = ["asset_id", "page"]
-    left, right = a.where("page is not null").groupBy(*own), b.where("page is not null").groupBy(*own)
-    return left.cogroup(right).applyInArrow(_page_best(k), "asset_id {}, image {}, text {}, score double".format(*kind))
+    both = a.withColumn("_text", F.lit(False)).unionByName(b.withColumn("_text", F.lit(True)), allowMissingColumns=True)
+    both = both.where("asset_id is not null and page is not null").select("asset_id", "page", "_text", "image", "label", "bbox", "whole_page", "text", "labels", "rects")
+    dealt = both.repartition("asset_id", "page").sortWithinPartitions("asset_id", "page", "_text", "image", "text")
+    return dealt.mapInArrow(_pages_best(k), "asset_id {}, image {}, text {}, score double".format(*kind))
+
+
+def _pages_best(k: int, most: int = PAIRS):
+    one = _page_best(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, page in _whole_pages(batches):
+            text = rows["_text"].to_numpy(zero_copy_only=False)
+            at_a, at_b = np.flatnonzero(~text), np.flatnonzero(text)
+            figures, texts = rows.take(pa.array(at_a)), rows.take(pa.array(at_b))
+            page_a, page_b = page[at_a], page[at_b]
+            pages = int(page[-1]) + 1
+            n_a, n_b = np.bincount(page_a, minlength=pages), np.bincount(page_b, minlength=pages)
+            size = 1 + sum(pc.fill_null(pc.list_value_length(texts[c]), 0).to_numpy(zero_copy_only=False) for c in ("labels", "rects"))
+            pairs = n_a * np.bincount(page_b, size, pages).astype(np.int64)
+            alone = pairs > most
+            first_a, first_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+            met = np.flatnonzero((pairs > 0) & ~alone)
+            part = np.cumsum(pairs[met]) // most  # consecutive pages of so many pairs together
+            for low, high in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
+                p, q = met[low], met[high - 1] + 1
+                ours = np.zeros(pages, bool)
+                ours[met[low:high]] = True
+                a, b = (t.slice(first[p], first[q] - first[p]) for t, first in ((figures, first_a), (texts, first_b)))
+                yield from _pairs_best(a, b, page_a[first_a[p] : first_a[q]] - p, page_b[first_b[p] : first_b[q]] - p, ours[p:q], k).to_batches()
+            for p in np.flatnonzero((pairs > 0) & alone):
+                yield from one(figures.slice(first_a[p], n_a[p]), texts.slice(first_b[p], n_b[p])).to_batches()
+
+    return run
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that end where a page ends, and the number of each row's page in its table."""
+    held: list[pa.RecordBatch] = []
+    opens: list[np.ndarray] = []  # whether a page begins at a row
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in range(2)]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in keys], axis=0)
+        new[0] = last != tuple(c[0].as_py() for c in keys)
+        last = tuple(c[-1].as_py() for c in keys)
+        begins = np.flatnonzero(new)
+        cut = int(begins[-1]) if len(begins) else 0
+        if len(begins) and (held or cut):
+            rows, marks = [*held, batch.slice(0, cut)], np.concatenate([*opens, new[:cut]])
+            yield pa.Table.from_batches(rows).combine_chunks(), np.cumsum(marks) - 1
+        if len(begins):
+            held, opens = [], []
+        held.append(batch.slice(cut))
+        opens.append(new[cut:])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), np.cumsum(np.concatenate(opens)) - 1
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of so many items: each item's group, and its number there."""
+    group = np.repeat(np.arange(len(n)), n)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Begin and length of each row's list, null as empty, in the items of all."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(size) - size, size, column.flatten()
+
+
+def _corners(boxes: pa.Array) -> np.ndarray:
+    """The first four numbers of each list, NaN for those that are missing."""
+    begin, size, flat = _lists(boxes)
+    flat = flat.to_numpy(zero_copy_only=False)
+    out = np.full((len(size), 4), np.nan)
+    for c in range(4):
+        has = size > c
+        out[has, c] = flat[begin[has] + c]
+    return out
+
+
+def _items(item: pa.ChunkedArray, page: np.ndarray) -> np.ndarray:
+    """Numbers of a page's items, from rows in their order."""
+    item = item.combine_chunks()
+    new = np.ones(len(page), bool)
+    new[1:] = pc.fill_null(pc.not_equal(item.slice(1), item.slice(0, len(page) - 1)), False).to_numpy(zero_copy_only=False) | (page[1:] != page[:-1])
+    return np.cumsum(new) - 1
+
+
+def _pairs_best(figures: pa.Table, texts: pa.Table, page_a: np.ndarray, page_b: np.ndarray, ours: np.ndarray, k: int) -> pa.Table:
+    """_page_best of many pages at once: all pairs of figure and passage of those of our pages. Rows are in the order of their items."""
+    n_b = np.where(ours, np.bincount(page_b, minlength=len(ours)), 0)
+    first_b = np.cumsum(np.bincount(page_b, minlength=len(ours))) - np.bincount(page_b, minlength=len(ours))
+    f, t = _spread(n_b[page_a])
+    t += first_b[page_a[f]]
+    score = np.full(len(f), SAME_PAGE)
+    box, whole = _corners(figures["bbox"]), pc.fill_null(figures["whole_page"], False).to_numpy(zero_copy_only=False)
+    begin, size, rects = _lists(texts["rects"])
+    flat = _corners(rects)
+    near = np.flatnonzero((size[t] > 0) & ~(whole | np.isnan(box).any(axis=1))[f])
+    if len(near):
+        group, at = _spread(size[t[near]])
+        starts = np.cumsum(size[t[near]]) - size[t[near]]
+        score[near] += 4 * np.maximum(0.0, _near(flat[begin[t[near]][group] + at], box[f[near]][group].T, starts))
+    begin, size, labels = _lists(texts["labels"])
+    codes = pa.concat_arrays([pc.fill_null(figures["label"], "").combine_chunks(), labels]).dictionary_encode().indices.to_numpy()
+    named, codes = codes[: len(page_a)], codes[len(page_a) :]
+    some = np.flatnonzero((size[t] > 0) & pc.is_valid(figures["label"]).to_numpy(zero_copy_only=False)[f])
+    if len(some):
+        group, at = _spread(size[t[some]])
+        hit = codes[begin[t[some]][group] + at] == named[f[some]][group]
+        score[some] += BY_LABEL * np.bincount(group[hit], minlength=len(some))
+    image, passage = _items(figures["image"], page_a), _items(texts["text"], page_b)
+    if image[-1] + 1 < len(image) or passage[-1] + 1 < len(passage):  # rows of one item are added up
+        pair, first, at = np.unique(image[f] * len(passage) + passage[t], return_index=True, return_inverse=True)
+        score, f, t = np.bincount(at, score, len(pair)), f[first], t[first]
+        f, t = np.searchsorted(image, image[f]), np.searchsorted(passage, passage[t])
+    worst = -np.round(score, 9)
+    kept = np.zeros(len(f), bool)
+    for own, other in ((f, t), (t, f)):
+        order = np.lexsort((other, worst, own))
+        place = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+        kept[order[place < k]] = True
+    f, t = f[kept], t[kept]
+    return pa.table({"asset_id": figures["asset_id"].take(pa.array(f)), "image": figures["image"].take(pa.array(f)), "text": texts["text"].take(pa.array(t)), "score": pa.array(score[kept])})
 
 
 def _page_best(k: int, block: int = 256):
@@ -124,8 +261,8 @@ def _page_best(k: int, block: int = 256):
     return run
 
 
-def _near(rects: np.ndarray, box: list[float], starts: np.ndarray, most: float = 250.0, side: float = 20.0) -> np.ndarray:
-    """MTH10 of consecutive groups of rectangles to a box."""
+def _near(rects: np.ndarray, box: list[float] | np.ndarray, starts: np.ndarray, most: float = 250.0, side: float = 20.0) -> np.ndarray:
+    """MTH10 of consecutive groups of rectangles to a box, or to a box each."""
     x0, y0, x1, y1 = box[:4]
     gap = np.where(rects[:, 1] >= y1, rects[:, 1] - y1, np.where(rects[:, 3] <= y0, y0 - rects[:, 3], 0.0))
     gap = np.where((rects[:, 2] >= x0 - side) & (rects[:, 0] <= x1 + side), gap, np.inf)
