@@ -84,3 +84,18 @@ def test_several_columns_make_a_key(spark, tmp_path, n):
     buckets.create(frame(spark, rows), path, ["source", "id"], "digest", 8)
     got = buckets.upsert(spark, path, frame(spark, [(k, "new", f"s{k % n}") for k in range(15, 25)]))
     assert (got["new"], got["changed"], got["same"]) == (5, 5, 0) and buckets.table(spark, path).count() == 25
+
+
+def test_whole_rows_are_moved_once_a_step(spark, tmp_path, monkeypatch):
+    """Keys and digests decide what is new or changed; whole rows are dealt out once for what is written, and not at all to delete."""
+    path, aside, dealt = str(tmp_path / "t"), [], []
+    written, write = buckets.written, buckets._write
+    monkeypatch.setattr(buckets, "written", lambda df, name: (aside.append((name, df.columns)), written(df, name))[1])
+    monkeypatch.setattr(buckets, "_write", lambda rows, path: (dealt.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")), write(rows, path))[1])
+    rows = [(k, f"text {k}", "s") for k in range(200)]
+    buckets.create(frame(spark, rows + [(3, "twice", "s")]), path, ["id"], "digest", 8)
+    got = buckets.upsert(spark, path, frame(spark, [(k, "other" if k < 5 else t, s) for k, t, s in rows] + [(900, "new", "s"), (900, "new", "s")]))
+    assert (got["new"], got["changed"], got["same"]) == (1, 5, 195) and [name for name, columns in aside if "content" in columns] == ["fresh"]
+    aside.clear()
+    assert buckets.delete(spark, path, F.col("id") < 2) == 2 and not aside and dealt == [1, 1, 0]
+    assert sorted((r.id, r.content) for r in buckets.table(spark, path).collect()) == [(k, "other" if k < 5 else f"text {k}") for k in range(2, 200)] + [(900, "new")]
