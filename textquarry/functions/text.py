@@ -143,13 +143,13 @@ def is_small_talk(text: Column) -> Column:
 def labels_in(text: Column) -> Column:
     """TXT9: the figure and table labels that a text names, as distinct (kind, number).
 
-    A text is searched once; the parts are taken from what was found, which the pattern matches alone as it did in its text.
+    A text is searched once; what was found, which the pattern matches alone as it did in its text, is taken apart at once.
     """
     pattern = _label_pattern()
-    part = lambda m, k: F.regexp_extract(m, pattern, k)
     kinds = F.create_map(*(F.lit(x) for pair in LABEL_KINDS.items() for x in pair))
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), lambda m: F.struct(
-        kinds[F.lower(F.concat(part(m, 1), part(m, 2)))].alias("kind"), F.concat(F.translate(part(m, 3), _DIGITS_FROM, _DIGITS_TO), F.lower(part(m, 4))).alias("number"))))
+    parts = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), lambda m: F.lower(F.regexp_replace(m, pattern, "$1$2\n$3$4")))
+    return F.array_distinct(F.transform(parts, lambda p: F.struct(
+        kinds[F.substring_index(p, "\n", 1)].alias("kind"), F.translate(F.substring_index(p, "\n", -1), _DIGITS_FROM, _DIGITS_TO).alias("number"))))
 
 
 def squeezed(text: Column) -> Column:
