@@ -85,6 +85,17 @@ def test_nothing_to_link(spark):
     assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0
 
 
+def test_words_are_placed_without_a_shuffle(spark):
+    texts = ["one two", "", None, " a  b ", "é 👍x " * 40, "w" * 3000]
+    words = linking.split_words(spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "asset_id int, page int, text string").repartition(2))
+    want = {(k, n + 1, w, at := len(" ".join(t.split(" ")[:n])) + (n > 0), at + len(w)) for k, t in enumerate(texts) if t is not None for n, w in enumerate(t.split(" "))}
+    assert {(r.asset_id, r.word_no, r.word, r.start, r.stop) for r in words.collect()} == want
+    from textquarry.catalog import QUERIES
+
+    plan = QUERIES["join8_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_patterns_are_found_by_their_beginnings(spark):
     names = ["gpt-4", "gpt-4-mini", "gpt-5", "o1", "claude-3-x", "claude-[z]", "a.b", "axb", "", "line\nbreak", "gp", "solo-7", "solo-x"]
     prices = [("gpt-4", 1.0), ("gpt-*", 2.0), ("gpt-4-m*", 3.0), ("*", 0.5), ("?1", 4.0), ("claude-[0-9]-*", 5.0), ("a.?", 6.0), ("g*", 7.0), ("solo-[!0-9]", 8.0), ("line*", 9.0)]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textquarry.functions.scoring import nearness
@@ -19,6 +20,8 @@ BY_LABEL, SAME_PAGE, MOST_RECTS = 10.0, 0.5, 120
 STRETCH = 4096
 #: Pairs of a page's items, with their rectangles and labels, that a task compares at once; a page of more is compared in blocks of its own.
 PAIRS = 1 << 18
+#: Bytes of pages that a worker splits into words at once.
+HELD = 1 << 20
 
 
 def label_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
@@ -283,8 +286,9 @@ def _binned(df: DataFrame, begin: str, end: str, first: str) -> DataFrame:
 
 
 def words_of_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """JOIN8: the words whose range meets a passage's, page by page."""
-    w = words.withColumn("stop", F.col("start") + F.length("word")).withColumnRenamed("start", "begin")
+    """JOIN8: the words whose range meets a passage's, page by page; words of split_words bring their stop, others' comes from the word."""
+    stop = F.col("stop") if "stop" in words.columns else F.col("start") + F.length("word")
+    w = words.withColumn("stop", stop).withColumnRenamed("start", "begin")
     c = chunks.select("asset_id", "page", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
     # Ranges meet in the first stretch that both lie in, and in no other.
     w, c = _binned(w, "begin", "stop", "w_bin"), _binned(c, "c_from", "c_to", "c_bin")
@@ -292,6 +296,27 @@ def words_of_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
     return met.drop("c_from", "c_to", "stop", "bin", "w_bin", "c_bin")
 
 
+def split_words(pages: DataFrame, sign: str = " ") -> DataFrame:
+    """Words of pages(asset_id, page, text) between single signs, numbered from 1, with start and stop; a page's own row tells them all, so nothing is shuffled."""
+    kinds = [pages.schema[c] for c in ("asset_id", "page")]
+    schema = T.StructType([*kinds, T.StructField("word_no", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // HELD
+            for low, high in zip(*(np.searchsorted(held, np.unique(held), side).tolist() for side in ("left", "right"))):
+                own = batch.slice(low, high - low)
+                _, count, words = _lists(pc.split_pattern(own.column(2), sign))
+                row, at = _spread(count)
+                size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.cumsum(size + len(sign)) - size - len(sign)
+                start -= np.repeat(start[(np.cumsum(count) - count)[count > 0]], count[count > 0])
+                place = pa.array(row)
+                yield pa.RecordBatch.from_arrays([own.column(0).take(place), own.column(1).take(place), pa.array((at + 1).astype(np.int32)), words.cast(pa.string()), pa.array(start), pa.array(start + size)], names=schema.names)
+
+    return pages.select("asset_id", "page", "text").mapInArrow(run, schema)
+
+
 def time_ranges(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """JOIN9: first start and last end of the transcript lines that a passage covers."""
     c = chunks.select("asset_id", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
