@@ -33,10 +33,14 @@ def pool_size(top_k: int, reranking: bool) -> int:
 
 def reranked(hits: DataFrame, scores: DataFrame, n: int, least: float) -> DataFrame:
     """VEC10, WIN9: by the reranker's score with a floor; a question without any score keeps the vector order."""
-    both = hits.join(scores.select("query_id", "id", F.col("score").alias("again")), ["query_id", "id"], "left")
+    return rescored(hits.join(scores.select("query_id", "id", F.col("score").alias("again")), ["query_id", "id"], "left"), n, least)
+
+
+def rescored(hits: DataFrame, n: int, least: float) -> DataFrame:
+    """VEC10: the same of hits that have the reranker's score, or null, in a column again: nothing is joined."""
     any_score = F.max(F.col("again").isNotNull()).over(Window.partitionBy("query_id"))
-    both = both.withColumn("final", F.when(any_score, F.col("again")).otherwise(F.col("score"))).withColumn("_any", any_score)
-    kept = both.where(~F.col("_any") | (F.col("final") >= least))
+    both = hits.select("query_id", "id", "score", "again").withColumn("_any", any_score)
+    kept = both.select("query_id", "id", F.when(F.col("_any"), F.col("again")).otherwise(F.col("score")).alias("final"), "_any").where(~F.col("_any") | (F.col("final") >= least)).drop("_any")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("final"), "id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "final", "rank")
 
@@ -88,11 +92,21 @@ def expanded(hits: DataFrame, links: DataFrame, images: int = 2, texts: int = 2)
     return once.withColumn("_p", place).where(F.col("_p") <= F.when(F.col("kind") == "image", images).otherwise(texts)).select("query_id", "partner", "kind", "linked_from")
 
 
+def numbers(hits: DataFrame) -> DataFrame:
+    """WIN5, VEC16: each question's distinct hits, numbered by first occurrence.
+
+    Hits are dealt out by question once and sorted there, with no aggregate or join that would hold or sort them again beside it.
+    """
+    own = hits.select("query_id", "id", "part", "rank").repartition("query_id")
+    again = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("part", "rank"))
+    first = own.withColumn("_again", again).where("_again = 1").drop("_again")
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank", "id"))
+    return first.select("query_id", "id", number.alias("num"))
+
+
 def numbered(hits: DataFrame) -> DataFrame:
     """WIN5, VEC16: hits of all parts numbered by first occurrence."""
-    first = hits.groupBy("query_id", "id").agg(F.min(F.struct("part", "rank")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "id"))
-    return hits.join(first.withColumn("num", number).drop("first"), ["query_id", "id"])
+    return hits.join(numbers(hits), ["query_id", "id"])
 
 
 def picture_budget(hits: DataFrame, has_own: Column, cap: int = 4) -> DataFrame:

@@ -39,7 +39,7 @@ def join3_source_name(spark, d):
 @query("""WITH f AS (SELECT l_orderkey AS query_id, l_partkey AS id, min((l_linenumber, l_suppkey)) AS f FROM lineitem GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS INT) AS num FROM f""")
 def win5_first_occurrence(spark, d):
     hits = table(spark, d, "lineitem").select(C("l_orderkey").alias("query_id"), C("l_partkey").alias("id"), C("l_linenumber").alias("part"), C("l_suppkey").alias("rank"))
-    return R.numbered(hits).select("query_id", "id", "num").distinct()
+    return R.numbers(hits)
 
 
 @query("""SELECT query_id, id, final, CAST(n AS INT) AS rank FROM (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS final, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_totalprice >= 50000) WHERE n <= 3""")
