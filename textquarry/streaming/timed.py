@@ -7,10 +7,11 @@ wall clock hold state for a time to live. State is typed and keyed, a row a batc
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -133,45 +134,54 @@ def newest_states(changes: DataFrame) -> DataFrame:
 
 
 class LoginLock(StatefulProcessor):
-    """STR9: events wait until the watermark has passed them and then count in their own order; a success clears the failures before it."""
+    """STR9: events wait until the watermark has passed them and then count in their own order; a success clears the failures before it.
 
-    NAMES = "user_id event_id failures"
+    Users are many and each has few events, so rows come and go as rows: a frame for each user would cost more than its events.
+    """
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window = limit, 1_000_000 * window_s
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, ok boolean")
-        self.failures = handle.getListState("failures", "at bigint")
+        # Waiting events, and failures that still count, which have no event. An item of the list is all that came or stayed at
+        # one time: the store takes each item singly, whatever it holds.
+        self.held = handle.getListState("held", "at array<bigint>, event_id array<bigint>, ok array<boolean>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(e), bool(o)) for a, e, o in _rows(rows, "at", "event_id", "ok")]
-        self.waiting.appendList(new)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["at"], r["event_id"], r["ok"]) for r in rows]
+        self.held.appendValue(tuple(map(list, zip(*new))))
         self.handle.registerTimer(min(a for a, _, _ in new) // 1000 + 1)
-        yield _frame([], self.NAMES)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        times = [a for (a,) in self.failures.get()] if self.failures.exists() else []
-        out = []
+        held = [row for item in self.held.get() for row in zip(*item)]
+        # Failures within the window, the oldest first.
+        times = deque(a for a, e, _ in held if e is None)
+        waiting = sorted(h for h in held if h[1] is not None)
+        out, count = [], 0
         for at, event, ok in waiting:
             if at > passed:
                 break
-            times = [] if ok else [*(t for t in times if at - t <= self.window), at]
+            count += 1
+            if ok:
+                times.clear()
+                continue
+            while times and at - times[0] > self.window:
+                times.popleft()
+            times.append(at)
             if len(times) >= self.limit:
-                out.append((key[0], event, len(times)))
-        left = [w for w in waiting if w[0] > passed]
-        times = [t for t in times if passed - t <= self.window]
-        for state, rows in ((self.waiting, left), (self.failures, [(t,) for t in times])):
-            if rows:
-                state.put(rows)
-            else:
-                state.clear()
+                out.append(Row(user_id=key[0], event_id=event, failures=len(times)))
+        left = waiting[count:]
+        while times and passed - times[0] > self.window:
+            times.popleft()
         if left or times:  # again when the next event is due, or the last failure out of the window
-            self.handle.registerTimer(min([a // 1000 + 1 for a, _, _ in left] + ([(times[-1] + self.window) // 1000 + 1] if times else [])))
-        yield _frame(out, self.NAMES)
+            self.held.put([tuple(map(list, zip(*((t, None, False) for t in times), *left)))])
+            self.handle.registerTimer(min(([left[0][0] // 1000 + 1] if left else []) + ([(times[-1] + self.window) // 1000 + 1] if times else [])))
+        else:
+            self.held.clear()
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -180,8 +190,8 @@ class LoginLock(StatefulProcessor):
 def locks(events: DataFrame, limit: int = 5, window_s: int = 900, late: str = "1 minute") -> DataFrame:
     """STR9 over events(user_id, event_id, ts, ok): the failures that reach the limit, once the watermark has passed them."""
     kind = dict(events.dtypes)["user_id"]
-    rows = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    return rows.groupBy("user_id").transformWithStateInPandas(LoginLock(limit, window_s), f"user_id {kind}, event_id bigint, failures bigint", "Append", "EventTime")
+    rows = events.withWatermark("ts", late).select("ts", "user_id", F.unix_micros("ts").alias("at"), F.col("event_id").cast("bigint").alias("event_id"), "ok")
+    return rows.groupBy("user_id").transformWithState(LoginLock(limit, window_s), f"user_id {kind}, event_id bigint, failures bigint", "Append", "EventTime")
 
 
 class JudgeBuffer(StatefulProcessor):
