@@ -80,6 +80,31 @@ def test_many_pages_are_compared_at_once(spark):
         linking._pairs_best = best
 
 
+def test_no_pair_is_shuffled(spark):
+    """A page gets the few partners that its labels have elsewhere, and chooses there: pairs are neither dealt out nor ranked again."""
+    figures, texts = layout(spark, 8, 150, 200, 5, 4)
+    figures, texts = figures.union(figures.where("chunk_order % 50 = 0")), texts.union(texts.where("chunk_order % 60 = 0"))
+    found = linking.links(figures, texts, 1, 3)
+    rows = found.collect()
+    want = {x for x in by_all_pairs(figures, texts, 1) if x[0] == 1} | {x for x in by_all_pairs(figures, texts, 3) if x[0] == 2}
+    assert sorted((own, (r.asset_id, r.image, r.text)) for r in rows for own, best in ((1, r.of_image), (2, r.of_text)) if best) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange hashpartitioning") == 3
+
+    # Partners from elsewhere, before a page's items, in frames of any size; page null is none.
+    items = [dict(asset_id=a, page=p, _text=text, image=None if text else n, label=None if text else "f:1", text=n if text else None, labels=["f:1", "f:2"] if text else None) for a in (1, 2) for p in (None, 0, 1) for text in (False, True) for n in range(3)]
+    far = [dict(asset_id=a, page=p, label=f"f:{f}", image=None if t else 100 + f, text=200 + f if t else None, times=3 - f) for a in (1, 2) for p in (None, 0) for t in (False, True) for f in (1, 2)]
+    names = {"asset_id": pa.int64(), "page": pa.int64(), "_text": pa.bool_(), "image": pa.int64(), "label": pa.string(), "bbox": pa.list_(pa.float64()), "whole_page": pa.bool_(), "text": pa.int64(), "labels": pa.list_(pa.string()), "rects": pa.list_(pa.list_(pa.float64())), "times": pa.int64()}
+    below = lambda x: (x is not None, x or 0)
+    table = pa.Table.from_pylist(sorted(items + far, key=lambda r: (r["asset_id"], below(r["page"]), below(r.get("_text")))), pa.schema(names))
+    for frame, most in ((100, 1 << 18), (1, 1 << 18), (7, 0)):
+        got = [tuple(r.values()) for b in linking._pages_best(2, most)(iter(table.to_batches(frame))) for r in b.to_pylist()]
+        one = {x[1:] for x in got if x[0] == 1}
+        assert one == {x[1:] for x in got if x[0] == 2}
+        assert {x for x in one if max(x[:2]) >= 200} == {(n, 201, 20.0, True, False) for n in range(3)}  # label 1 alone, twice there
+        assert {x for x in one if 100 <= x[0] < 200} == {(101, n, 20.0, False, True) for n in range(3)} | {(102, n, 10.0, False, True) for n in range(3)}
+
+
 def test_nothing_to_link(spark):
     figures, texts = layout(spark, 1, 3, 3, 1, 1)
     assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0

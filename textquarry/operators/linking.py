@@ -41,85 +41,144 @@ def page_pairs(figures: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(figures: DataFrame, texts: DataFrame, per_image: int = 2, per_text: int = 2) -> DataFrame:
-    """JOIN6: both kinds of evidence added up; the best partners of each side, with which side chose them.
+    """JOIN6: both kinds of evidence added up; each side's best partners, a row for each choice, with which side made it.
 
-    Only pairs that can be among a side's best are made, so they are linear in figures and passages. The items of many pages
-    are compared in arrays at once, and of each the best partners are kept. Of a label, the partners on other pages all score alike: of
-    each side the first few are enough, twice as many as are chosen, taken from every page as many as are chosen.
+    An item is on one page of its asset. Only pairs that can be among a side's best are made, so they are linear in figures
+    and passages, and no pair is shuffled. Of a label, the partners on other pages all score alike: of each side the first few are
+    enough. A page gets them for its labels, and there every item's partners are chosen at once, from its page and from elsewhere.
     """
-    k = max(per_image, per_text)
     label = lambda c: F.concat(c["kind"], F.lit(":"), c["number"])
     own = lambda c: F.array_min(labels_in(c))
     # Labels are found once; what is made of one is a step of its own.
     found = figures.select("asset_id", "page", F.col("chunk_order").alias("image"), F.coalesce(own(F.col("nearby_text")), own(F.col("caption"))).alias("_l"), F.col("bbox").cast("array<double>").alias("bbox"), "whole_page")
     a = found.select("asset_id", "page", "image", label(F.col("_l")).alias("label"), "bbox", "whole_page")
     b = texts.select("asset_id", "page", F.col("chunk_order").alias("text"), F.transform(labels_in(F.col("content")), label).alias("labels"), F.col("rects").cast("array<array<double>>").alias("rects"))
-    named = a.where("label is not null").groupBy("asset_id", "label", "page", "image").agg(F.count(F.lit(1)).alias("times"))
-    naming = b.select("asset_id", "page", "text", F.explode("labels").alias("label")).groupBy("asset_id", "label", "page", "text").agg(F.count(F.lit(1)).alias("times"))
-    found = _elsewhere(named, _first(naming, "text", k), "text").unionByName(_elsewhere(naming, _first(named, "image", k), "image"))
-    found = found.unionByName(_on_page(a, b, k)).dropDuplicates(["asset_id", "image", "text"])
-    rank = lambda own, other: F.row_number().over(Window.partitionBy("asset_id", own).orderBy(F.desc(F.round("score", 9)), other))
-    both = found.withColumns({"of_image": rank("image", "text") <= per_image, "of_text": rank("text", "image") <= per_text})
-    return both.where("of_image or of_text")
-
-
-def _first(rows: DataFrame, item: str, k: int) -> DataFrame:
-    """Of each label the first 2 k items, at most k of a page: whichever page is left out, its first k others are among them."""
-    order = [F.desc("times"), item]
-    page = F.row_number().over(Window.partitionBy("asset_id", "label", "page").orderBy(*order))
-    whole = F.row_number().over(Window.partitionBy("asset_id", "label").orderBy(*order))
-    return rows.withColumn("_p", page).where(F.col("_p") <= k).withColumn("_w", whole).where(F.col("_w") <= 2 * k).drop("_p", "_w")
-
-
-def _elsewhere(rows: DataFrame, first: DataFrame, item: str) -> DataFrame:
-    """Pairs of a label that are not on one page, of rows with the first items of the other side."""
-    other = first.select("asset_id", "label", item, F.col("page").alias("_page"), F.col("times").alias("_times"))
-    met = rows.join(other, ["asset_id", "label"]).where(~F.coalesce(F.col("page") == F.col("_page"), F.lit(False)))
-    return met.select("asset_id", "image", "text", (BY_LABEL * F.col("times") * F.col("_times")).alias("score"))
-
-
-def _on_page(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """Of each page, every item's k best partners there by both kinds of evidence.
-
-    Figures and passages are dealt out and sorted by page, and a task compares its pages as they come, many at a time: what
-    a page costs is its pairs, not a call. Only a page itself is held whole.
-    """
     kind = dict(a.dtypes)["asset_id"], dict(a.dtypes)["image"], dict(b.dtypes)["text"]
     both = a.withColumn("_text", F.lit(False)).unionByName(b.withColumn("_text", F.lit(True)), allowMissingColumns=True)
-    both = both.where("asset_id is not null and page is not null").select("asset_id", "page", "_text", "image", "label", "bbox", "whole_page", "text", "labels", "rects")
+    both = both.unionByName(_elsewhere(a, b, max(per_image, per_text)), allowMissingColumns=True).where("asset_id is not null")
+    both = both.select("asset_id", "page", "_text", "image", "label", "bbox", "whole_page", "text", "labels", "rects", "times")
+    # Dealt out and sorted by page, a task compares its pages as they come, many at a time: what a page costs is its pairs, not a call. Only a page itself is held whole.
     dealt = both.repartition("asset_id", "page").sortWithinPartitions("asset_id", "page", "_text", "image", "text")
-    return dealt.mapInArrow(_pages_best(k), "asset_id {}, image {}, text {}, score double".format(*kind))
+    return dealt.mapInArrow(_pages_best(per_image, PAIRS, per_text), "asset_id {}, image {}, text {}, score double, of_image boolean, of_text boolean".format(*kind))
 
 
-def _pages_best(k: int, most: int = PAIRS):
+def _elsewhere(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """For each page and label there, the first k items that have the label on other pages: passages if the page has figures of it, figures if it has passages.
+
+    Of a page no more than k items of a label and side are looked at; of all pages' the first 2 k are enough: whichever page is left out, its first k others are among them.
+    """
+    named = a.select("asset_id", "page", "image", F.lit(None).cast(dict(b.dtypes)["text"]).alias("text"), F.array("label").alias("labels"))
+    naming = b.select("asset_id", "page", F.lit(None).cast(dict(a.dtypes)["image"]).alias("image"), "text", "labels")
+    # An outer explode: for an inner one, or for a filter below it, labels would be searched a second time.
+    rows = named.withColumn("_side", F.lit(False)).unionByName(naming.withColumn("_side", F.lit(True))).where("asset_id is not null")
+    rows = rows.select("asset_id", F.explode_outer("labels").alias("label"), "page", "_side", "image", "text").where("label is not null")
+    rows = rows.repartition("asset_id", "label", "page").groupBy("asset_id", "label", "page", "_side", "image", "text").agg(F.count(F.lit(1)).alias("times"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("times"), "image", "text"))
+    rows = rows.withColumn("_p", place("asset_id", "label", "page", "_side")).where(F.col("_p") <= k).repartition("asset_id", "label")
+    rows = rows.withColumn("_w", place("asset_id", "label", "_side"))
+    first = F.collect_list(F.when(F.col("_w") <= 2 * k, F.struct("_w", "_side", "page", "image", "text", "times"))).over(Window.partitionBy("asset_id", "label"))
+    cells = rows.withColumn("_first", first).where("_p = 1")
+    others = F.filter("_first", lambda x: (x["_side"] != F.col("_side")) & ~F.coalesce(x["page"] == F.col("page"), F.lit(False)))
+    return cells.select("asset_id", "page", "label", F.explode(F.slice(F.array_sort(others), 1, k)).alias("_o")).select("asset_id", "page", "label", "_o.image", "_o.text", "_o.times")
+
+
+def _pages_best(per_image: int, most: int = PAIRS, per_text: int | None = None):
+    per_text = per_image if per_text is None else per_text
+    k = max(per_image, per_text)
     one = _page_best(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, page in _whole_pages(batches):
-            text = rows["_text"].to_numpy(zero_copy_only=False)
-            at_a, at_b = np.flatnonzero(~text), np.flatnonzero(text)
+            text = pc.fill_null(rows["_text"], False).to_numpy(zero_copy_only=False)
+            far = pc.is_null(rows["_text"]).to_numpy(zero_copy_only=False)
+            at_a, at_b = np.flatnonzero(~text & ~far), np.flatnonzero(text)
             figures, texts = rows.take(pa.array(at_a)), rows.take(pa.array(at_b))
             page_a, page_b = page[at_a], page[at_b]
             pages = int(page[-1]) + 1
+            begins = np.searchsorted(page, np.arange(pages))
             n_a, n_b = np.bincount(page_a, minlength=pages), np.bincount(page_b, minlength=pages)
             size = 1 + sum(pc.fill_null(pc.list_value_length(texts[c]), 0).to_numpy(zero_copy_only=False) for c in ("labels", "rects"))
             pairs = n_a * np.bincount(page_b, size, pages).astype(np.int64)
+            pairs[pc.is_null(rows["page"]).to_numpy(zero_copy_only=False)[begins]] = 0  # what is on no page has no neighbours
             alone = pairs > most
             first_a, first_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
             met = np.flatnonzero((pairs > 0) & ~alone)
             part = np.cumsum(pairs[met]) // most  # consecutive pages of so many pairs together
+            near = []
             for low, high in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
                 p, q = met[low], met[high - 1] + 1
                 ours = np.zeros(pages, bool)
                 ours[met[low:high]] = True
                 a, b = (t.slice(first[p], first[q] - first[p]) for t, first in ((figures, first_a), (texts, first_b)))
-                yield from _pairs_best(a, b, page_a[first_a[p] : first_a[q]] - p, page_b[first_b[p] : first_b[q]] - p, ours[p:q], k).to_batches()
+                near.append((p, _pairs_best(a, b, page_a[first_a[p] : first_a[q]] - p, page_b[first_b[p] : first_b[q]] - p, ours[p:q], k)))
             for p in np.flatnonzero((pairs > 0) & alone):
-                yield from one(figures.slice(first_a[p], n_a[p]), texts.slice(first_b[p], n_b[p])).to_batches()
+                near.append((p, one(figures.slice(first_a[p], n_a[p]), texts.slice(first_b[p], n_b[p]))))
+            found = [(p + t["_page"].to_numpy(), t["image"], t["text"], t["score"].to_numpy()) for p, t in near]
+            others = rows.filter(pa.array(far))
+            for side, own, other, n in (("of_image", "image", "text", per_image), ("of_text", "text", "image", per_text)):
+                items, at = (figures, page_a) if own == "image" else (texts, page_b)
+                chosen = _chosen(found + _far_pairs(items, at, others, page[far], own, other), own, other, n)
+                if chosen is not None:
+                    at, image, text, score = chosen
+                    flags = {c: pa.array(np.full(len(at), c == side)) for c in ("of_image", "of_text")}
+                    yield from pa.table({"asset_id": rows["asset_id"].take(pa.array(begins[at])), "image": image, "text": text, "score": pa.array(score)} | flags).to_batches()
 
     return run
 
 
+def _far_pairs(items: pa.Table, at: np.ndarray, others: pa.Table, page: np.ndarray, own: str, other: str) -> list[tuple]:
+    """Pairs of a page's items with those on other pages that share a label: page, image, text and score."""
+    there = pc.is_valid(others[other]).to_numpy(zero_copy_only=False)
+    others, page = others.filter(pa.array(there)), page[there]
+    if not len(page) or not len(at):
+        return []
+    if own == "image":
+        row, labels = np.arange(len(at)), items["label"].combine_chunks()
+    else:
+        _, size, labels = _lists(items["labels"])
+        row = _spread(size)[0]
+    ids = pa.concat_arrays([others["label"].combine_chunks(), labels]).dictionary_encode()
+    codes = pc.fill_null(ids.indices, -1).to_numpy()
+    width = len(ids.dictionary) + 1
+    key, asked = page * width + codes[: len(page)], at[row] * width + codes[len(page) :]
+    order = np.argsort(key, kind="stable")
+    low, high = (np.searchsorted(key[order], asked, side) for side in ("left", "right"))
+    hit, place = _spread(np.where(codes[len(page) :] >= 0, high - low, 0))
+    row, o = row[hit], order[low[hit] + place]
+    score = BY_LABEL * others["times"].to_numpy()[o]
+    # Rows of one item are added up.
+    item = _ranks(items[own])[row]
+    name = _ranks(others[other])[o]
+    order = np.lexsort((name, item, at[row]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in (name, item, at[row])], axis=0)
+    first = order[new]
+    if not len(first):
+        return []
+    mine, theirs = items[own].take(pa.array(row[first])), others[other].take(pa.array(o[first]))
+    return [(at[row[first]], *((mine, theirs) if own == "image" else (theirs, mine)), np.add.reduceat(score[order], np.flatnonzero(new)))]
+
+
+def _chosen(found: list[tuple], own: str, other: str, n: int) -> tuple | None:
+    """Of pairs, a page's items' n best each, as ranked: the highest score first, ties to the first partner."""
+    if not found:
+        return None
+    at, score = (np.concatenate([f[c] for f in found]) for c in (0, 3))
+    ids = {name: pa.chunked_array([x for f in found for x in f[c].chunks]) for c, name in ((1, "image"), (2, "text"))}
+    item = _ranks(ids[own])
+    order = np.lexsort((_ranks(ids[other]), -np.round(score, 9), item, at))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(item[order]) != 0) | (np.diff(at[order]) != 0)
+    place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    kept = order[place < n]
+    return at[kept], ids["image"].take(pa.array(kept)), ids["text"].take(pa.array(kept)), score[kept]
+
+
+def _ranks(items: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are ordered as the items are, equal for equal ones."""
+    return pc.rank(items.combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
 def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted rows in tables that end where a page ends, and the number of each row's page in its table."""
     held: list[pa.RecordBatch] = []
@@ -130,7 +189,8 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
             continue
         keys = [batch.column(c) for c in range(2)]
         new = np.ones(batch.num_rows, bool)
-        new[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in keys], axis=0)
+        after = [(c.slice(1), c.slice(0, len(c) - 1)) for c in keys]
+        new[1:] = np.any([pc.coalesce(pc.not_equal(x, y), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False) for x, y in after], axis=0)
         new[0] = last != tuple(c[0].as_py() for c in keys)
         last = tuple(c[-1].as_py() for c in keys)
         begins = np.flatnonzero(new)
@@ -213,14 +273,14 @@ def _pairs_best(figures: pa.Table, texts: pa.Table, page_a: np.ndarray, page_b:
         place = np.arange(len(order)) - np.searchsorted(own[order], own[order])
         kept[order[place < k]] = True
     f, t = f[kept], t[kept]
-    return pa.table({"asset_id": figures["asset_id"].take(pa.array(f)), "image": figures["image"].take(pa.array(f)), "text": texts["text"].take(pa.array(t)), "score": pa.array(score[kept])})
+    return pa.table({"asset_id": figures["asset_id"].take(pa.array(f)), "image": figures["image"].take(pa.array(f)), "text": texts["text"].take(pa.array(t)), "score": pa.array(score[kept]), "_page": pa.array(page_a[f])})
 
 
 def _page_best(k: int, block: int = 256):
     def run(figures: pa.Table, texts: pa.Table) -> pa.Table:
         images, at = np.unique(figures["image"].to_numpy(), return_inverse=True)
         names, place = np.unique(texts["text"].to_numpy(), return_inverse=True)
-        empty = pa.table({"asset_id": figures["asset_id"].slice(0, 0), "image": figures["image"].slice(0, 0), "text": texts["text"].slice(0, 0), "score": pa.array([], pa.float64())})
+        empty = pa.table({"asset_id": figures["asset_id"].slice(0, 0), "image": figures["image"].slice(0, 0), "text": texts["text"].slice(0, 0), "score": pa.array([], pa.float64()), "_page": pa.array([], pa.int64())})
         if not len(images) or not len(names):
             return empty
         # All rectangles in one array; a passage's are consecutive.
@@ -258,8 +318,10 @@ def _page_best(k: int, block: int = 256):
         row, column = np.nonzero(best_i >= 0)
         out.append((best_i[row, column], row, best_s[row, column]))
         i, t, s = (np.concatenate([o[c] for o in out]) for c in range(3))
+        _, once = np.unique(i * len(names) + t, return_index=True)  # both sides may have chosen a pair
+        i, t, s = i[once], t[once], s[once]
         asset = figures["asset_id"][0].as_py()
-        return pa.table({"asset_id": pa.array([asset] * len(i), figures["asset_id"].type), "image": pa.array(images[i], figures["image"].type), "text": pa.array(names[t], texts["text"].type), "score": pa.array(s)})
+        return pa.table({"asset_id": pa.array([asset] * len(i), figures["asset_id"].type), "image": pa.array(images[i], figures["image"].type), "text": pa.array(names[t], texts["text"].type), "score": pa.array(s), "_page": pa.array(np.zeros(len(i), np.int64))})
 
     return run
 
