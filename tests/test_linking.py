@@ -146,6 +146,25 @@ def test_words_of_texts_of_any_length(spark, tmp_path):
     assert oracle.difference(db, found, ORACLES["join8_words"]) == ""
 
 
+def test_words_are_shuffled_by_the_stretch(spark):
+    """Words come in a row a stretch, and meet the same passages as rows of their own; no word is shuffled by itself."""
+    rng = random.Random(4)
+    sign = {k: "".join(rng.choice(["a" * rng.randrange(12), "", "é👍", "w" * rng.choice([5, 4095, 9000])]) + "--" for _ in range(n)) for k, n in enumerate((0, 1, 40, 700, 3000))}
+    pages = spark.createDataFrame([(k // 2, k % 2, t) for k, t in sign.items()] + [(9, 0, None), (9, None, "a--b")], "asset_id int, page int, text string").repartition(3)
+    chunks = pages.where("length(text) > 0").select("asset_id", "page", F.explode(F.sequence(F.lit(0), (F.length("text") / 700).cast("int"))).alias("chunk_order"))
+    chunks = chunks.select("*", (F.col("chunk_order") * 700).alias("start"), F.lit("y" * 5000).alias("content"))
+    alone = linking.words_of_chunks(chunks, linking.split_words(pages, "--").drop("word"))
+    packed = linking.words_of_chunks(chunks, linking.words_by_stretch(pages, "--"))
+    assert sorted(packed.columns) == sorted(alone.columns) and packed.schema["word_no"].dataType == alone.schema["word_no"].dataType
+    rows = lambda df: sorted(tuple(r) for r in df.select("asset_id", "page", "chunk_order", "word_no").collect())
+    assert rows(packed) == rows(alone) != []
+    assert linking.words_by_stretch(pages, "--").count() < linking.split_words(pages, "--").count() / 2
+    from textquarry.catalog import QUERIES
+
+    plan = QUERIES["join8_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode(begins") < plan.index("Join")  # only after the shuffle
+
+
 def test_patterns_are_found_by_their_beginnings(spark):
     names = ["gpt-4", "gpt-4-mini", "gpt-5", "o1", "claude-3-x", "claude-[z]", "a.b", "axb", "", "line\nbreak", "gp", "solo-7", "solo-x"]
     prices = [("gpt-4", 1.0), ("gpt-*", 2.0), ("gpt-4-m*", 3.0), ("*", 0.5), ("?1", 4.0), ("claude-[0-9]-*", 5.0), ("a.?", 6.0), ("g*", 7.0), ("solo-[!0-9]", 8.0), ("line*", 9.0)]

@@ -348,14 +348,22 @@ def _binned(df: DataFrame, begin: str, end: str, first: str) -> DataFrame:
 
 
 def words_of_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """JOIN8: the words whose range meets a passage's, page by page; words of split_words bring their stop, others' comes from the word."""
-    stop = F.col("stop") if "stop" in words.columns else F.col("start") + F.length("word")
-    w = words.withColumn("stop", stop).withColumnRenamed("start", "begin")
+    """JOIN8: the words whose range meets a passage's, page by page; words of split_words bring their stop, others' comes from the word.
+
+    Words of words_by_stretch are taken from their stretch only where it meets a passage.
+    """
     c = chunks.select("asset_id", "page", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
+    c = _binned(c, "c_from", "c_to", "c_bin")
+    if "begins" in words.columns:
+        met = c.join(words, ["asset_id", "page", "bin"]).select("*", F.posexplode("begins").alias("_at", "_from")).where(F.col("_at") < F.size("begins") - 1)
+        here = F.col("bin") * STRETCH
+        met = met.withColumns({"word_no": F.col("first_no") + F.col("_at"), "begin": here + F.col("_from"), "stop": here + F.get("begins", F.col("_at") + 1) - F.col("gap")})
+        met = met.withColumn("w_bin", F.floor(F.col("begin") / STRETCH)).drop("first_no", "begins", "gap", "_at", "_from")
+    else:
+        stop = F.col("stop") if "stop" in words.columns else F.col("start") + F.length("word")
+        met = c.join(_binned(words.withColumn("stop", stop).withColumnRenamed("start", "begin"), "begin", "stop", "w_bin"), ["asset_id", "page", "bin"])
     # Ranges meet in the first stretch that both lie in, and in no other.
-    w, c = _binned(w, "begin", "stop", "w_bin"), _binned(c, "c_from", "c_to", "c_bin")
-    met = c.join(w, ["asset_id", "page", "bin"]).where("begin < c_to and stop > c_from and bin = greatest(w_bin, c_bin)")
-    return met.drop("c_from", "c_to", "stop", "bin", "w_bin", "c_bin")
+    return met.where("begin < c_to and stop > c_from and bin = greatest(w_bin, c_bin)").drop("c_from", "c_to", "stop", "bin", "w_bin", "c_bin")
 
 
 def split_words(pages: DataFrame, sign: str = " ") -> DataFrame:
@@ -364,21 +372,54 @@ def split_words(pages: DataFrame, sign: str = " ") -> DataFrame:
     schema = T.StructType([*kinds, T.StructField("word_no", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // HELD
-            for low, high in zip(*(np.searchsorted(held, np.unique(held), side).tolist() for side in ("left", "right"))):
-                own = batch.slice(low, high - low)
-                _, count, words = _lists(pc.split_pattern(own.column(2), sign))
-                row, at = _spread(count)
-                size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-                start = np.cumsum(size + len(sign)) - size - len(sign)
-                start -= np.repeat(start[(np.cumsum(count) - count)[count > 0]], count[count > 0])
-                place = pa.array(row)
-                yield pa.RecordBatch.from_arrays([own.column(0).take(place), own.column(1).take(place), pa.array((at + 1).astype(np.int32)), words.cast(pa.string()), pa.array(start), pa.array(start + size)], names=schema.names)
+        for own, row, at, words, start, size in _split(batches, sign):
+            place = pa.array(row)
+            yield pa.RecordBatch.from_arrays([own.column(0).take(place), own.column(1).take(place), pa.array((at + 1).astype(np.int32)), words.cast(pa.string()), pa.array(start), pa.array(start + size)], names=schema.names)
 
     return pages.select("asset_id", "page", "text").mapInArrow(run, schema)
 
 
+def words_by_stretch(pages: DataFrame, sign: str = " ") -> DataFrame:
+    """split_words without the words themselves, a row for each stretch of a page (bin): the first word's number, where its words begin from
+    the stretch's begin on, with what would come after the last, and the sign's length. A word is in every stretch that it lies in."""
+    kinds = [pages.schema[c] for c in ("asset_id", "page")]
+    schema = T.StructType([*kinds, T.StructField("bin", T.LongType()), T.StructField("first_no", T.IntegerType()), T.StructField("begins", T.ArrayType(T.IntegerType())), T.StructField("gap", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, row, at, _, start, size in _split(batches, sign):
+            if not len(row):
+                continue
+            low = start // STRETCH
+            high = np.maximum(low, (start + size - 1) // STRETCH)
+            # Words are in order, and so are their stretches: those of a stretch are consecutive.
+            wide = int(high.max()) + 1
+            lies, more = _spread(high - low + 1)
+            key = np.unique((row * wide + low)[lies] + more)
+            first, end = np.searchsorted(row * wide + high, key), np.searchsorted(row * wide + low, key, "right")
+            group, place = _spread(end - first + 1)
+            word = np.minimum(first[group] + place, end[group] - 1)
+            begins = start[word] + np.where(place < (end - first)[group], 0, size[word] + len(sign)) - (key % wide * STRETCH)[group]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(end - first + 1)].astype(np.int32)), pa.array(begins.astype(np.int32)))
+            page = pa.array(key // wide)
+            yield pa.RecordBatch.from_arrays([own.column(0).take(page), own.column(1).take(page), pa.array(key % wide), pa.array((at[first] + 1).astype(np.int32)), lists, pa.array(np.full(len(key), len(sign), np.int32))], names=schema.names)
+
+    return pages.select("asset_id", "page", "text").mapInArrow(run, schema)
+
+
+def _split(batches: Iterator[pa.RecordBatch], sign: str) -> Iterator[tuple]:
+    """Frames of asset_id, page and text, HELD bytes at a time, with their words: each one's row, number from 0, text, start and length."""
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // HELD
+        for low, high in zip(*(np.searchsorted(held, np.unique(held), side).tolist() for side in ("left", "right"))):
+            own = batch.slice(low, high - low)
+            _, count, words = _lists(pc.split_pattern(own.column(2), sign))
+            row, at = _spread(count)
+            size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size + len(sign)) - size - len(sign)
+            start -= np.repeat(start[(np.cumsum(count) - count)[count > 0]], count[count > 0])
+            yield own, row, at, words, start, size
+
+
 def time_ranges(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """JOIN9: first start and last end of the transcript lines that a passage covers."""
     c = chunks.select("asset_id", "chunk_order", F.col("start").alias("c_from"), (F.col("start") + F.length("content")).alias("c_to"))
