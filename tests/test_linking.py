@@ -93,8 +93,8 @@ def test_no_pair_is_shuffled(spark):
 
     # Partners from elsewhere, before a page's items, in frames of any size; page null is none.
     items = [dict(asset_id=a, page=p, _text=text, image=None if text else n, label=None if text else "f:1", text=n if text else None, labels=["f:1", "f:2"] if text else None) for a in (1, 2) for p in (None, 0, 1) for text in (False, True) for n in range(3)]
-    far = [dict(asset_id=a, page=p, label=f"f:{f}", image=None if t else 100 + f, text=200 + f if t else None, times=3 - f) for a in (1, 2) for p in (None, 0) for t in (False, True) for f in (1, 2)]
-    names = {"asset_id": pa.int64(), "page": pa.int64(), "_text": pa.bool_(), "image": pa.int64(), "label": pa.string(), "bbox": pa.list_(pa.float64()), "whole_page": pa.bool_(), "text": pa.int64(), "labels": pa.list_(pa.string()), "rects": pa.list_(pa.list_(pa.float64())), "times": pa.int64()}
+    far = [dict(asset_id=a, page=p, label=f"f:{f}", image=None if t else 100 + f, text=200 + f if t else None, _side=t, times=3 - f) for a in (1, 2) for p in (None, 0) for t in (False, True) for f in (1, 2)]
+    names = {"asset_id": pa.int64(), "page": pa.int64(), "_text": pa.bool_(), "image": pa.int64(), "label": pa.string(), "bbox": pa.list_(pa.float64()), "whole_page": pa.bool_(), "text": pa.int64(), "labels": pa.list_(pa.string()), "rects": pa.list_(pa.list_(pa.float64())), "_side": pa.bool_(), "times": pa.int64()}
     below = lambda x: (x is not None, x or 0)
     table = pa.Table.from_pylist(sorted(items + far, key=lambda r: (r["asset_id"], below(r["page"]), below(r.get("_text")))), pa.schema(names))
     for frame, most in ((100, 1 << 18), (1, 1 << 18), (7, 0)):
@@ -105,6 +105,12 @@ def test_no_pair_is_shuffled(spark):
         assert {x for x in one if 100 <= x[0] < 200} == {(101, n, 20.0, False, True) for n in range(3)} | {(102, n, 10.0, False, True) for n in range(3)}
 
 
+def test_an_item_without_a_number_is_linked(spark):
+    figures = spark.createDataFrame([(1, 0, 5, "Figure 1", None, None, False)], FIG)
+    texts = spark.createDataFrame([(1, None, None, "Fig. 1", None), (1, 3, 2, "Fig. 2", None)], TXT)
+    assert {(r.image, r.text, r.score, r.of_image, r.of_text) for r in linking.links(figures, texts).collect()} == {(5, None, 10.0, True, False), (5, None, 10.0, False, True)}
+
+
 def test_nothing_to_link(spark):
     figures, texts = layout(spark, 1, 3, 3, 1, 1)
     assert linking.links(figures.limit(0), texts).count() == 0 and linking.links(figures, texts.limit(0)).count() == 0

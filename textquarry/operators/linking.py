@@ -56,7 +56,7 @@ def links(figures: DataFrame, texts: DataFrame, per_image: int = 2, per_text: in
     kind = dict(a.dtypes)["asset_id"], dict(a.dtypes)["image"], dict(b.dtypes)["text"]
     both = a.withColumn("_text", F.lit(False)).unionByName(b.withColumn("_text", F.lit(True)), allowMissingColumns=True)
     both = both.unionByName(_elsewhere(a, b, max(per_image, per_text)), allowMissingColumns=True).where("asset_id is not null")
-    both = both.select("asset_id", "page", "_text", "image", "label", "bbox", "whole_page", "text", "labels", "rects", "times")
+    both = both.select("asset_id", "page", "_text", "image", "label", "bbox", "whole_page", "text", "labels", "rects", "_side", "times")
     # Dealt out and sorted by page, a task compares its pages as they come, many at a time: what a page costs is its pairs, not a call. Only a page itself is held whole.
     dealt = both.repartition("asset_id", "page").sortWithinPartitions("asset_id", "page", "_text", "image", "text")
     return dealt.mapInArrow(_pages_best(per_image, PAIRS, per_text), "asset_id {}, image {}, text {}, score double, of_image boolean, of_text boolean".format(*kind))
@@ -79,7 +79,7 @@ def _elsewhere(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     first = F.collect_list(F.when(F.col("_w") <= 2 * k, F.struct("_w", "_side", "page", "image", "text", "times"))).over(Window.partitionBy("asset_id", "label"))
     cells = rows.withColumn("_first", first).where("_p = 1")
     others = F.filter("_first", lambda x: (x["_side"] != F.col("_side")) & ~F.coalesce(x["page"] == F.col("page"), F.lit(False)))
-    return cells.select("asset_id", "page", "label", F.explode(F.slice(F.array_sort(others), 1, k)).alias("_o")).select("asset_id", "page", "label", "_o.image", "_o.text", "_o.times")
+    return cells.select("asset_id", "page", "label", F.explode(F.slice(F.array_sort(others), 1, k)).alias("_o")).select("asset_id", "page", "label", "_o.image", "_o.text", "_o._side", "_o.times")
 
 
 def _pages_best(per_image: int, most: int = PAIRS, per_text: int | None = None):
@@ -128,7 +128,9 @@ def _pages_best(per_image: int, most: int = PAIRS, per_text: int | None = None):
 
 def _far_pairs(items: pa.Table, at: np.ndarray, others: pa.Table, page: np.ndarray, own: str, other: str) -> list[tuple]:
     """Pairs of a page's items with those on other pages that share a label: page, image, text and score."""
-    there = pc.is_valid(others[other]).to_numpy(zero_copy_only=False)
+    if not others.num_rows:
+        return []
+    there = (others["_side"].to_numpy(zero_copy_only=False) == (other == "text")).astype(bool)
     others, page = others.filter(pa.array(there)), page[there]
     if not len(page) or not len(at):
         return []
